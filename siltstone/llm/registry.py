@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup
+from . import language_id, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op4_near_duplicates": near_dedup.op4_near_duplicates,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
