@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, substring_dedup, topk_search
+from . import language_id, mixing, near_dedup, substring_dedup, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op3_topk_search": topk_search.op3_topk_search,
     "op4_near_duplicates": near_dedup.op4_near_duplicates,
     "op5_mixing": mixing.op5_mixing,
+    "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": topk_search.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
