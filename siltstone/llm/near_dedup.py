@@ -13,8 +13,9 @@ total weight are looked at, and further ones just for the coordinates that are s
 Joining: texts that agree in a whole band of coordinates share a bucket.  Equal texts count once.  Each
 bucket is linked as a star around its most central text, not as all pairs; each link is verified on the
 texts.  A text that the star leaves in another component is compared with those texts of its bucket that
-the triangle inequality (1 - similarity is a metric) still allows.  So no link inside a bucket is lost.
-With 32 bands of 6, a pair at similarity 0.8 shares a bucket with chance 0.99994.
+two exact bounds still allow: the triangle inequality (1 - similarity is a metric), and the weight that
+no other such text has any part in, which cannot be shared.  So no link inside a bucket is lost.
+With 28 bands of 6, a pair at similarity 0.8 shares a bucket with chance 0.9998.
 
 Defined cases: texts that are null or have no word have no shingle, and each is its own class; rows with
 a null id get a null class; rows that share an id are one document; ties need no breaking, as a class is
@@ -36,7 +37,7 @@ from .components import components
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 28, 6
 K = BANDS * ROWS
 #: Members of a star that one task verifies with one copy of the centre's text.
 STAR = 512
@@ -123,42 +124,70 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = np.zeros((z - a, BANDS), np.uint64)
             for r in range(ROWS):
                 bands = common.mix(bands * _GOLD + signature[:, r::ROWS])
+            bands = common.mix(bands + np.arange(BANDS, dtype=np.uint64))  # a bucket's key names its band too
             values = pa.array(bands.astype(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (z - a + 1) * BANDS, BANDS), pa.int32()), values)
             parts.append(pa.array([x if f else None for x, f in zip(lists, full, strict=True)], lists.type) if not full.all() else lists)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.chunked_array(parts, pa.list_(pa.int64())).combine_chunks()], names=["doc_id", "key", "bands"])
 
 
-def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for a, z, data, offsets in common.text_slices(texts):
-            index, cell = cells(data, offsets)
-            bounds = np.searchsorted(index, np.arange(z - a + 1))
-            out += [cell[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
-        return out
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for a, z, data, offsets in common.text_slices(texts):
+        index, cell = cells(data, offsets)
+        bounds = np.searchsorted(index, np.arange(z - a + 1))
+        out += [cell[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            centres = part.column("text_a").dictionary_encode()  # the rows of a star follow one another
-            left = sets(centres.dictionary)
-            found = []
-            for i, right in zip(centres.indices.to_numpy(), sets(part.column("text_b")), strict=True):
-                both = np.sort(np.concatenate([left[i], right]))
-                common_ = int((both[1:] == both[:-1]).sum())
-                found.append(common_ / max(len(both) - common_, 1))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+
+def _star(rows: pa.Table) -> pa.Table:
+    """One star: the centre's row and up to about STAR members; the similarity of each to the centre."""
+    centre = rows.column("centre").to_numpy()
+    left, members = _sets(rows.filter(pa.array(centre)).column("text").slice(0, 1)), rows.filter(pa.array(~centre))
+    found = []
+    for at in range(0, members.num_rows if left else 0, 64):
+        for right in _sets(members.column("text").slice(at, 64)):
+            both = np.sort(np.concatenate([left[0], right]))
+            shared = int((both[1:] == both[:-1]).sum())
+            found.append(shared / max(len(both) - shared, 1))
+    return pa.table({"a": members.column("a").slice(0, len(found)), "b": members.column("id").slice(0, len(found)), "similarity": pa.array(found, pa.float64())})
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs (a, b) of ids of texts (id, text). A centre with many partners is dealt out by salt."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     kind = pairs.schema["a"].dataType.simpleString()
-    left = stars.join(texts, stars["a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("text_a"))
-    right = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    right = right.join(texts, right["b"] == texts["id"]).select("a", "b", "salt", F.col("text").alias("text_b"))
-    return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_similarity, f"a {kind}, b {kind}, similarity double")
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("id"), F.lit(False).alias("centre"))
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(True).alias("centre"))
+    rows = members.unionByName(centres).join(texts, "id")
+    return rows.groupBy("a", "salt").applyInArrow(_star, f"a {kind}, b {kind}, similarity double")
+
+
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, z, data, offsets in common.text_slices(batch.column("text")):
+            index, cell = cells(data, offsets)
+            ids = batch.column("id").slice(a, z - a).take(pa.array(index))
+            weight = pa.array(np.bincount(index, minlength=z - a)[index])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cell.astype(np.int64)), weight], names=["id", "cell", "weight"])
+
+
+def sharable(texts: DataFrame) -> DataFrame:
+    """(rep, weight, most): a text's weight, and the part of it that another of the texts (id, text) has too."""
+    kind = texts.schema["id"].dataType.simpleString()
+    cell = texts.mapInArrow(_weights, f"id {kind}, cell long, weight long")
+    cell = cell.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("id", "weight")).alias("x"))
+    own = cell.filter("n = 1").groupBy(F.col("x.id").alias("id")).agg(F.count("*").alias("own"))
+    weight = texts.mapInArrow(_totals, f"id {kind}, weight long")
+    return weight.join(own, "id", "left").select(F.col("id").alias("rep"), "weight", (F.col("weight") - F.coalesce("own", F.lit(0))).alias("most"))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, z, data, offsets in common.text_slices(batch.column("text")):
+            size = np.diff(common.words(data, offsets)[3])
+            weight = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, z - a), pa.array(weight)], names=["id", "weight"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,25 +201,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = common.materialize(signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands")))
     member = signed.filter("bands is not null").select("doc_id", "key").join(reps.select("key", "rep"), "key").select("doc_id", "rep")
 
-    buckets = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    shared = buckets.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = buckets.join(shared, ["band", "h"])
-    buckets = common.materialize(buckets.join(buckets.groupBy("rep").agg(F.sum("n").alias("central")), "rep"))
-    leaders = buckets.groupBy("band", "h").agg(F.min(F.struct(-F.col("central"), "rep")).getField("rep").alias("a"))
-    starred = buckets.join(leaders, ["band", "h"]).filter("rep != a")
+    buckets = reps.select("rep", F.explode("bands").alias("h"))
+    shared = buckets.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = common.materialize(buckets.join(shared, "h"))
+    central = buckets.groupBy("rep").agg(F.sum("n").alias("central"))
+    buckets = buckets.join(central, "rep")
+    leaders = buckets.groupBy("h").agg(F.min(F.struct(-F.col("central"), "rep")).getField("rep").alias("a"))
+    buckets = common.materialize(buckets.join(leaders, "h").select("h", "rep", "a"))
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = common.materialize(named.select(F.col("doc_id").alias("id"), "key", "text").join(wanted, "id").join(reps.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi").dropDuplicates(["id"]).drop("key"))
+    texts = named.select(F.col("doc_id").alias("id"), "key", "text").join(wanted, "id").join(reps.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi")
+    texts = common.materialize(texts.dropDuplicates(["id"]).drop("key"))
 
-    judged = common.materialize(verify(starred.select("a", F.col("rep").alias("b")).distinct(), texts))
+    judged = common.materialize(verify(buckets.filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), texts))
     links = judged.filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = common.materialize(components(links))
-    # what a star left apart: other components in the same bucket, if the distances to the centre allow a link
-    at = buckets.select("band", "h", "rep").join(roots, buckets["rep"] == roots["node"], "left").select("band", "h", "rep", F.coalesce("root", "rep").alias("root"))
-    split = at.groupBy("band", "h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("band", "h")
-    at = at.join(split, ["band", "h"]).join(leaders, ["band", "h"]).filter("rep != a")
-    at = common.materialize(at.join(judged.withColumnRenamed("b", "rep"), ["a", "rep"]).select("band", "h", "rep", "root", "similarity"))
-    other = at.select("band", "h", F.col("rep").alias("rep2"), F.col("root").alias("root2"), F.col("similarity").alias("similarity2"))
-    rest = at.join(other, ["band", "h"]).filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")) & (F.abs(F.col("similarity") - F.col("similarity2")) <= 1 - SIMILAR + 1e-9))
+    # what a star left apart: other components in the same bucket, if the bounds allow a link
+    at = buckets.join(roots, buckets["rep"] == roots["node"], "left").select("h", "rep", "a", F.coalesce("root", "rep").alias("root"))
+    split = at.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
+    at = common.materialize(at.join(split, "h"))
+    bound = sharable(texts.join(at.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    bound = common.materialize(bound.filter(F.col("most") >= SIMILAR * F.col("weight") - 1e-9))
+    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"]).select("h", "rep", "root", "similarity", "weight", "most")
+    at = common.materialize(at)
+    other = at.select("h", *[F.col(c).alias(f"{c}2") for c in at.columns[1:]])
+    rest = at.join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")))
+    rest = rest.filter(F.abs(F.col("similarity") - F.col("similarity2")) <= 1 - SIMILAR + 1e-9)
+    rest = rest.filter(F.least("most", "most2") * (1 + SIMILAR) >= SIMILAR * (F.col("weight") + F.col("weight2")) - 1e-9)
     rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
     more = verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = components(links.unionByName(more))
