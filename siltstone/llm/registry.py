@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, substring_dedup, topk_search, warc
+from . import language_id, mixing, near_dedup, substring_dedup, topk_search, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,10 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": topk_search.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op9_url_filter": url_filter.ORACLE_SQL,
 }
