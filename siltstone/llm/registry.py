@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, substring_dedup, topk_search, url_filter, warc
+from . import language_id, mixing, near_dedup, quality, substring_dedup, topk_search, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op3_topk_search": topk_search.op3_topk_search,
     "op4_near_duplicates": near_dedup.op4_near_duplicates,
     "op5_mixing": mixing.op5_mixing,
+    "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
