@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, quality, substring_dedup, topk_search, url_filter, warc
+from . import language_id, license_scan, mixing, near_dedup, quality, substring_dedup, topk_search, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_topk_search": topk_search.op3_topk_search,
     "op4_near_duplicates": near_dedup.op4_near_duplicates,
     "op5_mixing": mixing.op5_mixing,
