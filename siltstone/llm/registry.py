@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, mixing, near_dedup, quality, substring_dedup, topk_search, url_filter, warc
+from . import decontamination, language_id, license_scan, mixing, near_dedup, quality, substring_dedup, topk_search, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": topk_search.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
+    "op10_decontamination": decontamination.ORACLE_SQL,
 }

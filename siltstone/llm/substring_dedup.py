@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -130,11 +130,6 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return listed.join(spans, ["anchor", "passage"]).select("id", shift.alias("spans")).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def row_id(doc_id: str, text: str) -> Column:
-    """The id; for a null id, one below all ids made of the text's hash."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)) + F.pmod(F.xxhash64(text), F.lit(2**61)))
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_words, n_removed and the kept text of each row."""
     for batch in batches:
@@ -164,9 +159,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    texts = docs.select(row_id("doc_id", "text").alias("id"), "text")
+    texts = docs.select(common.row_id("doc_id", "text").alias("id"), "text")
     spans = repeated_spans(texts)
-    return docs.select("doc_id", "text", row_id("doc_id", "text").alias("id")).join(spans, "id", "left")
+    return docs.select("doc_id", "text", common.row_id("doc_id", "text").alias("id")).join(spans, "id", "left")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
