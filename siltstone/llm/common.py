@@ -52,6 +52,25 @@ def row_id(doc_id: str, text: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)) + F.pmod(F.xxhash64(text), F.lit(2**61)))
 
 
+#: Bits of the largest bitmap that `keep_some` broadcasts: 16 MB.
+MAX_BITS = 1 << 27
+
+
+def keep_some(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is among `wanted` (one column of that name), and a few others.
+
+    A narrow filter before a join moves wide rows: a bitmap over hashes of the wanted keys, about 64 bits for
+    each and MAX_BITS at most, is built in shards of 4 KB and broadcast. With more keys it lets more rows pass."""
+    bits = min(MAX_BITS, 1 << max(15, (64 * max(wanted.count(), 1) - 1).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    shards = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_shard"))
+    shards = materialize(shards.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits")))
+    df = df.withColumn("_p", place).withColumn("_shard", F.expr("bitmap_bucket_number(_p)")).join(F.broadcast(shards), "_shard")
+    at = "bitmap_bit_position(_p)"
+    byte = f"cast(conv(hex(substring(_bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return df.filter(F.expr(f"getbit({byte}, cast({at} % 8 as int)) = 1")).drop("_p", "_shard", "_bits")
+
+
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past row, bytes, offsets into the bytes), of about CHUNK_BYTES each; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -14,7 +14,8 @@ Joining: texts that agree in a whole band of coordinates share a bucket.  Equal
 bucket is linked as a star around its most central text, not as all pairs; each link is verified on the
 texts.  A text that the star leaves in another component is compared with those texts of its bucket that
 two exact bounds still allow: the triangle inequality (1 - similarity is a metric), and the weight that
-no other such text has any part in, which cannot be shared.  So no link inside a bucket is lost.
+no other such text has any part in, which cannot be shared; and whose sketches (four bits of each
+coordinate) agree as only one pair in some ten thousand at similarity 0.8 does not.
 With 28 bands of 6, a pair at similarity 0.8 shares a bucket with chance 0.9998.
 
 Defined cases: texts that are null or have no word have no shingle, and each is its own class; rows with
@@ -39,6 +40,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 28, 6
 K = BANDS * ROWS
+#: 64-bit words of a sketch, four bits of each coordinate, and the bits that may differ: those of similarity 0.66.
+SKETCH = -(-K // 16)
+APART = int(64 * SKETCH * (1 - 0.66) / 2)
 #: Members of a star that one task verifies with one copy of the centre's text.
 STAR = 512
 
@@ -114,9 +118,15 @@ def signatures(index: np.ndarray, cell: np.ndarray, texts: int, k: int = K) -> n
     return out
 
 
+def _lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
+    """A list per row; null where not full."""
+    ends = pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(rows.astype(np.int64).reshape(-1)), mask=pa.array(~full))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = []
+        parts, sketches = [], []
         for a, z, data, offsets in common.text_slices(batch.column("text")):
             index, cell = cells(data, offsets)
             signature = signatures(index, cell, z - a)
@@ -125,10 +135,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 bands = common.mix(bands * _GOLD + signature[:, r::ROWS])
             bands = common.mix(bands + np.arange(BANDS, dtype=np.uint64))  # a bucket's key names its band too
-            values = pa.array(bands.astype(np.int64).reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (z - a + 1) * BANDS, BANDS), pa.int32()), values)
-            parts.append(pa.array([x if f else None for x, f in zip(lists, full, strict=True)], lists.type) if not full.all() else lists)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.chunked_array(parts, pa.list_(pa.int64())).combine_chunks()], names=["doc_id", "key", "bands"])
+            nibbles = np.zeros((z - a, SKETCH * 16), np.uint64)
+            nibbles[:, :K] = common.mix(signature) >> np.uint64(60)
+            shift = np.arange(0, 64, 4, dtype=np.uint64)
+            parts.append(_lists(bands, full))
+            sketches.append(_lists((nibbles.reshape(z - a, SKETCH, 16) << shift).sum(2, dtype=np.uint64), full))
+        columns = [pa.chunked_array(x, pa.list_(pa.int64())).combine_chunks() for x in (parts, sketches)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], names=["doc_id", "key", "bands", "sketch"])
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
@@ -168,16 +181,17 @@ def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, z, data, offsets in common.text_slices(batch.column("text")):
             index, cell = cells(data, offsets)
             ids = batch.column("id").slice(a, z - a).take(pa.array(index))
-            weight = pa.array(np.bincount(index, minlength=z - a)[index])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cell.astype(np.int64)), weight], names=["id", "cell", "weight"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array((cell >> np.uint64(24)).astype(np.int64))], names=["id", "cell"])
 
 
 def sharable(texts: DataFrame) -> DataFrame:
-    """(rep, weight, most): a text's weight, and the part of it that another of the texts (id, text) has too."""
+    """(rep, weight, most): a text's weight, and the part of it that another of the texts (id, text) has too.
+
+    Cells go by 40 bits of their hash: a collision can only raise `most`, so it stays a bound."""
     kind = texts.schema["id"].dataType.simpleString()
-    cell = texts.mapInArrow(_weights, f"id {kind}, cell long, weight long")
-    cell = cell.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("id", "weight")).alias("x"))
-    own = cell.filter("n = 1").groupBy(F.col("x.id").alias("id")).agg(F.count("*").alias("own"))
+    cell = texts.mapInArrow(_weights, f"id {kind}, cell long")
+    cell = cell.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    own = cell.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
     weight = texts.mapInArrow(_totals, f"id {kind}, weight long")
     return weight.join(own, "id", "left").select(F.col("id").alias("rep"), "weight", (F.col("weight") - F.coalesce("own", F.lit(0))).alias("most"))
 
@@ -195,10 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.filter("doc_id is not null").withColumn("key", F.md5("text"))
-    signed = common.materialize(named.mapInArrow(_bands, f"doc_id {kind}, key string, bands array<long>"))
+    signed = common.materialize(named.mapInArrow(_bands, f"doc_id {kind}, key string, bands array<long>, sketch array<long>"))
     # equal texts count once, under their least id
     alone = signed.filter("bands is null").select("doc_id", F.col("doc_id").alias("rep"))
-    reps = common.materialize(signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands")))
+    reps = common.materialize(signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch"))
     member = signed.filter("bands is not null").select("doc_id", "key").join(reps.select("key", "rep"), "key").select("doc_id", "rep")
 
     buckets = reps.select("rep", F.explode("bands").alias("h"))
@@ -209,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = buckets.groupBy("h").agg(F.min(F.struct(-F.col("central"), "rep")).getField("rep").alias("a"))
     buckets = common.materialize(buckets.join(leaders, "h").select("h", "rep", "a"))
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = named.select(F.col("doc_id").alias("id"), "key", "text").join(wanted, "id").join(reps.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi")
+    texts = common.keep_some(named.select(F.col("doc_id").alias("id"), "key", "text"), "id", wanted).join(wanted, "id").join(reps.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi")
     texts = common.materialize(texts.dropDuplicates(["id"]).drop("key"))
 
     judged = common.materialize(verify(buckets.filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), texts))
@@ -219,14 +233,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = buckets.join(roots, buckets["rep"] == roots["node"], "left").select("h", "rep", "a", F.coalesce("root", "rep").alias("root"))
     split = at.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
     at = common.materialize(at.join(split, "h"))
-    bound = sharable(texts.join(at.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    texts = common.materialize(texts.join(at.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    bound = sharable(texts)
     bound = common.materialize(bound.filter(F.col("most") >= SIMILAR * F.col("weight") - 1e-9))
-    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"]).select("h", "rep", "root", "similarity", "weight", "most")
+    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"]).join(reps.select("rep", "sketch"), "rep")
+    at = at.select("h", "rep", "root", "similarity", "weight", "most", "sketch")
     at = common.materialize(at)
     other = at.select("h", *[F.col(c).alias(f"{c}2") for c in at.columns[1:]])
     rest = at.join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")))
     rest = rest.filter(F.abs(F.col("similarity") - F.col("similarity2")) <= 1 - SIMILAR + 1e-9)
     rest = rest.filter(F.least("most", "most2") * (1 + SIMILAR) >= SIMILAR * (F.col("weight") + F.col("weight2")) - 1e-9)
+    differ = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    rest = rest.filter(differ <= APART)
     rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
     more = verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = components(links.unionByName(more))
