@@ -170,6 +170,18 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     return _with_spans(docs).mapInArrow(_cut, f"id long, doc_id {kind}, n_words long, n_removed long, kept string").drop("id")
 
 
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut from `text`; a text that loses nothing stays as it is, null included."""
+    rest = [c for c in docs.columns if c != "text"]
+    spans = repeated_spans(docs.select(common.row_id("doc_id", "text").alias("_id"), "text").withColumnRenamed("_id", "id"))
+    # the row travels beside its text in one struct, so that no column's name can clash
+    rows = docs.select(common.row_id("doc_id", "text").alias("id"), "text", F.struct(*rest).alias("rest")).join(spans, "id", "left")
+    kind = rows.schema["rest"].dataType.simpleString()
+    same, cut = rows.filter("spans is null").select("text", "rest"), rows.filter("spans is not null")
+    cut = cut.withColumnRenamed("rest", "doc_id").mapInArrow(_cut, f"id long, doc_id {kind}, n_words long, n_removed long, kept string").select(F.col("kept").alias("text"), F.col("doc_id").alias("rest"))
+    return same.unionByName(cut).select("rest.*", "text").select(*docs.columns)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return _with_spans(docs).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
