@@ -5,7 +5,8 @@ regression with a class per licence family, one for licence statements of unknow
 everything else.  It learns from sentences built from the families' templates and names, from statements
 that name an invented licence, and from a bounded sample of the corpus' own lines without licence words.
 Probabilities are calibrated by a temperature that a held-out fold of those sentences picks; a family
-below MIN_CHANCE becomes `unknown`.  A prediction is confirmed if the paragraph holds most word pairs of
+below MIN_CHANCE becomes `unknown`.  N-grams of common words alone are no features; a line without any word
+of a feature with weight has the bias alone, which says `none`, so such lines are dropped by their words.  A prediction is confirmed if the paragraph holds most word pairs of
 one of the family's templates; an unconfirmed family is `unknown` too.
 
 Defined cases: null and blank texts have no paragraph; a document without licence paragraphs has licence
@@ -17,6 +18,7 @@ classifier learns from its sentences alone; other columns are ignored.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -31,6 +33,8 @@ NONE, UNKNOWN = "none", "unknown"
 #: Lines of the corpus that the classifier learns `none` from.
 MAX_NONE = 1500
 MIN_CHANCE, MIN_SHARED = 0.5, 0.6
+#: A word is common if so large a share of the lines without licence words holds it.
+COMMON = 0.01
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
 
 #: Names and characteristic sentences of the families (fixed values).
@@ -121,12 +125,15 @@ def sentences() -> list[tuple[str, str]]:
 class Scanner:
     """The fitted classifier, its temperature and the templates."""
 
-    def __init__(self, model: PipelineModel, classes: list[str], temperature: float):
-        self.model, self.classes, self.temperature = model, classes, temperature
+    def __init__(self, model: PipelineModel, classes: list[str], temperature: float, keys: list[str] | None):
+        """keys: words of which a line needs one to hold any feature with weight; None: every line is scored."""
+        self.model, self.classes, self.temperature, self.keys = model, classes, temperature, keys
 
     def classify(self, paragraphs: DataFrame) -> DataFrame:
         """paragraphs (with a column paragraph) with family, chance, shared and confirmed; `none` rows are dropped."""
         words = paragraphs.withColumn("words", words_of(F.col("paragraph"))).filter(F.size("words") > 0)
+        if self.keys is not None:
+            words = words.filter(F.arrays_overlap("words", F.lit(self.keys)))
         seen = self.model.transform(words.withColumn("grams", grams_of("words")))
         z = F.transform(vector_to_array("rawPrediction"), lambda x: F.exp(x / F.lit(self.temperature)))
         seen = seen.filter(F.col("prediction") != self.classes.index(NONE)).withColumn("z", z)
@@ -157,14 +164,18 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> Scanner:
     spark = docs.sparkSession
-    lines = paragraphs_of(docs).filter(~F.col("paragraph").rlike(_LICENCE_WORDS)).select("paragraph")
+    lines = paragraphs_of(docs).select("paragraph")
     h = F.pmod(F.xxhash64("paragraph"), F.lit(1 << 20))
     n = docs.count()
-    lines = lines.filter(h < max(64, int((1 << 20) * MAX_NONE / max(n, 1)))).distinct().orderBy(h, "paragraph").limit(MAX_NONE)
+    lines = lines.filter(h < max(64, int((1 << 20) * MAX_NONE / max(n, 1)))).filter(~F.col("paragraph").rlike(_LICENCE_WORDS)).distinct().orderBy(h, "paragraph").limit(MAX_NONE)
     made = spark.createDataFrame(sentences(), "paragraph string, label string").unionByName(lines.withColumn("label", F.lit(NONE)))
     made = made.withColumn("words", words_of(F.col("paragraph"))).filter(F.size("words") > 0).withColumn("grams", grams_of("words"))
     made = common.materialize(made.select("grams", "label", (F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0).alias("held")))
-    made = spark.createDataFrame(made.collect(), made.schema).coalesce(1)  # some thousand rows; one task fits them alike each time
+    rows = made.collect()  # some thousand short rows
+    often: Counter[str] = Counter(w for r in rows if r["label"] == NONE for w in {g for g in r["grams"] if " " not in g})
+    many = {w for w, n in often.items() if n > COMMON * max(1, sum(r["label"] == NONE for r in rows))}
+    rows = [(sorted(g for g in r["grams"] if not many.issuperset(g.split(" "))), r["label"], r["held"]) for r in rows]
+    made = spark.createDataFrame(sorted(rows), made.schema).coalesce(1)  # one task fits them alike each time
     classes = [*FAMILIES, UNKNOWN, NONE]
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(spark.createDataFrame([(c,) for c in classes], "label string"))
     counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=1 << 14).fit(made.filter(F.col("label") != NONE))
@@ -179,8 +190,12 @@ def fit(docs: DataFrame) -> Scanner:
 
     found = trial.agg(*[loss(t).alias(str(i)) for i, t in enumerate(TEMPERATURES)]).first()
     temperature = min(zip(found, TEMPERATURES, strict=True), key=lambda x: (x[0] or 0.0, abs(x[1] - 1)))[1]
-    model = Pipeline(stages=[counts, regression.fit(learned)]).fit(learned)
-    return Scanner(model, list(index.labels), temperature)
+    final = regression.fit(learned)
+    weighty = (final.coefficientMatrix.toArray() != 0).any(0)
+    keys = sorted({min(g.split(" "), key=lambda w: (often[w], w)) for g, on in zip(counts.vocabulary, weighty, strict=True) if on})
+    bias = list(final.interceptVector)
+    sure = bias[index.labels.index(NONE)] == max(bias)
+    return Scanner(Pipeline(stages=[counts, final]).fit(learned), list(index.labels), temperature, keys if sure else None)
 
 
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
