@@ -1,12 +1,12 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Texts become tokens; numbers, names (capitalised words inside a sentence) and units (after a number, or
-signs) become typed placeholders, other words are lower-cased.  Windows of eight tokens of every benchmark
-item are hash-joined with all windows of all documents, so a question with other numbers or names still
-matches.  Where windows match, the fillings of the slots must be consistent: along one alignment, equal
-slot values of the item have equal values in the document and different ones different.  A document is
-contaminated by an item if consistent alignments match LEAK windows of it (thirteen tokens in a row), or
-half of a shorter item's windows.
+Texts become tokens; runs of capitalised words inside a sentence become name placeholders, numbers, units
+after a number and unit signs become theirs, other words are lower-cased.  Windows of eight tokens of every
+benchmark item are hash-joined with all windows of all documents, so a question with other numbers or names
+still matches.  Windows that follow one another make a run, and the fillings of a run's slots must be
+consistent: equal slot values of the item have equal values in the document and different ones different.
+A document is contaminated by an item if consistent runs match LEAK windows of it (thirteen tokens in a
+row), or half of a shorter item's windows.
 
 Windows of an item with fewer than MIN_LITERAL plain words are left out: templates of placeholders alone
 say nothing.  Items of four to seven tokens are matched by windows of four; items of under four tokens
@@ -20,109 +20,114 @@ null id are told apart by their text; empty tables give no findings; other colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[%$€£°]|\p{L}[\p{L}\p{M}]*[.!?]?"
 #: Words that count as units after a number (fixed values).
 UNITS = [
     "km", "m", "cm", "mm", "mile", "miles", "ft", "feet", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "ounces", "tons",
     "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "percent", "dollar", "dollars", "euro", "euros", "cents", "liters", "litres", "degrees", "mph", "kmh",
 ]
+#: The placeholders, and the patterns that they stand for, in the order of replacement: pattern, value's group, replacement.
+NAME_MARK, NUMBER_MARK, UNIT_MARK, SIGN_MARK = "\x01", "\x02", "\x03", "\x04"
+MARKS = [
+    (NAME_MARK, r"([^.!? \t\n\r][ \t\n\r])(\p{Lu}[\p{L}\p{M}]*(?:[ \t\n\r]\p{Lu}[\p{L}\p{M}]*)*)", 2, "$1" + NAME_MARK),
+    (NUMBER_MARK, r"[0-9]+(?:[.,][0-9]+)*", 0, f" {NUMBER_MARK} "),
+    (UNIT_MARK, f"({NUMBER_MARK} {{1,3}})({'|'.join(UNITS)})([^\\p{{L}}]|$)", 2, f"$1{UNIT_MARK}$3"),
+    (SIGN_MARK, "[%$€£°]+", 0, f" {SIGN_MARK} "),
+]
+TOKEN = f"[\\p{{L}}\\p{{M}}{NAME_MARK}-{SIGN_MARK}]+"
 WINDOW, SHORT = 8, 4
 MIN_LITERAL = {WINDOW: 5, SHORT: 3}
 LEAK = 6
 MAX_BROADCAST = 200_000
 
 
-def tokens_of(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
+def template(text: str) -> Column:
+    """The tokens of a text, slots as placeholders."""
+    out = F.coalesce(F.translate(text, NAME_MARK + NUMBER_MARK + UNIT_MARK + SIGN_MARK, "    "), F.lit(""))
+    for _, pattern, _, mark in MARKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.regexp_extract_all(F.lower(out), F.lit(TOKEN), 0)
 
 
-def plain(token: Column) -> Column:
-    return F.lower(F.rtrim(token, F.lit(".!?")))
+def slots(text: str) -> Column:
+    """What the placeholders stand for: an array of values for each mark, in order."""
+    out = F.coalesce(F.translate(text, NAME_MARK + NUMBER_MARK + UNIT_MARK + SIGN_MARK, "    "), F.lit(""))
+    found = []
+    for _, pattern, group, mark in MARKS:
+        found.append(F.transform(F.regexp_extract_all(out, F.lit(pattern), group), F.lower))
+        out = F.regexp_replace(out, pattern, mark)
+    return F.array(*found)
 
 
-def canonical(token: Column, before: Column) -> Column:
-    """The token's placeholder or lower-cased word, given the token before it ('' at the start)."""
-    first = F.substring(token, 1, 1)
-    number = first.between("0", "9")
-    unit = first.isin("%", "$", "€", "£", "°") | (F.substring(before, 1, 1).between("0", "9") & plain(token).isin(UNITS))
-    name = (first != F.lower(first)) & (before != "") & ~F.substring(before, -1, 1).isin(".", "!", "?")
-    return F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(plain(token))
-
-
-def canonicals(tokens: str) -> Column:
+def windows(tokens: str, width: int) -> Column:
+    """The hash of each window of `width` tokens; null if there is none."""
     t = F.col(tokens)
-    before = F.concat(F.array(F.lit("")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
-    return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.zip_with(t, before, canonical))
-
-
-def _hashed(df: DataFrame) -> DataFrame:
-    """df (with tokens) with h8 and h4: the hashes of its windows of 8 and of 4 canonical tokens."""
-    t = F.col("tokens")
-    before = F.concat(F.array(F.lit("")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
-    df = df.withColumn("h1", F.when(F.size(t) > 0, F.zip_with(t, before, lambda x, b: F.xxhash64(canonical(x, b)))))
-    for k in (1, 2, 4):
-        h = F.col(f"h{k}")
-        more = F.greatest(F.size(h) - k, F.lit(0))
-        df = df.withColumn(f"h{2 * k}", F.zip_with(F.slice(h, 1, more), F.slice(h, k + 1, more), lambda a, b: F.xxhash64(a, b)))
-    return df
+    at = F.sequence(F.lit(0), F.size(t) - width)
+    return F.when(F.size(t) >= width, F.transform(at, lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(width)])))
 
 
 def windows_of(items: DataFrame) -> DataFrame:
-    """(item, at, width, h, windows, tokens, kinds) of each window of the items (item, text) that says enough."""
-    items = items.filter("item is not null and text is not null").select("item", tokens_of("text").alias("tokens"))
-    items = _hashed(items.withColumn("kinds", canonicals("tokens")))
+    """(item, width, at, h, tokens, values) of each window of the items (item, text) that says enough."""
+    items = items.filter("item is not null and text is not null").select("item", template("text").alias("tokens"), slots("text").alias("values"))
     n = F.size("tokens")
-    width = F.when(n >= WINDOW, WINDOW).when(n >= SHORT, SHORT)
-    rows = items.withColumn("width", width).filter("width is not null")
-    rows = rows.select("item", "width", "tokens", "kinds", F.posexplode(F.when(F.col("width") == WINDOW, F.col("h8")).otherwise(F.col("h4"))).alias("at", "h"))
-    literal = F.size(F.filter(F.slice("kinds", F.col("at") + 1, F.col("width")), lambda x: ~x.startswith("<")))
+    rows = items.withColumn("width", F.when(n >= WINDOW, WINDOW).when(n >= SHORT, SHORT)).filter("width is not null")
+    hashes = F.when(F.col("width") == WINDOW, windows("tokens", WINDOW)).otherwise(windows("tokens", SHORT))
+    rows = rows.select("item", "width", "tokens", "values", F.posexplode_outer(hashes).alias("at", "h"))
+    literal = F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.col("width")), lambda x: x > SIGN_MARK))
     return rows.filter(literal >= F.when(F.col("width") == WINDOW, MIN_LITERAL[WINDOW]).otherwise(MIN_LITERAL[SHORT]))
 
 
 def _consistent() -> Column:
-    """Whether slots filled alike in the item are filled alike in the document, and different ones differently."""
+    """Whether slots filled alike in the item are filled alike in the document, and different ones differently.
+
+    A run's tokens are equal on both sides, so its slots correspond by kind and order."""
     length = F.col("high") + F.col("width") - F.col("low")
-    item, kind = F.slice("tokens", F.col("low") + 1, length), F.slice("kinds", F.col("low") + 1, length)
-    own, own_kind = F.slice("own", F.col("low") + F.col("shift") + 1, length), F.slice("own_kinds", F.col("low") + F.col("shift") + 1, length)
-    slots = F.zip_with(F.arrays_zip(kind.alias("k"), item.alias("i")), F.arrays_zip(own_kind.alias("k"), own.alias("o")), lambda a, b: F.struct(a["k"].alias("k"), b["k"].alias("l"), plain(a["i"]).alias("i"), plain(b["o"]).alias("o")))
-    slots = F.filter(slots, lambda x: x["k"].startswith("<") & (x["k"] == x["l"]))
-    pairs = F.size(F.array_distinct(slots))
-    left = F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["k"], x["i"]))))
-    right = F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["k"], x["o"]))))
-    return (pairs == left) & (pairs == right)
+
+    def filling(tokens: str, values: str, start: Column, i: int, mark: str) -> Column:
+        count = lambda a: F.size(F.filter(a, lambda x: x == mark))
+        before = count(F.slice(tokens, F.lit(1), start))
+        return F.slice(F.get(values, F.lit(i)), before + 1, count(F.slice(tokens, start + 1, length)))
+
+    sound = F.lit(True)
+    for i, (mark, *_) in enumerate(MARKS):
+        left, right = filling("tokens", "values", F.col("low"), i, mark), filling("own", "own_values", F.col("low") + F.col("shift"), i, mark)
+        pairs = F.size(F.array_distinct(F.arrays_zip(left, right)))
+        sound = sound & (pairs == F.size(F.array_distinct(left))) & (pairs == F.size(F.array_distinct(right)))
+    return sound
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(id, item, matched): documents (id, text) that hold benchmark items (item, text)."""
-    windows = common.materialize(windows_of(benchmark))
-    items = windows.groupBy("item", "width").agg(F.count_distinct("at").alias("windows"), F.first("tokens").alias("tokens"), F.first("kinds").alias("kinds"))
-    keys = windows.select("item", "width", "at", "h").distinct()
+    asked = common.materialize(windows_of(benchmark))
+    items = asked.groupBy("item", "width").agg(F.count_distinct("at").alias("windows"), F.first("tokens").alias("tokens"), F.first("values").alias("values"))
+    keys = asked.select("item", "width", "at", "h").distinct()
     if keys.count() <= MAX_BROADCAST:
         keys = F.broadcast(keys)
-    widths = [r["width"] for r in windows.select("width").distinct().collect()] or [WINDOW]
-    hashed = _hashed(docs.select("id", tokens_of("text").alias("tokens")))
+    widths = [r["width"] for r in asked.select("width").distinct().collect()] or [WINDOW]
+    tokens = docs.select("id", template("text").alias("tokens"))
     hits = None
     for width in sorted(widths):
-        one = hashed.select("id", F.posexplode(f"h{width}").alias("place", "h")).join(keys.filter(F.col("width") == width), "h")
+        # outer: for an inner explode, the optimiser would compute the hashes once more, as a filter
+        one = tokens.select("id", F.posexplode_outer(windows("tokens", width)).alias("place", "h")).join(keys.filter(F.col("width") == width), "h")
         hits = one if hits is None else hits.unionByName(one)
-    hits = hits.select("id", "item", "width", "at", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    aligned = hits.groupBy("id", "item", "width", "shift").agg(F.count("*").alias("matched"), F.min("at").alias("low"), F.max("at").alias("high"))
-    aligned = common.materialize(aligned)
+    hits = common.materialize(hits.select("id", "item", "width", "at", (F.col("place") - F.col("at")).alias("shift"))).distinct()
+    # windows that follow one another at one shift make a run
+    order = F.row_number().over(Window.partitionBy("id", "item", "width", "shift").orderBy("at"))
+    runs = hits.withColumn("run", F.col("at") - order).groupBy("id", "item", "width", "shift", "run").agg(F.count("*").alias("matched"), F.min("at").alias("low"), F.max("at").alias("high"))
     facts = F.broadcast(items) if items.count() <= MAX_BROADCAST // 100 else items
-    cand = aligned.join(facts, ["item", "width"])
     needed = F.least(F.lit(LEAK), F.ceil(F.col("windows") / 2))
-    # alignments that could not suffice even together are gone before any text moves
-    enough = aligned.groupBy("id", "item", "width").agg(F.sum("matched").alias("total"))
-    cand = cand.join(enough, ["id", "item", "width"]).filter(F.col("total") >= needed)
-    wanted = common.materialize(cand.select("id", "item", "width", "shift", "matched", "low", "high", "windows", "tokens", "kinds"))
-    texts = docs.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", tokens_of("text").alias("own"))
-    judged = wanted.join(texts.withColumn("own_kinds", canonicals("own")), "id").filter(_consistent())
+    # runs that could not suffice even together are gone before any text moves
+    total = F.sum("matched").over(Window.partitionBy("id", "item", "width"))
+    wanted = common.materialize(runs.withColumn("total", total).join(facts, ["item", "width"]).filter(F.col("total") >= needed))
+    ids = wanted.select("id").distinct()
+    texts = common.keep_some(docs, "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts.select("id", template("text").alias("own"), slots("text").alias("own_values"))
+    judged = wanted.join(texts, "id").filter(_consistent())
     found = judged.groupBy("id", "item", "width").agg(F.sum("matched").alias("matched"), F.first("windows").alias("windows"))
     return found.filter(F.col("matched") >= needed).select("id", "item", "matched")
 
@@ -143,35 +148,41 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(table: str, key: str) -> str:
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    return f"""
-  SELECT {key} AS id, toks, list_transform(range(1, len(toks) + 1), lambda i: CASE
-      WHEN substr(toks[i], 1, 1) BETWEEN '0' AND '9' THEN '<num>'
-      WHEN substr(toks[i], 1, 1) IN ('%', '$', '€', '£', '°')
-        OR (i > 1 AND substr(toks[greatest(i - 1, 1)], 1, 1) BETWEEN '0' AND '9' AND lower(rtrim(toks[i], '.!?')) IN ({units})) THEN '<unit>'
-      WHEN i > 1 AND substr(toks[i], 1, 1) <> lower(substr(toks[i], 1, 1)) AND right(toks[greatest(i - 1, 1)], 1) NOT IN ('.', '!', '?') THEN '<name>'
-      ELSE lower(rtrim(toks[i], '.!?')) END) AS kinds
-  FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS toks FROM {table})"""
+    text, values = f"coalesce(translate(text, '{NAME_MARK}{NUMBER_MARK}{UNIT_MARK}{SIGN_MARK}', '    '), '')", []
+    step, columns = f"SELECT {key} AS id, {text} AS t0 FROM {table}", "id"
+    for i, (_, pattern, group, mark) in enumerate(MARKS):
+        mark = mark.replace("$1", "\\1").replace("$3", "\\3")
+        step = f"SELECT {columns}, list_transform(regexp_extract_all(t{i}, '{pattern}', {group}), lambda x: lower(x)) AS v{i}, regexp_replace(t{i}, '{pattern}', '{mark}', 'g') AS t{i + 1} FROM ({step})"
+        columns += f", v{i}"
+        values.append(f"v{i}")
+    return f"SELECT {columns}, regexp_extract_all(lower(t{len(MARKS)}), '{TOKEN}') AS toks FROM ({step})"
+
+
+def _slots_sql() -> str:
+    """Whether the slots of run a of item b in document d are consistent."""
+    out = []
+    for i, (mark, *_) in enumerate(MARKS):
+        part = lambda t, v, low: f"{t}.{v}[len(list_filter({t}.toks[1:{low}], lambda x: x = '{mark}')) + 1:len(list_filter({t}.toks[1:{low} + high - low + width], lambda x: x = '{mark}'))]"
+        left, right = part("b", f"v{i}", "low"), part("d", f"v{i}", "(low + shift)").replace("(low + shift) + high - low + width", "high + shift + width")
+        pairs = f"len(list_distinct(list_transform(list_zip({left}, {right}), lambda z: coalesce(z[1], '') || chr(0) || coalesce(z[2], ''))))"
+        out.append(f"{pairs} = len(list_distinct({left})) AND {pairs} = len(list_distinct({right}))")
+    return " AND ".join(out).replace("low + high - low + width", "high + width")
 
 
 ORACLE_SQL = f"""
 WITH d AS ({_sql("documents", "doc_id")}),
 b AS ({_sql("benchmark", "item_id")}),
 bw AS (SELECT *, CASE WHEN len(toks) >= 8 THEN 8 WHEN len(toks) >= 4 THEN 4 END AS width FROM b),
-w AS (SELECT id AS item, width, pos, array_to_string(kinds[pos + 1:pos + width], ' ') AS h
+w AS (SELECT id AS item, width, pos, array_to_string(toks[pos + 1:pos + width], ' ') AS h
       FROM (SELECT *, unnest(range(0, len(toks) - width + 1)) AS pos FROM bw WHERE width IS NOT NULL)
-      WHERE len(list_filter(kinds[pos + 1:pos + width], lambda x: NOT starts_with(x, '<'))) >= CASE WHEN width = 8 THEN 5 ELSE 3 END),
+      WHERE len(list_filter(toks[pos + 1:pos + width], lambda x: x > '{SIGN_MARK}')) >= CASE WHEN width = 8 THEN 5 ELSE 3 END),
 n AS (SELECT item, count(DISTINCT pos) AS windows FROM w GROUP BY item),
-p AS (SELECT id, s.width, place, array_to_string(kinds[place + 1:place + s.width], ' ') AS h
+p AS (SELECT id, s.width, place, array_to_string(toks[place + 1:place + s.width], ' ') AS h
       FROM (SELECT d.*, v.width, unnest(range(0, len(toks) - v.width + 1)) AS place FROM d, (SELECT DISTINCT width FROM w) v) s),
 m AS (SELECT DISTINCT p.id, w.item, w.width, w.pos, p.place - w.pos AS shift FROM p JOIN w ON p.h = w.h AND p.width = w.width),
-a AS (SELECT id, item, width, shift, count(*) AS matched, min(pos) AS low, max(pos) AS high FROM m GROUP BY ALL),
-s AS (SELECT a.*, list_filter(list_transform(range(low + 1, high + width + 1), lambda i:
-        {{'k': b.kinds[i], 'l': d.kinds[i + shift], 'i': lower(rtrim(b.toks[i], '.!?')), 'o': lower(rtrim(d.toks[i + shift], '.!?'))}}),
-        lambda x: starts_with(x.k, '<') AND x.k = x.l) AS slots
-      FROM a JOIN b ON a.item = b.id JOIN d ON a.id = d.id),
-c AS (SELECT * FROM s WHERE len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x.k || ' ' || x.i)))
-                        AND len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x.k || ' ' || x.o)))),
+q AS (SELECT *, pos - row_number() OVER (PARTITION BY id, item, width, shift ORDER BY pos) AS run FROM m),
+a AS (SELECT id, item, width, shift, run, count(*) AS matched, min(pos) AS low, max(pos) AS high FROM q GROUP BY ALL),
+c AS (SELECT a.* FROM a JOIN b ON a.item = b.id JOIN d ON a.id = d.id WHERE {_slots_sql()}),
 f AS (SELECT id, item, sum(matched) AS matched FROM c JOIN n USING (item) GROUP BY id, item, windows HAVING sum(matched) >= least(6, ceil(windows / 2))),
 r AS (SELECT id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, sum(matched) AS matched FROM f GROUP BY id)
 SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(items, '') AS items, CAST(coalesce(matched, 0) AS BIGINT) AS matched
