@@ -234,18 +234,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = at.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
     at = common.materialize(at.join(split, "h"))
     texts = common.materialize(texts.join(at.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    bound = sharable(texts)
-    bound = common.materialize(bound.filter(F.col("most") >= SIMILAR * F.col("weight") - 1e-9))
-    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"]).join(reps.select("rep", "sketch"), "rep")
-    at = at.select("h", "rep", "root", "similarity", "weight", "most", "sketch")
+    held = texts
+    for _ in range(2):  # without the texts that can link to none, the others share less
+        bound = common.materialize(sharable(held).filter(F.col("most") >= SIMILAR * F.col("weight") - 1e-9))
+        held = texts.join(bound.select(F.col("rep").alias("id")), "id", "left_semi")
+    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"]).join(reps.select("rep", "sketch", "bands"), "rep")
+    at = at.select("h", "rep", "root", "similarity", "weight", "most", "sketch", "bands")
     at = common.materialize(at)
     other = at.select("h", *[F.col(c).alias(f"{c}2") for c in at.columns[1:]])
     rest = at.join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")))
     rest = rest.filter(F.abs(F.col("similarity") - F.col("similarity2")) <= 1 - SIMILAR + 1e-9)
     rest = rest.filter(F.least("most", "most2") * (1 + SIMILAR) >= SIMILAR * (F.col("weight") + F.col("weight2")) - 1e-9)
     differ = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    rest = rest.filter(differ <= APART)
-    rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
+    once = F.col("h") == F.array_min(F.array_intersect("bands", "bands2"))  # a pair comes up in its first bucket only
+    rest = rest.filter(differ <= APART).filter(once)
+    rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), "root", "root2", differ.alias("differ")))
+    # the likeliest link of each text to each component first; those that it joins need no more links
+    first = rest.groupBy("a", "root2").agg(F.min_by("b", F.struct("differ", "b")).alias("b")).select("a", "b")
+    tried = common.materialize(verify(first, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b"))
+    links = common.materialize(links.unionByName(tried))
+    roots = common.materialize(components(links))
+    root_of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    rest = rest.select("a", "b").join(first, ["a", "b"], "left_anti").join(root_of("a", "x"), "a", "left").join(root_of("b", "y"), "b", "left")
+    rest = common.materialize(rest.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
     more = verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = components(links.unionByName(more))
     out = member.join(roots, member["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
