@@ -17,9 +17,9 @@ class ScanLimit(ValueError):
 def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_entries: int = 100_000) -> DataFrame:
     """(path, size, modified, category, language, status, hash, text) of the files under a folder; ignored and sensitive ones are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = F.lit(root.rstrip("/").removeprefix("file://") + "/")
-    path = F.regexp_replace(F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), prefix, -1), "^/+", "")
-    rows = files.withColumn("path", path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    rows = files.withColumn("path", F.expr(f"substring(path, {len(top.rstrip('/')) + 2})"))
     rows = rows.filter(~P.is_ignored(F.col("path")) & ~P.is_sensitive(F.col("path")))
     if rows.select("path").count() > max_entries:
         raise ScanLimit(f"more than {max_entries} files")
