@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policies as P
 from ..functions import text as T
-from ..operators import evaluate, graph, pack, provenance, ranges, review, scoring
+from ..operators import capsule, evaluate, graph, pack, provenance, ranges, relationships, review, scoring
 from ..operators import evidence as E
 from ..operators import signals as S
 from ..sources import store
@@ -520,3 +520,64 @@ def pack_v2(spark, sf):
     levels = ranges.ladder(c, B.files(spark, sf), B.symbols(spark, sf))
     return pack.by_plan(c, levels, 8000, 200, facet="source")
 
+
+
+@query()
+def search_v2(spark, sf):
+    """The second scorer with structural and relation evidence, fused and ranked by tier first."""
+    files = B.files(spark, sf)
+    second = _second(spark, sf)
+    category = files.select("path", "category")
+    order = [F.col("tier"), F.desc("score"), F.desc("signals"), F.desc("families"), P.category_priority(F.col("category")), F.col("path")]
+    primary = materialize(scoring.top(scoring.fold_score(second).join(category, "path"), scoring.PRIMARY, *order))
+    links = materialize(graph.merge_edges(graph.link_tests(files).unionByName(_next_edges(spark, sf))))
+    found = primary.select("task_id", "path")
+    near = graph.expand(primary.select("task_id", "path", "score", "rank"), links, known=found)
+    near = near.withColumn("weight", F.least(F.lit(55.0), T.round6(F.col("weight") * (0.18 / graph.INHERITED)))).withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("path"), F.col("source"), F.col("distance")))
+    related = relationships.expand(primary, relationships.from_edges(links), found, plan_kinds=("TEST_IMPORT", "TEST_ASSOCIATION"))
+    columns = ["task_id", "path", "id", "kind", "family", "signal", "symbol", "weight"]
+    none = F.lit(None).cast("string")
+    rows = second.join(found, ["task_id", "path"], "left_semi").select(*columns)
+    rows = rows.unionByName(near.join(category.select("path"), "path", "left_semi").withColumn("symbol", none).select(*columns))
+    rows = rows.unionByName(related.select("task_id", "path", T.hashed_id("evidence", 24, F.col("relation_id"), F.col("source"), F.col("kind")).alias("id"), "kind", F.lit("RELATIONSHIP").alias("family"), none.alias("signal"), "symbol", "weight"))
+    final = scoring.fold_score(materialize(rows)).join(category, "path")
+    return scoring.top(final, 20, *order).select("task_id", "rank", "path", "score", "tier")
+
+
+RELATED = f"""{EDGES}, rel AS (SELECT CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'FILE_DEPENDS_ON_FILE' ELSE 'TEST_ASSOCIATED_WITH_FILE' END AS type, source_path, target_path, CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'EXACT' ELSE 'HIGH' END AS confidence, CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'STRUCTURAL_FACT' ELSE 'HEURISTIC' END AS classification FROM edges WHERE kind <> 'DOCUMENT_RELATES_TO_FILE')"""
+
+
+@query(f"""{RELATED} SELECT 'relation_' || left(sha256(type || chr(0) || source_path || chr(0) || chr(0) || target_path || chr(0) || chr(0) || classification), 24) AS relation_id, type, source_path, target_path, confidence, classification FROM rel""")
+def file_relations(spark, sf):
+    return relationships.from_edges(B.edges(spark, sf)).select("relation_id", "type", "source_path", "target_path", "confidence", "classification")
+
+
+@query(f"""{RELATED}, idd AS (SELECT *, 'relation_' || left(sha256(type || chr(0) || source_path || chr(0) || chr(0) || target_path || chr(0) || chr(0) || classification), 24) AS relation_id FROM rel),
+dg AS (SELECT p, count(*) AS degree FROM (SELECT source_path AS p FROM idd UNION ALL SELECT target_path FROM idd) GROUP BY p),
+seed AS (SELECT * FROM (SELECT 'supp/' || s_suppkey AS seed, CAST(s_acctbal AS DOUBLE) AS score, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier) WHERE rank <= 24),
+both_ AS (SELECT seed, score, rank, i.*, target_path AS path FROM seed JOIN idd i ON seed = source_path UNION ALL SELECT seed, score, rank, i.*, source_path FROM seed JOIN idd i ON seed = target_path),
+k AS (SELECT *, CASE type WHEN 'FILE_DEPENDS_ON_FILE' THEN 'BOUNDED_DEPENDENT' ELSE 'TEST_ASSOCIATION' END AS kind FROM both_),
+c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, kind ORDER BY type, source_path, target_path, relation_id) AS n FROM k) WHERE n <= CASE kind WHEN 'BOUNDED_DEPENDENT' THEN 16 ELSE 8 END),
+c2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY type, source_path, target_path, relation_id) AS m FROM c1) WHERE m <= 16),
+c3 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rank, type, source_path, target_path, relation_id) AS t FROM c2) WHERE t <= 256)
+SELECT seed AS source, path, kind, relation_id, CASE WHEN path IN (SELECT seed FROM seed) THEN 0.0 ELSE {R6("least(18.0, score * 0.06 * CASE kind WHEN 'BOUNDED_DEPENDENT' THEN 0.62 ELSE 0.42 END * CASE confidence WHEN 'EXACT' THEN 1.0 ELSE 0.86 END * CASE WHEN greatest(a.degree, b.degree) <= 1 THEN 1.0 ELSE least(1.0, log2(3.0) / log2(2.0 + greatest(a.degree, b.degree))) END)")} END AS weight
+FROM c3 JOIN dg a ON a.p = path JOIN dg b ON b.p = seed""")
+def expand_relations(spark, sf):
+    s = B.table(spark, sf, "supplier").select(F.lit(1).alias("task_id"), F.concat(F.lit("supp/"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_acctbal").alias("score"), F.lit(1).alias("tier"), "s_suppkey")
+    seeds = materialize(scoring.top(s, 24, F.desc("score"), F.col("s_suppkey")))
+    relations = relationships.from_edges(B.edges(spark, sf))
+    return relationships.expand(seeds, relations, seeds.select("task_id", "path")).select("source", "path", "kind", "relation_id", "weight")
+
+
+@query("""SELECT * FROM (VALUES ('contribution_without_candidate', 0::BIGINT), ('selection_without_candidate', 0), ('score_is_not_the_sum', 0), ('rank_repeats', 0), ('over_budget', 0), ('hash_differs', 0)) v("check", violations)""")
+def capsule_check(spark, sf):
+    """Capsules of the search and its packing hold their own invariants."""
+    direct = _direct(spark, sf)
+    parts = materialize(scoring.contributions(direct))
+    ranked = scoring.score(direct).join(B.files(spark, sf).select("path", "category"), "path")
+    ranked = materialize(scoring.top(ranked, 64, F.desc("score"), P.category_priority(F.col("category")), F.col("path")))
+    levels = ranges.ladder(ranked, B.files(spark, sf), B.symbols(spark, sf))
+    roles = ranked.select("task_id", "path", "rank", pack.role_of(F.col("category"), F.lit("DIRECT")).alias("role"))
+    chosen = pack.by_quota(roles, levels, 8000, 200).filter("level >= 0")
+    parts = parts.join(ranked.select("task_id", "path"), ["task_id", "path"], "left_semi")
+    return capsule.check(materialize(capsule.build(ranked, parts, chosen, 8000)))
