@@ -17,7 +17,7 @@ MOST_BITS = 8.0
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: `und`, or coded worse than raw bytes."""
-    model = language_id.fit(docs)
+    model = language_id.fit(docs.filter(~common.held_out()))
     seen = language_id.identify(spark, docs, model)
     return seen.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
 
