@@ -126,7 +126,7 @@ def _lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts, sketches = [], []
+        parts, sketches, weights = [], [], []
         for a, z, data, offsets in common.text_slices(batch.column("text")):
             index, cell = cells(data, offsets)
             signature = signatures(index, cell, z - a)
@@ -139,9 +139,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nibbles[:, :K] = common.mix(signature) >> np.uint64(60)
             shift = np.arange(0, 64, 4, dtype=np.uint64)
             parts.append(_lists(bands, full))
+            weights.append(np.bincount(index, minlength=z - a))
             sketches.append(_lists((nibbles.reshape(z - a, SKETCH, 16) << shift).sum(2, dtype=np.uint64), full))
         columns = [pa.chunked_array(x, pa.list_(pa.int64())).combine_chunks() for x in (parts, sketches)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], names=["doc_id", "key", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns, pa.array(np.concatenate(weights) if weights else [], pa.int64())], names=["doc_id", "key", "bands", "sketch", "weight"])
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
@@ -184,24 +185,14 @@ def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array((cell >> np.uint64(24)).astype(np.int64))], names=["id", "cell"])
 
 
-def sharable(texts: DataFrame) -> DataFrame:
-    """(rep, weight, most): a text's weight, and the part of it that another of the texts (id, text) has too.
+def own_weight(texts: DataFrame) -> DataFrame:
+    """(rep, own): how much of a text's weight no other of the texts (id, text) has any part in.
 
-    Cells go by 40 bits of their hash: a collision can only raise `most`, so it stays a bound."""
+    Cells go by 40 bits of their hash: a collision can only lower `own`, which then still bounds."""
     kind = texts.schema["id"].dataType.simpleString()
     cell = texts.mapInArrow(_weights, f"id {kind}, cell long")
-    cell = cell.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    own = cell.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    weight = texts.mapInArrow(_totals, f"id {kind}, weight long")
-    return weight.join(own, "id", "left").select(F.col("id").alias("rep"), "weight", (F.col("weight") - F.coalesce("own", F.lit(0))).alias("most"))
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, z, data, offsets in common.text_slices(batch.column("text")):
-            size = np.diff(common.words(data, offsets)[3])
-            weight = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, z - a), pa.array(weight)], names=["id", "weight"])
+    cell = cell.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+    return cell.filter("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +200,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.filter("doc_id is not null").withColumn("key", F.md5("text"))
-    signed = common.materialize(named.mapInArrow(_bands, f"doc_id {kind}, key string, bands array<long>, sketch array<long>"))
+    signed = common.materialize(named.mapInArrow(_bands, f"doc_id {kind}, key string, bands array<long>, sketch array<long>, weight long"))
     # equal texts count once, under their least id
     alone = signed.filter("bands is null").select("doc_id", F.col("doc_id").alias("rep"))
-    reps = common.materialize(signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch"))
+    reps = common.materialize(signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands", "sketch", "weight")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch", "x.weight"))
     member = signed.filter("bands is not null").select("doc_id", "key").join(reps.select("key", "rep"), "key").select("doc_id", "rep")
 
     buckets = reps.select("rep", F.explode("bands").alias("h"))
@@ -233,14 +224,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = buckets.join(roots, buckets["rep"] == roots["node"], "left").select("h", "rep", "a", F.coalesce("root", "rep").alias("root"))
     split = at.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
     at = common.materialize(at.join(split, "h"))
-    texts = common.materialize(texts.join(at.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    apart = at.select("rep").distinct()
+    apart = common.materialize(reps.select("rep", "sketch", "bands", "weight").join(apart, "rep", "left_semi"))
+    texts = common.materialize(texts.join(apart.select(F.col("rep").alias("id")), "id", "left_semi"))
     held = texts
     for _ in range(2):  # without the texts that can link to none, the others share less
-        bound = common.materialize(sharable(held).filter(F.col("most") >= SIMILAR * F.col("weight") - 1e-9))
+        bound = apart.join(own_weight(held), "rep", "left").withColumn("most", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own")
+        bound = common.materialize(bound.filter(F.col("most") >= SIMILAR * F.col("weight") - 1e-9))
         held = texts.join(bound.select(F.col("rep").alias("id")), "id", "left_semi")
-    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"]).join(reps.select("rep", "sketch", "bands"), "rep")
-    at = at.select("h", "rep", "root", "similarity", "weight", "most", "sketch", "bands")
-    at = common.materialize(at)
+    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"])
+    at = common.materialize(at.select("h", "rep", "root", "similarity", "weight", "most", "sketch", "bands"))
     other = at.select("h", *[F.col(c).alias(f"{c}2") for c in at.columns[1:]])
     rest = at.join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")))
     rest = rest.filter(F.abs(F.col("similarity") - F.col("similarity2")) <= 1 - SIMILAR + 1e-9)
@@ -248,15 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differ = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     once = F.col("h") == F.array_min(F.array_intersect("bands", "bands2"))  # a pair comes up in its first bucket only
     rest = rest.filter(differ <= APART).filter(once)
-    rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), "root", "root2", differ.alias("differ")))
-    # the likeliest link of each text to each component first; those that it joins need no more links
-    first = rest.groupBy("a", "root2").agg(F.min_by("b", F.struct("differ", "b")).alias("b")).select("a", "b")
-    tried = common.materialize(verify(first, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b"))
-    links = common.materialize(links.unionByName(tried))
-    roots = common.materialize(components(links))
-    root_of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
-    rest = rest.select("a", "b").join(first, ["a", "b"], "left_anti").join(root_of("a", "x"), "a", "left").join(root_of("b", "y"), "b", "left")
-    rest = common.materialize(rest.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
+    rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
     more = verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = components(links.unionByName(more))
     out = member.join(roots, member["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
