@@ -162,7 +162,7 @@ def _eligible(spark, sf):
 
 
 def _direct(spark, sf):
-    asked, files = materialize(S.signals(B.tasks(spark, sf))), _eligible(spark, sf)
+    asked, files = materialize(S.signals(B.tasks(spark, sf))), materialize(_eligible(spark, sf))
     return E.identity(asked, files).unionByName(E.lexical(asked, files))
 
 
@@ -301,14 +301,14 @@ def git_recency(spark, sf):
 IMPORTS = """imp AS (SELECT path, 0 AS ordinal, CASE doc_id % 5 WHEN 0 THEN './doc_' || (doc_id + 8) WHEN 1 THEN '../src/doc_' || (doc_id - doc_id % 8) WHEN 2 THEN '../../../../outside' WHEN 3 THEN 'react' ELSE '../tests/doc_' || (doc_id - doc_id % 8 + 1) || '.test.ts' END AS specifier, doc_id, regexp_extract(path, '^(.*)/[^/]*/[^/]*$', 1) AS up FROM files)"""
 
 
-def _imports(spark, sf):
+def _imports_of(files):
     i = F.col("doc_id")
     base = i - i % 8
     spec = (
         F.when(i % 5 == 0, F.concat(F.lit("./doc_"), (i + 8).cast("string"))).when(i % 5 == 1, F.concat(F.lit("../src/doc_"), base.cast("string")))
         .when(i % 5 == 2, "../../../../outside").when(i % 5 == 3, "react").otherwise(F.concat(F.lit("../tests/doc_"), (base + 1).cast("string"), F.lit(".test.ts")))
     )
-    return B.files(spark, sf).select("path", F.lit(0).alias("ordinal"), spec.alias("specifier"))
+    return files.select("path", F.lit(0).alias("ordinal"), spec.alias("specifier"))
 
 
 @query(f"""{FILES}, {IMPORTS}, b AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) || '/doc_' || (doc_id + 8) WHEN 1 THEN up || '/src/doc_' || (doc_id - doc_id % 8) WHEN 4 THEN up || '/tests/doc_' || (doc_id - doc_id % 8 + 1) || '.test.ts' END AS base FROM imp),
@@ -316,7 +316,7 @@ q AS (SELECT path, base, unnest(CASE WHEN doc_id % 5 IN (2, 3) THEN CAST([] AS V
 h AS (SELECT q.path, count(*) AS n, min(c) AS target FROM q JOIN files f ON q.c = f.path GROUP BY q.path)
 SELECT b.path, specifier, CASE doc_id % 5 WHEN 2 THEN 'unsafe' WHEN 3 THEN 'external' ELSE CASE coalesce(n, 0) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved_internal' ELSE 'ambiguous' END END AS status, CASE WHEN n = 1 THEN target END AS target_path FROM b LEFT JOIN h USING (path)""")
 def import_resolution_status(spark, sf):
-    return graph.resolve_imports(_imports(spark, sf), B.files(spark, sf)).select("path", "specifier", "status", "target_path")
+    return graph.resolve_imports(_imports_of(B.files(spark, sf)), B.files(spark, sf)).select("path", "specifier", "status", "target_path")
 
 
 @query("""SELECT 'tests/o/n' || n_nationkey || '.test.ts' AS source_path, CASE n_nationkey % 5 WHEN 2 THEN 'src/o/n' ELSE 'src/m/n' END || n_nationkey || '.ts' AS target_path,
@@ -483,20 +483,22 @@ def stale_path_union(spark, sf):
 
 @query()
 def search_v1(spark, sf):
-    links = materialize(graph.merge_edges(graph.link_tests(B.files(spark, sf)).unionByName(_next_edges(spark, sf))))
+    files = materialize(B.files(spark, sf))  # read by every part of the plan; classified once
+    links = materialize(graph.merge_edges(graph.link_tests(files).unionByName(_next_edges(files))))
     changes = B.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
-    changes = B.files(spark, sf).join(changes, F.col("doc_id") == F.col("user_id")).select("path", F.lit("clean").alias("status"), "commits")
-    return search.search(B.tasks(spark, sf), B.files(spark, sf), edges=links, changes=changes)
+    changes = files.join(changes, F.col("doc_id") == F.col("user_id")).select("path", F.lit("clean").alias("status"), "commits")
+    return search.search(B.tasks(spark, sf), files, edges=links, changes=changes)
 
 
-def _next_edges(spark, sf):
-    resolved = graph.resolve_imports(_imports(spark, sf), B.files(spark, sf)).filter("target_path is not null and target_path != path")
+def _next_edges(files):
+    resolved = graph.resolve_imports(_imports_of(files), files).filter("target_path is not null and target_path != path")
     return resolved.select(F.lit("FILE_IMPORTS_FILE").alias("kind"), F.col("path").alias("source_path"), "target_path", F.lit(1.0).alias("confidence"), F.lit("structural").alias("derivation"))
 
 
 def _candidates(spark, sf):
-    ranked = search.baseline(B.tasks(spark, sf), B.files(spark, sf), 64)
-    return materialize(ranked).join(B.files(spark, sf).select("path", "category", "text"), "path")
+    files = materialize(B.files(spark, sf))
+    ranked = search.baseline(B.tasks(spark, sf), files, 64)
+    return materialize(materialize(ranked).join(files.select("path", "category", "text"), "path"))
 
 
 @query()
@@ -525,12 +527,12 @@ def pack_v2(spark, sf):
 @query()
 def search_v2(spark, sf):
     """The second scorer with structural and relation evidence, fused and ranked by tier first."""
-    files = B.files(spark, sf)
+    files = materialize(B.files(spark, sf))
     second = _second(spark, sf)
     category = files.select("path", "category")
     order = [F.col("tier"), F.desc("score"), F.desc("signals"), F.desc("families"), P.category_priority(F.col("category")), F.col("path")]
     primary = materialize(scoring.top(scoring.fold_score(second).join(category, "path"), scoring.PRIMARY, *order))
-    links = materialize(graph.merge_edges(graph.link_tests(files).unionByName(_next_edges(spark, sf))))
+    links = materialize(graph.merge_edges(graph.link_tests(files).unionByName(_next_edges(files))))
     found = primary.select("task_id", "path")
     near = graph.expand(primary.select("task_id", "path", "score", "rank"), links, known=found)
     near = near.withColumn("weight", F.least(F.lit(55.0), T.round6(F.col("weight") * (0.18 / graph.INHERITED)))).withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("path"), F.col("source"), F.col("distance")))
