@@ -161,6 +161,7 @@ def identify(spark: SparkSession, df: DataFrame, model: PpmModel, keep: list[str
     among those learned, all equally likely before) and bits_per_byte (of the best language; null if und)."""
     names = {"lang_pred", "score", "bits_per_byte"}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
+    source = "text" if "text" in keep else "__text"  # a kept text travels once
     shared = spark.sparkContext.broadcast(model)
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
@@ -170,7 +171,7 @@ def identify(spark: SparkSession, df: DataFrame, model: PpmModel, keep: list[str
         model = shared.value
         langs = np.array([*model.languages, "und"], object)
         for batch in batches:
-            texts, letter = batch.column("__text"), batch.column("__letter").to_numpy(zero_copy_only=False)
+            texts, letter = batch.column(source), batch.column("__letter").to_numpy(zero_copy_only=False)
             pred, chance, per = np.full(len(texts), len(langs) - 1), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if model.languages:
                 for a, z, data, offsets in common.text_slices(texts):
@@ -184,7 +185,7 @@ def identify(spark: SparkSession, df: DataFrame, model: PpmModel, keep: list[str
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(langs[pred], pa.string()), pa.array(chance), pa.array(per, mask=np.isnan(per))], names=schema.names)
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
-    return df.select(*keep, F.col("text").alias("__text"), letter.alias("__letter")).mapInArrow(score, schema)
+    return df.select(*keep, *([] if "text" in keep else [F.col("text").alias(source)]), letter.alias("__letter")).mapInArrow(score, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

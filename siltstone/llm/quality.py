@@ -129,6 +129,7 @@ def fit(labelled: DataFrame, max_texts: int = MAX_TEXTS) -> Network:
 def score(spark: SparkSession, df: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all of df's, if None) with score (0 to 1: the chance of label 1)."""
     keep = [c for c in (df.columns if keep is None else keep) if c != "score"]
+    source = "text" if "text" in keep else "__text"  # a kept text travels once
     shared = spark.sparkContext.broadcast(net)
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
@@ -136,12 +137,12 @@ def score(spark: SparkSession, df: DataFrame, net: Network, keep: list[str] | No
         net = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, z, data, offsets in common.text_slices(batch.column("__text")):
+            for a, z, data, offsets in common.text_slices(batch.column(source)):
                 for i in range(z - a):
                     out[a + i] = net.score(data[offsets[i] : offsets[i + 1]])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], names=schema.names)
 
-    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(apply, schema)
+    return df.select(*keep, *([] if "text" in keep else [F.col("text").alias(source)])).mapInArrow(apply, schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
