@@ -29,9 +29,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("category", P.category_of(F.col("path")))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task_id, text): all user turns, for what reads each task by itself."""
+    return _asked(table(spark, sf_dir, "conversations").filter("role = 'user'"))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task_id, text): the user turns of every hundredth conversation."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 100 = 0")
+    """(task_id, text): the user turns of every hundredth conversation, for what searches files with them."""
+    return _asked(table(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 100 = 0"))
+
+
+def _asked(turns: DataFrame) -> DataFrame:
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id"), "text")
 
 

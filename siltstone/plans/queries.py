@@ -114,12 +114,12 @@ def bounded_text(spark, sf):
 
 @query(f"{SIGNALS} SELECT task_id, kind, value, normalized, origin, derived_from, low_value FROM signals")
 def task_signals(spark, sf):
-    return S.signals(B.tasks(spark, sf))
+    return S.signals(B.turns(spark, sf))
 
 
 @query(f"""{SIGNALS} SELECT t.task_id, CAST(count(s.kind) AS BIGINT) AS n_signals, NOT coalesce(bool_or(NOT low_value AND len(normalized) >= 2), false) AS low_information FROM tasks t LEFT JOIN signals s USING (task_id) GROUP BY t.task_id""")
 def low_information_tasks(spark, sf):
-    return S.diagnostics(B.tasks(spark, sf)).select("task_id", F.col("n_signals").cast("long").alias("n_signals"), "low_information")
+    return S.diagnostics(B.turns(spark, sf)).select("task_id", F.col("n_signals").cast("long").alias("n_signals"), "low_information")
 
 
 @query("""SELECT item_id, CASE WHEN regexp_matches(text, '(?i)\\b(?:fix|repair|resolve|correct|bug|failure|failing|race|stale|revert)\\b') THEN 'FIX' WHEN regexp_matches(text, '(?i)\\b(?:refactor|rename|restructure|extract)\\b') THEN 'REFACTOR'
