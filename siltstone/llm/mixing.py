@@ -5,8 +5,9 @@ their words as capacity, once at cost 1 and each further repetition at a higher,
 and a min-cost flow routes that capacity to the sources' quotas.  The flow network has a node per pattern
 and source only, so the driver sees a table that does not grow with the documents.  The words routed from
 a pattern are then turned into documents: every document is taken as often as all can be, and a seeded
-subset once more.  The subset is cut by hash bucket: whole buckets below the cut, then documents of the
-bucket at the cut in hash order, then the one document whose size best fills the gap that is left.
+subset once more.  The subset is a walk in hash order that takes every document that still fits: a round takes
+whole buckets below the cut, then documents of the bucket at the cut; the next deals the untaken documents
+no longer than the gap that is left, until none is.  Then the one document whose size best fills the gap.
 
 Defined cases: a null text has size 0; sources sort by code point, null last and a source of its own; a
 source without words has target 0; repeated rows are documents of their own, taken independently; equal
@@ -103,28 +104,45 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
     return taken
 
 
-def select(sized: DataFrame, want: dict[str, float], sizes: dict[str, int], most: int = MOST) -> DataFrame:
-    """sized (doc_id, pattern, size) with taken: words of each document that bring each pattern to `want`."""
-    spark = sized.sparkSession
-    plan = []
-    for p, w in want.items():
-        base = min(most, int(w // sizes[p])) if sizes[p] else 0
-        plan.append((p, base, w - base * sizes[p] if base < most else 0.0))
-    plan = F.broadcast(spark.createDataFrame(plan, "pattern string, base int, more double"))  # at most MAX_PATTERNS rows
-    hashed = sized.withColumn("h", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("h", 1, DIGITS))
-    buckets = hashed.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
+def deal(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """rows (doc_id, pattern, size, h, bucket) with extra: the first of each pattern in hash order, up to the one that
+    would exceed its room (pattern, room); whole buckets below the cut, single rows in the bucket at the cut."""
+    buckets = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     below = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = common.materialize(buckets.withColumn("below", below))
-    cut = hashed.join(buckets, ["pattern", "bucket"]).join(plan, "pattern")
-    inside = (F.col("below") < F.col("more")) & (F.col("below") + F.col("words") > F.col("more"))
-    whole = cut.filter(~inside).withColumn("extra", (F.col("below") + F.col("words") <= F.col("more")) & (F.col("size") > 0))
+    cut = rows.join(buckets, ["pattern", "bucket"]).join(F.broadcast(room), "pattern")
+    inside = (F.col("below") < F.col("room")) & (F.col("below") + F.col("words") > F.col("room"))
+    whole = cut.filter(~inside).withColumn("extra", (F.col("below") + F.col("words") <= F.col("room")) & (F.col("size") > 0))
     upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    edge = cut.filter(inside).withColumn("extra", F.col("below") + upto <= F.col("more"))
-    chosen = common.materialize(whole.unionByName(edge).select("doc_id", "pattern", "size", "h", "base", "more", "extra"))
-    short = chosen.groupBy("pattern").agg((F.first("more") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
+    edge = cut.filter(inside).withColumn("extra", F.col("below") + upto <= F.col("room"))
+    return whole.unionByName(edge).select("doc_id", "pattern", "size", "h", "bucket", "extra")
+
+
+def select(sized: DataFrame, want: dict[str, float], sizes: dict[str, int], most: int = MOST) -> DataFrame:
+    """sized (doc_id, pattern, size) with taken: words of each document that bring each pattern to `want`."""
+    spark = sized.sparkSession
+    table = lambda values, names: F.broadcast(spark.createDataFrame(values, names))  # noqa: E731  # at most MAX_PATTERNS rows
+    base = {p: min(most, int(w // sizes[p])) if sizes[p] else 0 for p, w in want.items()}
+    room = {p: w - base[p] * sizes[p] if base[p] < most else 0.0 for p, w in want.items()}
+    rest = sized.withColumn("h", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("h", 1, DIGITS))
+    settled = []
+    while True:  # the first row of a round fits, so each round takes some
+        dealt = common.materialize(deal(rest, table(list(room.items()), "pattern string, room double")))
+        spent = dealt.filter("extra").groupBy("pattern").agg(F.sum("size").alias("words")).collect()
+        room |= {r["pattern"]: room[r["pattern"]] - r["words"] for r in spent}
+        dealt = dealt.join(table(list(room.items()), "pattern string, gap double"), "pattern")
+        fits = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+        settled.append(dealt.filter(~fits).drop("gap", "bucket"))
+        rest = dealt.filter(fits).drop("gap", "extra")
+        if rest.isEmpty():
+            break
+    chosen = settled[0]
+    for more in settled[1:]:
+        chosen = chosen.unionByName(more)
+    chosen = chosen.join(table([(p, base[p], room[p]) for p in want], "pattern string, base int, gap double"), "pattern")
     # the one document that best fills the gap, if it brings the pattern closer
     fits = F.when(~F.col("extra") & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")), F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "h", "doc_id", "size"))
-    best = chosen.join(F.broadcast(short), "pattern").groupBy("pattern").agg(F.min(fits).alias("best")).select("pattern", "best.h", "best.doc_id", "best.size").filter("h is not null")
+    best = chosen.groupBy("pattern").agg(F.min(fits).alias("best")).select("pattern", "best.h", "best.doc_id", "best.size").filter("h is not null")
     filler = best.select("pattern", F.col("h").alias("fh"), F.col("doc_id").alias("fid"), F.col("size").alias("fsize"))
     chosen = chosen.join(F.broadcast(filler), "pattern", "left")
     again = (F.col("h") == F.col("fh")) & F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("size") == F.col("fsize"))
