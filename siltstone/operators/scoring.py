@@ -17,6 +17,7 @@ WEIGHTS = {
 }
 FAMILY_CAPS = {"IDENTITY": 150, "LEXICAL": 120, "STRUCTURAL": 65, "GIT": 5}
 LEXICAL_SIGNAL_CAP = 50
+OWNERSHIP = 44
 PER_SIGNAL, MAX_DIRECT, PRIMARY, FINAL = 32, 64, 200, 256
 FAMILY_CAPS_2 = {"IDENTITY": 190, "LEXICAL": 120, "SYMBOL": 64, "STRUCTURAL": 55, "RELATIONSHIP": 18, "GIT": 3}
 SIGNAL_CAP_2, SIGNAL_BONUS, MAX_SIGNAL_BONUS, FAMILY_BONUS, MAX_FAMILY_BONUS = 92, 4, 20, 8, 24

@@ -251,7 +251,7 @@ def score_v2_fold(spark, sf):
 
 @query()
 def fuse_v2(spark, sf):
-    kinds = {"IDENTITY": 24, "LEXICAL": 32}
+    kinds = {"IDENTITY": 24, "LEXICAL": 32, "SYMBOL": 32}
     kept = scoring.bounded(_second(spark, sf).withColumn("source_kind", F.col("family")), kinds, 96)
     category = B.files(spark, sf).select("path", "category")
     scored = scoring.fold_score(kept).join(category, "path")
@@ -260,8 +260,17 @@ def fuse_v2(spark, sf):
 
 
 def _second(spark, sf):
-    rows = materialize(scoring.deduplicate(_direct(spark, sf)))
-    return rows.withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("signal"), F.col("target"))).withColumn("symbol", F.lit(None).cast("string"))
+    """Direct evidence for the second scorer: names, symbols, imports, verified words and the symbols that own them."""
+    asked, files = materialize(S.signals(B.tasks(spark, sf))), materialize(_eligible(spark, sf))
+    symbols = materialize(_of(B.symbols(spark, sf), files))
+    named = E.identity(asked, files, symbols, _imports_of(files)).withColumn("symbol", F.lit(None).cast("string"))
+    rows = named.unionByName(E.verified(asked, files, symbols))
+    rows = rows.groupBy("task_id", "path", "kind", "family", "signal", "target", "distance", "source", "symbol").agg(F.max("weight").alias("weight"))
+    return materialize(rows).withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("signal"), F.col("target")))
+
+
+def _of(symbols, files):
+    return symbols.join(files.select("path"), "path", "left_semi")
 
 
 # ---- graphs ----
@@ -487,7 +496,9 @@ def search_v1(spark, sf):
     links = materialize(graph.merge_edges(graph.link_tests(files).unionByName(_next_edges(files))))
     changes = B.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
     changes = files.join(changes, F.col("doc_id") == F.col("user_id")).select("path", F.lit("clean").alias("status"), "commits")
-    return search.search(B.tasks(spark, sf), files, edges=links, changes=changes)
+    eligible = files.filter(~F.col("category").isin("generated", "dependency", "binary_asset"))
+    symbols = materialize(_of(B.symbols(spark, sf), eligible))
+    return search.search(B.tasks(spark, sf), files, symbols, _imports_of(eligible), edges=links, changes=changes)
 
 
 def _next_edges(files):
