@@ -7,7 +7,8 @@ that name an invented licence, and from a bounded sample of the corpus' own line
 Probabilities are calibrated by a temperature that a held-out fold of those sentences picks; a family
 below MIN_CHANCE becomes `unknown`.  N-grams of common words alone are no features; a line without any word
 of a feature with weight has the bias alone, which says `none`, so such lines are dropped by their words.  A prediction is confirmed if the paragraph holds most word pairs of
-one of the family's templates; an unconfirmed family is `unknown` too.
+one of the family's templates, or one of its names as a whole sequence of words (a name of one word: in one
+of FRAMES); an unconfirmed family is `unknown` too.
 
 Defined cases: null and blank texts have no paragraph; a document without licence paragraphs has licence
 null and an empty list; of several families the likeliest is `licence`, ties to the first by name; rows of
@@ -44,7 +45,7 @@ FAMILIES: dict[str, dict[str, list[str]]] = {
         "templates": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     },
     "MIT": {
-        "names": ["MIT License", "MIT license", "MIT licence", "Expat License"],
+        "names": ["MIT License", "MIT license", "MIT licence", "Expat License", "MIT"],
         "templates": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     },
     "GPL": {
@@ -144,16 +145,32 @@ class Scanner:
         templates = F.from_json(F.lit(json.dumps(held)), "map<string,array<array<string>>>")[F.col("guess")]
         own = F.col("own")
         shared = F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
-        seen = seen.withColumn("own", pairs_of("words")).withColumn("shared", F.coalesce(shared, F.lit(0.0)))
+        line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+        whole = F.from_json(F.lit(json.dumps({f: _sequences(x["names"]) for f, x in FAMILIES.items()})), "map<string,array<string>>")[F.col("guess")]
+        bare = F.from_json(F.lit(json.dumps({f: sorted({" ".join(_words(n)) for n in x["names"] if len(_words(n)) == 1}) for f, x in FAMILIES.items()})), "map<string,array<string>>")[F.col("guess")]
+        named = F.exists(whole, lambda n: F.contains(line, n)) | F.exists(bare, lambda n: line == F.concat(F.lit(" "), n, F.lit(" ")))
+        shared = F.when(named, 1.0).otherwise(F.coalesce(shared, F.lit(0.0)))
+        seen = seen.withColumn("own", pairs_of("words")).withColumn("shared", shared)
         confirmed = (F.col("guess") != UNKNOWN) & (F.col("chance") >= MIN_CHANCE) & (F.col("shared") >= MIN_SHARED)
         seen = seen.withColumn("confirmed", confirmed).withColumn("family", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN))
         return seen.drop("words", "grams", "features", "rawPrediction", "probability", "prediction", "z", "guess", "own")
 
 
-def _pairs(text: str) -> list[str]:
+def _words(text: str) -> list[str]:
     import re
 
-    w = re.findall(r"[^\W_]+", text.lower())
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def _sequences(names: list[str]) -> list[str]:
+    """The names' words, padded by blanks; a name of one word stands in every frame but the bare one."""
+    frames = [f for f in FRAMES if f != "{}"]
+    texts = [t for n in names for t in ([n] if len(_words(n)) > 1 else [f.format(n) for f in frames])]
+    return sorted({f" {' '.join(_words(t))} " for t in texts})
+
+
+def _pairs(text: str) -> list[str]:
+    w = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True)})
 
 
