@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir
 
-__all__ = ["CHUNK_BYTES", "WORD", "grams", "held_out", "keep_some", "materialize", "mix", "row_id", "shared_dir", "table", "text_slices", "words"]
+__all__ = ["CHUNK_BYTES", "WORD", "bound_batches", "grams", "held_out", "materialize", "mix", "row_id", "shared_dir", "table", "text_slices", "words"]
 
 #: Bytes of text that the kernels take at once (one text at least).
 CHUNK_BYTES = 1 << 20
@@ -32,28 +32,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def row_id(doc_id: str, text: str) -> Column:
-    """The id; for a null id, one below all ids made of the text's hash."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)) + F.pmod(F.xxhash64(text), F.lit(2**61)))
+#: Bytes of an Arrow batch, unless the session has set its own bound.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-#: Bits of the largest bitmap that `keep_some` broadcasts: 16 MB.
-MAX_BITS = 1 << 27
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what an executor holds of texts on their way to Python: its buffers grow with the largest batch."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
-def keep_some(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of df whose key is among `wanted` (one column of that name), and a few others.
-
-    A narrow filter before a join moves wide rows: a bitmap over hashes of the wanted keys, about 64 bits for
-    each and MAX_BITS at most, is built in shards of 4 KB and broadcast. With more keys it lets more rows pass."""
-    bits = min(MAX_BITS, 1 << max(15, (64 * max(wanted.count(), 1) - 1).bit_length()))
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    shards = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_shard"))
-    shards = materialize(shards.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits")))
-    df = df.withColumn("_p", place).withColumn("_shard", F.expr("bitmap_bucket_number(_p)")).join(F.broadcast(shards), "_shard")
-    at = "bitmap_bit_position(_p)"
-    byte = f"cast(conv(hex(substring(_bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
-    return df.filter(F.expr(f"getbit({byte}, cast({at} % 8 as int)) = 1")).drop("_p", "_shard", "_bits")
+def row_id(doc_id: str, text: str) -> list[Column]:
+    """id and mark, which tell rows with different ids or texts apart: the id and the text's hash; a second hash
+    of the text stands for a null id."""
+    own = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("id"), F.col(text)))
+    return [own.alias("id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("mark")]
 
 
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,26 +1,29 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Texts become tokens; runs of capitalised words inside a sentence become name placeholders, numbers, units
-after a number and unit signs become theirs, other words are lower-cased.  Windows of eight tokens of every
-benchmark item are hash-joined with all windows of all documents, so a question with other numbers or names
-still matches.  Windows that follow one another make a run, and the fillings of a run's slots must be
-consistent: equal slot values of the item have equal values in the document and different ones different.
-A document is contaminated by an item if consistent runs match LEAK windows of it (thirteen tokens in a
-row), or half of a shorter item's windows.
-
-Windows of an item with fewer than MIN_LITERAL plain words are left out: templates of placeholders alone
-say nothing.  Items of four to seven tokens are matched by windows of four; items of under four tokens
-cannot be told from chance and never match.  The benchmark's windows are broadcast up to MAX_BROADCAST
-rows; beyond that the join shuffles.
-
-Defined cases: null and empty texts and items match nothing; items with the same id are judged together;
-items with a null id are left out; repeated rows agree; rows of one id share their findings, rows with a
-null id are told apart by their text; empty tables give no findings; other columns are ignored.
+One pass of a pattern cuts a text into tokens: runs of capitalised words become name placeholders, numbers,
+units after a number and unit signs become theirs, other words are lower-cased.  Windows of eight tokens of
+every benchmark item are hash-joined with all windows of all documents, so a question with other numbers or
+names still matches.  A window with fewer than MIN_LITERAL plain words would match by placeholders alone, so
+its hash is made of the tokens themselves: it matches what is filled alike.  Windows that follow one another
+make a run, and the fillings of a run's slots must be consistent: equal slot values of the item have equal
+values in the document and different ones different.  A document is contaminated by an item if consistent
+runs match LEAK windows of it (thirteen tokens in a row), or half of a shorter item's windows.
+
+A single capitalised word that opens a sentence may be a name or not.  Documents read it as a name; items are tried
+in three READINGS: as names, as plain words, and the item's first word alone as a plain word (an item that is
+quoted in the middle of a sentence).  Items of four to seven tokens are matched by windows of four, shorter
+ones as they stand.  Items with equal windows and equal slots are judged once, as a group, and listed last.
+The benchmark's hashes are broadcast up to MAX_BROADCAST (8 bytes each); beyond that the join shuffles.
+
+Defined cases: null and empty texts and items match nothing; items with the same id are judged one by one and
+listed once; items with a null id are left out; rows are told apart by id and text, so repeated rows agree and
+texts under one id (or a null id) have findings of their own; empty tables give no findings; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,160 +34,197 @@ UNITS = [
     "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "percent", "dollar", "dollars", "euro", "euros", "cents", "liters", "litres", "degrees", "mph", "kmh",
 ]
-#: The placeholders, and the patterns that they stand for, in the order of replacement: pattern, value's group, replacement.
-NAME_MARK, NUMBER_MARK, UNIT_MARK, SIGN_MARK = "\x01", "\x02", "\x03", "\x04"
-MARKS = [
-    (NAME_MARK, r"([^.!? \t\n\r][ \t\n\r])(\p{Lu}[\p{L}\p{M}]*(?:[ \t\n\r]\p{Lu}[\p{L}\p{M}]*)*)", 2, "$1" + NAME_MARK),
-    (NUMBER_MARK, r"[0-9]+(?:[.,][0-9]+)*", 0, f" {NUMBER_MARK} "),
-    (UNIT_MARK, f"({NUMBER_MARK} {{1,3}})({'|'.join(UNITS)})([^\\p{{L}}]|$)", 2, f"$1{UNIT_MARK}$3"),
-    (SIGN_MARK, "[%$€£°]+", 0, f" {SIGN_MARK} "),
-]
-TOKEN = f"[\\p{{L}}\\p{{M}}{NAME_MARK}-{SIGN_MARK}]+"
+NAME, NUMBER, UNIT, SIGN = 1, 2, 3, 4
+_SIGNS = "%$€£°"
+_LETTERS = r"[\p{L}\p{M}]"
+#: Runs of capitalised words, other words, numbers, signs; in items also what ends a sentence.
+TOKEN = rf"\p{{Lu}}{_LETTERS}*(?:[ \t\n\r]\p{{Lu}}{_LETTERS}*)*|{_LETTERS}+|[0-9]+(?:[.,][0-9]+)*|[{_SIGNS}]+"
+END = "[.!?]+"
 WINDOW, SHORT = 8, 4
-MIN_LITERAL = {WINDOW: 5, SHORT: 3}
+#: Plain words that a window needs to match by its template; smaller windows match as they stand.
+MIN_LITERAL = {WINDOW: 5, SHORT: 2}
 LEAK = 6
-MAX_BROADCAST = 200_000
-
-
-def template(text: str) -> Column:
-    """The tokens of a text, slots as placeholders."""
-    out = F.coalesce(F.translate(text, NAME_MARK + NUMBER_MARK + UNIT_MARK + SIGN_MARK, "    "), F.lit(""))
-    for _, pattern, _, mark in MARKS:
-        out = F.regexp_replace(out, pattern, mark)
-    return F.regexp_extract_all(F.lower(out), F.lit(TOKEN), 0)
-
-
-def slots(text: str) -> Column:
-    """What the placeholders stand for: an array of values for each mark, in order."""
-    out = F.coalesce(F.translate(text, NAME_MARK + NUMBER_MARK + UNIT_MARK + SIGN_MARK, "    "), F.lit(""))
-    found = []
-    for _, pattern, group, mark in MARKS:
-        found.append(F.transform(F.regexp_extract_all(out, F.lit(pattern), group), F.lower))
-        out = F.regexp_replace(out, pattern, mark)
-    return F.array(*found)
-
-
-def windows(tokens: str, width: int) -> Column:
-    """The hash of each window of `width` tokens; null if there is none."""
-    t = F.col(tokens)
-    at = F.sequence(F.lit(0), F.size(t) - width)
-    return F.when(F.size(t) >= width, F.transform(at, lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(width)])))
-
-
-def windows_of(items: DataFrame) -> DataFrame:
-    """(item, width, at, h, tokens, values) of each window of the items (item, text) that says enough."""
-    items = items.filter("item is not null and text is not null").select("item", template("text").alias("tokens"), slots("text").alias("values"))
-    n = F.size("tokens")
-    rows = items.withColumn("width", F.when(n >= WINDOW, WINDOW).when(n >= SHORT, SHORT)).filter("width is not null")
-    hashes = F.when(F.col("width") == WINDOW, windows("tokens", WINDOW)).otherwise(windows("tokens", SHORT))
-    rows = rows.select("item", "width", "tokens", "values", F.posexplode_outer(hashes).alias("at", "h"))
-    literal = F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.col("width")), lambda x: x > SIGN_MARK))
-    return rows.filter(literal >= F.when(F.col("width") == WINDOW, MIN_LITERAL[WINDOW]).otherwise(MIN_LITERAL[SHORT]))
+READINGS = ("names", "words", "first")
+MAX_BROADCAST = 1_000_000
+
+
+def _starts(x: Column, first: str, past: str) -> Column:
+    return (x >= first) & (x < past)
+
+
+def _kind(x: Column, own: Column, before: Column) -> Column:
+    """Which placeholder stands for token x (own: in lower case) after the token `before`; 0 for a plain word.
+
+    Comparisons of bytes, the commonest case first: this runs for every token."""
+    initial = F.substring(x, 1, 1)
+    sign = _starts(x, "$", "&") | _starts(x, "£", "¤") | _starts(x, "°", "±") | _starts(x, "€", "₭")
+    unit = own.isin(UNITS)
+    capital = F.when(x < "{", x >= "A").otherwise(F.lower(initial) != initial)  # below "a" by the first case
+    return (
+        F.when(_starts(x, "a", "{") & ~unit, 0).when(_starts(x, "0", ":"), NUMBER).when(unit & F.coalesce(_starts(before, "0", ":"), F.lit(False)), UNIT)
+        .when(_starts(x, "a", "{"), 0).when(capital, NAME).when(sign, SIGN).otherwise(0)
+    )
+
+
+def _tokens(df: DataFrame, raw: Column, *keep: str, plain: str | None = None) -> DataFrame:
+    """The columns keep with own, the tokens in lower case, and code, with placeholders' numbers in their places.
+    plain: a column of flags, of tokens that are plain words whatever they look like."""
+    df = df.select(*keep, *([plain] if plain else []), raw.alias("raw"))
+    df = df.withColumn("own", F.split(F.lower(F.array_join("raw", "\x01")), "\x01"))
+    kind = lambda x, o, i: F.when(F.get(plain, i), 0).otherwise(_kind(x, o, F.get("raw", i - 1))) if plain else _kind(x, o, F.get("raw", i - 1))
+
+    def code(x: Column, i: Column) -> Column:
+        own = F.get("own", i)
+        k = kind(x, own, i)
+        return F.when(k == 0, own).otherwise(k.cast("string"))
+
+    return df.withColumn("code", F.transform("raw", code)).drop("raw")
+
+
+def _windows(tokens: DataFrame, width: int, *keep: str) -> DataFrame:
+    """(keep, at, h, values) of each window of `width` tokens (own, code): its hash, and its tokens.
+
+    Plain columns only, and few, so that exploding, hashing and joining compile to one short loop."""
+    n = F.size("code")
+    # outer: for an inner explode, the optimiser would cut the text once more, in a filter
+    rows = tokens.select(*keep, "own", "code", F.explode_outer(F.when(n >= width, F.sequence(F.lit(0), n - width))).alias("at"))
+    of = lambda name: [F.get(name, F.col("at") + k) for k in range(width)]
+    h = F.xxhash64(F.lit(-width), *of("own"))
+    if width in MIN_LITERAL:
+        rows = rows.select("*", *[c.alias(f"c{k}") for k, c in enumerate(of("code"))])
+        literal = sum((F.when(F.col(f"c{k}") > "9", 1).otherwise(0) for k in range(width)), F.lit(0))
+        h = F.when(literal >= MIN_LITERAL[width], F.xxhash64(F.lit(width), *[F.col(f"c{k}") for k in range(width)])).otherwise(h)
+    return rows.select(*keep, "at", F.when(F.col("at").isNotNull(), h).alias("h"), F.slice("own", F.col("at") + 1, width).alias("values"))
+
+
+def _readings(items: DataFrame) -> DataFrame:
+    """The tokens (own, code) of items (item, text), a row per distinct reading."""
+    raw = F.col("raw")
+    items = items.select("item", F.regexp_extract_all("text", F.lit(f"{TOKEN}|{END}"), 0).alias("raw"))
+    ends = lambda x: F.coalesce(x.rlike(f"^{END}"), F.lit(True))
+
+    def cut(reading: str, x: Column, i: Column) -> Column:
+        opens = x.rlike(rf"^\p{{Lu}}{_LETTERS}*$") & ends(F.get(raw, i - 1))  # a single capitalised word
+        plain = {"names": F.lit(False), "words": opens, "first": opens & (i == 0)}[reading]
+        return F.when(~ends(x), F.struct(x.alias("x"), plain.alias("plain")))
+
+    one = lambda reading: F.array_compact(F.transform("raw", lambda x, i: cut(reading, x, i)))
+    read = items.select("item", F.explode(F.array_distinct(F.array(*[one(r) for r in READINGS]))).alias("t")).filter(F.size("t") > 0)
+    read = read.select("item", F.transform("t", lambda t: t["plain"]).alias("plain"), F.transform("t", lambda t: t["x"]).alias("raw"))
+    return _tokens(read, raw, "item", plain="plain")
+
+
+def _groups(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item, g): the groups of the items (item, text); (g, width, windows, slots) of each; (g, h, at) of their windows.
+
+    slots: (at, kind, same) of each placeholder, `same` being the first place with the same filling."""
+    rows = _readings(benchmark.filter("item is not null and text is not null"))
+    n = F.size("code")
+    rows = rows.withColumn("width", F.when(n >= WINDOW, WINDOW).when(n >= SHORT, SHORT).otherwise(n))
+    filling = F.zip_with("code", "own", lambda c, o: F.struct(c, o))
+    rows = rows.withColumn("filling", filling).withColumn("same", F.transform("filling", lambda f: F.array_position(F.col("filling"), f).cast("int")))
+    slots = F.transform("code", lambda c, i: F.struct(i.alias("at"), c.alias("kind"), F.get("same", i).alias("same")))
+    rows = rows.select("item", "width", "own", "code", F.filter(slots, lambda s: s["kind"] <= "9").alias("slots"))
+    rows = common.materialize(rows)
+    parts = None
+    for width in _widths(rows):
+        part = _windows(rows.filter(F.col("width") == width), width, "item", "width", "slots", "own", "code").drop("values")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = rows.select("item", "width", "slots", "own", "code", F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"))
+    parts = parts.groupBy("item", "width", "slots", "own", "code").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "h"))), lambda x: x["h"]).alias("hashes"))
+    parts = common.materialize(parts.select("item", F.xxhash64("width", "hashes", "slots").alias("g"), "width", "hashes", "slots"))
+    one = parts.drop("item").dropDuplicates(["g"])
+    return parts.select("item", "g").distinct(), one.select("g", "width", F.size("hashes").alias("windows"), "slots"), common.materialize(one.select("g", F.posexplode("hashes").alias("at", "h")))
+
+
+def _widths(rows: DataFrame) -> list[int]:
+    return sorted(r["width"] for r in rows.select("width").distinct().collect())  # five at most
 
 
 def _consistent() -> Column:
-    """Whether slots filled alike in the item are filled alike in the document, and different ones differently.
-
-    A run's tokens are equal on both sides, so its slots correspond by kind and order."""
-    length = F.col("high") + F.col("width") - F.col("low")
-
-    def filling(tokens: str, values: str, start: Column, i: int, mark: str) -> Column:
-        count = lambda a: F.size(F.filter(a, lambda x: x == mark))
-        before = count(F.slice(tokens, F.lit(1), start))
-        return F.slice(F.get(values, F.lit(i)), before + 1, count(F.slice(tokens, start + 1, length)))
-
-    sound = F.lit(True)
-    for i, (mark, *_) in enumerate(MARKS):
-        left, right = filling("tokens", "values", F.col("low"), i, mark), filling("own", "own_values", F.col("low") + F.col("shift"), i, mark)
-        pairs = F.size(F.array_distinct(F.arrays_zip(left, right)))
-        sound = sound & (pairs == F.size(F.array_distinct(left))) & (pairs == F.size(F.array_distinct(right)))
-    return sound
+    """Whether slots filled alike in the item are filled alike in the document, and different ones differently."""
+    places = F.flatten(F.transform("found", lambda x: F.transform(x["values"], lambda v, k: F.struct((x["at"] + k).alias("at"), v.alias("value")))))
+    value = F.map_from_entries(F.array_distinct(places))  # overlapping windows agree
+    pairs = F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["same"].alias("same"), F.try_element_at(value, s["at"]).alias("value")))
+    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
+    n = lambda *names: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(*[p[x] for x in names]))))
+    return (n("kind", "same", "value") == n("kind", "same")) & (n("kind", "same", "value") == n("kind", "value"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, item, matched): documents (id, text) that hold benchmark items (item, text)."""
-    asked = common.materialize(windows_of(benchmark))
-    items = asked.groupBy("item", "width").agg(F.count_distinct("at").alias("windows"), F.first("tokens").alias("tokens"), F.first("values").alias("values"))
-    keys = asked.select("item", "width", "at", "h").distinct()
+    """(id, mark, item, matched): documents (id, mark, text) that hold benchmark items (item, text)."""
+    members, groups, asked = _groups(benchmark)
+    keys = asked.select("h").distinct()
     if keys.count() <= MAX_BROADCAST:
         keys = F.broadcast(keys)
-    widths = [r["width"] for r in asked.select("width").distinct().collect()] or [WINDOW]
-    tokens = docs.select("id", template("text").alias("tokens"))
+    tokens = _tokens(docs, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), 0), "id", "mark")
     hits = None
-    for width in sorted(widths):
-        # outer: for an inner explode, the optimiser would compute the hashes once more, as a filter
-        one = tokens.select("id", F.posexplode_outer(windows("tokens", width)).alias("place", "h")).join(keys.filter(F.col("width") == width), "h")
+    for width in _widths(groups) or [WINDOW]:
+        one = _windows(tokens, width, "id", "mark").join(keys, "h")
         hits = one if hits is None else hits.unionByName(one)
-    hits = common.materialize(hits.select("id", "item", "width", "at", (F.col("place") - F.col("at")).alias("shift"))).distinct()
-    # windows that follow one another at one shift make a run
-    order = F.row_number().over(Window.partitionBy("id", "item", "width", "shift").orderBy("at"))
-    runs = hits.withColumn("run", F.col("at") - order).groupBy("id", "item", "width", "shift", "run").agg(F.count("*").alias("matched"), F.min("at").alias("low"), F.max("at").alias("high"))
-    facts = F.broadcast(items) if items.count() <= MAX_BROADCAST // 100 else items
-    needed = F.least(F.lit(LEAK), F.ceil(F.col("windows") / 2))
-    # runs that could not suffice even together are gone before any text moves
-    total = F.sum("matched").over(Window.partitionBy("id", "item", "width"))
-    wanted = common.materialize(runs.withColumn("total", total).join(facts, ["item", "width"]).filter(F.col("total") >= needed))
-    ids = wanted.select("id").distinct()
-    texts = common.keep_some(docs, "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = texts.select("id", template("text").alias("own"), slots("text").alias("own_values"))
-    judged = wanted.join(texts, "id").filter(_consistent())
-    found = judged.groupBy("id", "item", "width").agg(F.sum("matched").alias("matched"), F.first("windows").alias("windows"))
-    return found.filter(F.col("matched") >= needed).select("id", "item", "matched")
+    hits = common.materialize(hits.groupBy("id", "mark", F.col("at").alias("place"), "h").agg(F.first("values").alias("values")))
+    hits = hits.join(asked, "h").select("id", "mark", "g", "at", (F.col("place") - F.col("at")).alias("shift"), "values")
+    found = F.collect_list(F.struct("at", "values")).alias("found")  # no more than the item has
+    judged = hits.groupBy("id", "mark", "g", "shift").agg(F.count("*").alias("matched"), found).join(groups, "g").filter(_consistent())
+    kept = judged.groupBy("id", "mark", "g").agg(F.sum("matched").alias("matched"), F.first("windows").alias("windows"))
+    kept = kept.filter(F.col("matched") >= F.least(F.lit(LEAK), F.ceil(F.col("windows") / 2)))
+    return kept.join(members, "g").groupBy("id", "mark", "item").agg(F.max("matched").alias("matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, items, matched), a row per row of docs (doc_id, text); benchmark: (item_id, text)."""
-    named = docs.select("doc_id", common.row_id("doc_id", "text").alias("id"), "text")
-    found = leaks(named.select("id", "text"), benchmark.select(F.col("item_id").alias("item"), "text"))
-    found = found.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.sum("matched").alias("matched"))  # no more than the benchmark has
+    named = docs.select("doc_id", *common.row_id("doc_id", "text"), "text")
+    found = leaks(named.drop("doc_id"), benchmark.select(F.col("item_id").alias("item"), "text"))
+    found = found.groupBy("id", "mark").agg(F.array_sort(F.collect_set("item")).alias("items"), F.sum("matched").alias("matched"))  # no more than the benchmark has
     empty = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
-    out = named.select("doc_id", "id").join(found, "id", "left")
+    out = named.select("doc_id", "id", "mark").join(found, ["id", "mark"], "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", empty).alias("items"), F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and more) that hold no item of benchmark (item_id, text)."""
+    rows = docs.select(*common.row_id("doc_id", "text"), F.struct("*").alias("row"))
+    found = leaks(rows.select("id", "mark", "row.text"), benchmark.select(F.col("item_id").alias("item"), "text"))
+    return rows.join(found.select("id", "mark").distinct(), ["id", "mark"], "left_anti").select("row.*")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "matched")
 
 
-def _sql(table: str, key: str) -> str:
-    text, values = f"coalesce(translate(text, '{NAME_MARK}{NUMBER_MARK}{UNIT_MARK}{SIGN_MARK}', '    '), '')", []
-    step, columns = f"SELECT {key} AS id, {text} AS t0 FROM {table}", "id"
-    for i, (_, pattern, group, mark) in enumerate(MARKS):
-        mark = mark.replace("$1", "\\1").replace("$3", "\\3")
-        step = f"SELECT {columns}, list_transform(regexp_extract_all(t{i}, '{pattern}', {group}), lambda x: lower(x)) AS v{i}, regexp_replace(t{i}, '{pattern}', '{mark}', 'g') AS t{i + 1} FROM ({step})"
-        columns += f", v{i}"
-        values.append(f"v{i}")
-    return f"SELECT {columns}, regexp_extract_all(lower(t{len(MARKS)}), '{TOKEN}') AS toks FROM ({step})"
+_UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
 
 
-def _slots_sql() -> str:
-    """Whether the slots of run a of item b in document d are consistent."""
-    out = []
-    for i, (mark, *_) in enumerate(MARKS):
-        part = lambda t, v, low: f"{t}.{v}[len(list_filter({t}.toks[1:{low}], lambda x: x = '{mark}')) + 1:len(list_filter({t}.toks[1:{low} + high - low + width], lambda x: x = '{mark}'))]"
-        left, right = part("b", f"v{i}", "low"), part("d", f"v{i}", "(low + shift)").replace("(low + shift) + high - low + width", "high + shift + width")
-        pairs = f"len(list_distinct(list_transform(list_zip({left}, {right}), lambda z: coalesce(z[1], '') || chr(0) || coalesce(z[2], ''))))"
-        out.append(f"{pairs} = len(list_distinct({left})) AND {pairs} = len(list_distinct({right}))")
-    return " AND ".join(out).replace("low + high - low + width", "high + width")
+def _kind_sql(x: str, before: str) -> str:
+    unit = f"coalesce({before}[1] BETWEEN '0' AND '9', false) AND lower({x}) IN ({_UNITS_SQL})"
+    return f"CASE WHEN {x}[1] BETWEEN '0' AND '9' THEN {NUMBER} WHEN {unit} THEN {UNIT} WHEN lower({x}[1]) <> {x}[1] THEN {NAME} WHEN contains('{_SIGNS}', {x}[1]) THEN {SIGN} ELSE 0 END"
 
 
 ORACLE_SQL = f"""
-WITH d AS ({_sql("documents", "doc_id")}),
-b AS ({_sql("benchmark", "item_id")}),
-bw AS (SELECT *, CASE WHEN len(toks) >= 8 THEN 8 WHEN len(toks) >= 4 THEN 4 END AS width FROM b),
-w AS (SELECT id AS item, width, pos, array_to_string(toks[pos + 1:pos + width], ' ') AS h
-      FROM (SELECT *, unnest(range(0, len(toks) - width + 1)) AS pos FROM bw WHERE width IS NOT NULL)
-      WHERE len(list_filter(toks[pos + 1:pos + width], lambda x: x > '{SIGN_MARK}')) >= CASE WHEN width = 8 THEN 5 ELSE 3 END),
-n AS (SELECT item, count(DISTINCT pos) AS windows FROM w GROUP BY item),
-p AS (SELECT id, s.width, place, array_to_string(toks[place + 1:place + s.width], ' ') AS h
-      FROM (SELECT d.*, v.width, unnest(range(0, len(toks) - v.width + 1)) AS place FROM d, (SELECT DISTINCT width FROM w) v) s),
-m AS (SELECT DISTINCT p.id, w.item, w.width, w.pos, p.place - w.pos AS shift FROM p JOIN w ON p.h = w.h AND p.width = w.width),
-q AS (SELECT *, pos - row_number() OVER (PARTITION BY id, item, width, shift ORDER BY pos) AS run FROM m),
-a AS (SELECT id, item, width, shift, run, count(*) AS matched, min(pos) AS low, max(pos) AS high FROM q GROUP BY ALL),
-c AS (SELECT a.* FROM a JOIN b ON a.item = b.id JOIN d ON a.id = d.id WHERE {_slots_sql()}),
-f AS (SELECT id, item, sum(matched) AS matched FROM c JOIN n USING (item) GROUP BY id, item, windows HAVING sum(matched) >= least(6, ceil(windows / 2))),
-r AS (SELECT id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, sum(matched) AS matched FROM f GROUP BY id)
+WITH d0 AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM documents),
+d AS (SELECT id, list_transform(raw, lambda x: lower(x)) AS own, list_transform(range(1, len(raw) + 1), lambda i: {_kind_sql("raw[i]", "raw[i - 1]")}) AS kind FROM d0),
+b0 AS (SELECT item_id AS item, regexp_extract_all(text, '{TOKEN}|{END}') AS raw FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+b1 AS (SELECT item, reading, list_filter(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN NOT regexp_matches(raw[i], '^{END}') THEN {{'x': raw[i],
+    'plain': (reading = 'words' OR reading = 'first' AND i = 1) AND regexp_full_match(raw[i], '\\p{{Lu}}{_LETTERS}*') AND (i = 1 OR regexp_matches(raw[i - 1], '^{END}'))}} END), lambda t: t IS NOT NULL) AS t
+    FROM b0, (SELECT unnest(['names', 'words', 'first']) AS reading)),
+b AS (SELECT item, reading, list_transform(t, lambda e: lower(e.x)) AS own, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].plain THEN 0 ELSE {_kind_sql("t[i].x", "t[i - 1].x")} END) AS kind,
+    CASE WHEN len(t) >= 8 THEN 8 WHEN len(t) >= 4 THEN 4 ELSE len(t) END AS width FROM b1 WHERE len(t) > 0),
+both_ AS (SELECT 'd' AS side, id, NULL AS reading, own, kind, v.width FROM d, (SELECT DISTINCT width FROM b) v UNION ALL SELECT 'b', item, reading, own, kind, width FROM b),
+win AS (SELECT side, id, reading, width, pos, own[pos + 1:pos + width] AS o, kind[pos + 1:pos + width] AS k FROM (SELECT *, unnest(range(0, len(own) - width + 1)) AS pos FROM both_)),
+h AS (SELECT side, id, reading, width, pos, CASE WHEN width >= 4 AND len(list_filter(k, lambda x: x = 0)) >= CASE width WHEN 8 THEN 5 ELSE 2 END
+    THEN 't ' || array_to_string(list_transform(range(1, width + 1), lambda i: CASE WHEN k[i] > 0 THEN CAST(k[i] AS VARCHAR) ELSE o[i] END), ' ') ELSE 'e ' || array_to_string(o, ' ') END AS h FROM win),
+n AS (SELECT id AS item, reading, count(*) AS windows FROM h WHERE side = 'b' GROUP BY ALL),
+m AS (SELECT DISTINCT x.id, y.id AS item, y.reading, y.width, y.pos, x.pos - y.pos AS shift FROM h x JOIN h y ON x.h = y.h AND x.width = y.width AND x.side = 'd' AND y.side = 'b'),
+a AS (SELECT DISTINCT id, item, reading, shift, pos + unnest(range(0, width)) AS p FROM m),
+z AS (SELECT a.*, b.kind[p + 1] AS k, b.own[p + 1] AS i, d.own[p + shift + 1] AS v FROM a JOIN b ON a.item = b.item AND a.reading = b.reading JOIN d ON a.id = d.id),
+y AS (SELECT id, item, reading, shift FROM z GROUP BY ALL
+    HAVING count(DISTINCT CASE WHEN k > 0 THEN (k, i, v) END) = count(DISTINCT CASE WHEN k > 0 THEN (k, i) END) AND count(DISTINCT CASE WHEN k > 0 THEN (k, i, v) END) = count(DISTINCT CASE WHEN k > 0 THEN (k, v) END)),
+c AS (SELECT id, item, reading, shift, count(*) AS matched FROM m JOIN y USING (id, item, reading, shift) GROUP BY ALL),
+f AS (SELECT id, item, sum(matched) AS matched FROM c JOIN n USING (item, reading) GROUP BY id, item, reading, windows HAVING sum(matched) >= least(6, ceil(windows / 2))),
+g AS (SELECT id, item, max(matched) AS matched FROM f GROUP BY ALL),
+r AS (SELECT id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, sum(matched) AS matched FROM g GROUP BY id)
 SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(items, '') AS items, CAST(coalesce(matched, 0) AS BIGINT) AS matched
 FROM documents LEFT JOIN r ON doc_id = id
 """

@@ -1,8 +1,10 @@
 """A compressed FM-index over short passages of words, searched for many patterns at once with numpy.
 
 The index holds the Burrows-Wheeler transform of the passages (each ends with a separator) in a wavelet
-matrix: one packed bit vector per bit of a word's code, with counts per 64 bits.  Suffixes are sorted to a
-depth of `DEPTH` words, which is all that patterns shorter than that can tell apart.
+matrix: one packed bit vector per bit of a word's code, with a 32-bit count per 64 bits.  Passages that
+occur more than once are marked by one more packed bit per suffix, so that an index never holds copies.
+Suffixes are sorted to a depth of `DEPTH` words, which is all that patterns shorter than that can tell
+apart; the text itself is not kept, the passages are streamed as patterns.
 """
 
 from __future__ import annotations
@@ -13,50 +15,56 @@ DEPTH = 128
 _one = np.uint64(1)
 
 
+def _packed(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A packed bit vector, and the ones before each of its 64-bit words."""
+    packed = np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+    return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)])[: len(packed)].astype(np.int32)
+
+
 class FmIndex:
-    def __init__(self, passages: np.ndarray, bounds: np.ndarray, weights: np.ndarray):
+    def __init__(self, passages: np.ndarray, bounds: np.ndarray, many: np.ndarray):
         """passages: word hashes, one passage after another; bounds: where each starts (one more at the end);
-        weights: how often each passage occurs."""
+        many: whether a passage occurs more than once."""
         size = np.diff(bounds)
         self.alphabet, codes = np.unique(passages, return_inverse=True)
-        n = len(passages) + len(size)
-        self.start = bounds[:-1] + np.arange(len(size))
-        self.size = size
-        text, weight = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.n = n = len(passages) + len(size)
+        text, marked = np.zeros(n, np.int32), np.zeros(n, bool)
         at = np.arange(len(passages)) + np.repeat(np.arange(len(size)), size)
-        text[at], weight[at] = codes + 1, np.repeat(weights, size)
-        self.text = text
-        order, rank, depth = np.argsort(text, kind="stable"), text, 1
+        text[at], marked[at] = codes + 1, np.repeat(many, size)
+        order, rank, depth = np.argsort(text, kind="stable"), text.astype(np.int64), 1
         while depth < DEPTH:
-            nxt = np.zeros(n, np.int64)
-            nxt[:-depth] = rank[depth:] + 1
-            key = rank * (n + 2) + nxt
+            key = rank * (n + 2)
+            key[:-depth] += rank[depth:] + 1
             order = np.argsort(key, kind="stable")
             ranked = key[order]
-            rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
             depth *= 2
             if rank[order[-1]] == n - 1:
                 break
         bwt = text[order - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
-        self.weight = np.concatenate([[0], np.cumsum(weight[order])])
+        self.marks = _packed(marked[order])
         self.levels = []
         self.bits = max(1, int(len(self.alphabet)).bit_length())
         for b in range(self.bits - 1, -1, -1):
             bit = ((bwt >> b) & 1).astype(bool)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[: len(packed)]
-            self.levels.append((packed, counts, int(n - bit.sum())))
+            self.levels.append((*_packed(bit), int(n - bit.sum())))
             bwt = np.concatenate([bwt[~bit], bwt[bit]])
         self.origin = self._walk(np.arange(len(self.alphabet) + 1), np.zeros(len(self.alphabet) + 1, np.int64))
-        self.n = n
+
+    def encode(self, words: np.ndarray) -> np.ndarray:
+        """The codes of words of the indexed passages."""
+        return np.searchsorted(self.alphabet, words) + 1
+
+    @staticmethod
+    def _ones(packed: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        block = at >> 6
+        return counts[block] + np.bitwise_count(packed[block] & ((_one << (at & 63).astype(np.uint64)) - _one))
 
     def _walk(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the first `at` entries of the transform that equal code end, after all levels."""
         for b, (packed, counts, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
-            block = at >> 6
-            ones = counts[block] + np.bitwise_count(packed[block] & ((_one << (at & 63).astype(np.uint64)) - _one))
+            ones = self._ones(packed, counts, at)
             at = np.where((code >> b) & 1, zeros + ones, at - ones)
         return at
 
@@ -66,36 +74,40 @@ class FmIndex:
         shift = self.before[code] - self.origin[code]
         return both[: len(code)] + shift, both[len(code) :] + shift
 
-    def reach(self, end: np.ndarray, least: int = 2) -> np.ndarray:
-        """Matching statistics: for each position `end` of the text, the first start from which the passage's
-        words up to `end` occur with a weight of `least` or more."""
+    def again(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the patterns of these intervals occur twice or more: at two places, or in a passage with copies."""
+        copies = self._ones(*self.marks, high) > self._ones(*self.marks, low)
+        return (high - low > 1) | copies
+
+    def reach(self, codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Matching statistics: for each stretch first to end of a stream of codes, the first start from which
+        its words up to `end` occur twice or more."""
         low, high = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
         start, active = end.copy(), np.arange(len(end))
         while len(active):
-            code = self.text[np.maximum(start[active] - 1, 0)]
-            on = (start[active] > 0) & (code > 0)
-            active, code = active[on], code[on]
+            active = active[start[active] > first[active]]
             if not len(active):
                 break
-            lo, hi = self.extend(code, low[active], high[active])
-            on = self.weight[hi] - self.weight[lo] >= least
+            lo, hi = self.extend(codes[start[active] - 1], low[active], high[active])
+            on = self.again(lo, hi)
             active = active[on]
             low[active], high[active] = lo[on], hi[on]
             start[active] -= 1
         return start
 
 
-def repeated_windows(passages: np.ndarray, bounds: np.ndarray, weights: np.ndarray, width: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, first word, past word) of the stretches, width words or more, whose windows all occur least times."""
-    index = FmIndex(passages, bounds, weights)
-    which, end = np.arange(len(index.size)), index.start + index.size
-    found = []
+def repeated_windows(passages: np.ndarray, bounds: np.ndarray, many: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, first word, past word) of the stretches, width words or more, whose windows all occur twice or more."""
+    index = FmIndex(passages, bounds, many)
+    codes = index.encode(passages)
+    first, which = bounds[:-1], np.arange(len(bounds) - 1)
+    end, found = bounds[1:].copy(), []
     while len(which):
-        on = end - index.start[which] >= width
+        on = end - first[which] >= width
         which, end = which[on], end[on]
-        start = index.reach(end, least)
+        start = index.reach(codes, first[which], end)
         long = end - start >= width
-        found.append((which[long], (start - index.start[which])[long], (end - index.start[which])[long]))
+        found.append((which[long], (start - first[which])[long], (end - first[which])[long]))
         # the next window not yet judged ends one word before the first that is
         end = np.where(long, start + width - 1, end - 1)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3

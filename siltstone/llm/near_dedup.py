@@ -18,9 +18,10 @@ no other such text has any part in, which cannot be shared; and whose sketches (
 coordinate) agree as only one pair in some ten thousand at similarity 0.8 does not.
 With 28 bands of 6, a pair at similarity 0.8 shares a bucket with chance 0.9998.
 
-Defined cases: texts that are null or have no word have no shingle, and each is its own class; rows with
-a null id get a null class; rows that share an id are one document; ties need no breaking, as a class is
-named by its least id; an empty table gives an empty result; other columns are ignored.
+Defined cases: texts that are null or have no word have no shingle, and each row is its own class, named
+by its id; rows are documents, so two texts under one id, or under null ids, each belong to the class of
+their text; a class is named by its least id (null if it has none), so ties need no breaking; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,16 +196,29 @@ def own_weight(texts: DataFrame) -> DataFrame:
     return cell.filter("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id): one row per row of docs; class_id is the least id of its class."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+#: Nodes made up for texts whose least id is null, or is that of another text too, lie above all ids.
+_MADE = 1 << 62
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, key, root) of the rows of docs (doc_id, text) with words, key being the text's md5; (doc_id) of the
+    others; and whether every root is the least id of its class."""
+    common.bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    named = docs.filter("doc_id is not null").withColumn("key", F.md5("text"))
+    named = docs.withColumn("key", F.md5("text"))
     signed = common.materialize(named.mapInArrow(_bands, f"doc_id {kind}, key string, bands array<long>, sketch array<long>, weight long"))
+    alone = signed.filter("bands is null").select("doc_id")
+    signed = signed.filter("bands is not null")
     # equal texts count once, under their least id
-    alone = signed.filter("bands is null").select("doc_id", F.col("doc_id").alias("rep"))
-    reps = common.materialize(signed.filter("bands is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands", "sketch", "weight")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch", "x.weight"))
-    member = signed.filter("bands is not null").select("doc_id", "key").join(reps.select("key", "rep"), "key").select("doc_id", "rep")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "bands", "sketch", "weight"))
+    reps = common.materialize(signed.groupBy("key").agg(first.alias("x")).select("key", F.col("x.doc_id").alias("least"), "x.bands", "x.sketch", "x.weight"))
+    made = F.lit(_MADE) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))
+    twice = common.materialize(reps.groupBy("least").agg(F.count("*").alias("n")).filter("least is not null and n > 1").select("least", F.lit(True).alias("shared")))
+    if twice.isEmpty():
+        reps = reps.withColumn("rep", F.coalesce(F.col("least").cast("long"), made)).drop("least")
+    else:
+        reps = reps.join(twice, "least", "left").withColumn("rep", F.when(F.col("shared").isNull(), F.col("least").cast("long"))).withColumn("rep", F.coalesce("rep", made)).drop("least", "shared")
+        reps = common.materialize(reps)
 
     buckets = reps.select("rep", F.explode("bands").alias("h"))
     shared = buckets.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
@@ -213,9 +227,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.join(central, "rep")
     leaders = buckets.groupBy("h").agg(F.min(F.struct(-F.col("central"), "rep")).getField("rep").alias("a"))
     buckets = common.materialize(buckets.join(leaders, "h").select("h", "rep", "a"))
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = common.keep_some(named.select(F.col("doc_id").alias("id"), "key", "text"), "id", wanted).join(wanted, "id").join(reps.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi")
-    texts = common.materialize(texts.dropDuplicates(["id"]).drop("key"))
+    wanted = buckets.select("rep").distinct().join(reps.select("rep", "key"), "rep").select(F.col("rep").alias("id"), "key")
+    # a text's own row is that of its least id; the copies stay where they are
+    row = F.coalesce(F.col("doc_id").cast("long"), made)
+    texts = named.filter("text is not null").select("key", row.alias("row"), "text")
+    own = wanted.join(signed.groupBy("key").agg(F.min(row).alias("row")), "key")
+    texts = common.materialize(texts.join(common.materialize(own), ["key", "row"]).select("id", "text").dropDuplicates(["id"]))
 
     judged = common.materialize(verify(buckets.filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), texts))
     links = judged.filter(F.col("similarity") >= SIMILAR).select("a", "b")
@@ -244,9 +261,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
     more = verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = components(links.unionByName(more))
-    out = member.join(roots, member["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
-    none = docs.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return out.unionByName(alone.withColumnRenamed("rep", "class_id")).unionByName(none)
+    member = signed.select("doc_id", "key").join(reps.select("rep", "key"), "key")
+    out = member.join(roots, member["rep"] == roots["node"], "left").select("doc_id", "key", F.coalesce("root", "rep").alias("root"))
+    return out, alone, reps.filter(F.col("rep") >= _MADE).isEmpty()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id): one row per row of docs; class_id is the least id of its class."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out, alone, named = _classes(docs)
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"))
+    if named:
+        return out.select("doc_id", F.col("root").cast(kind).alias("class_id")).unionByName(alone)
+    out = common.materialize(out.drop("key"))
+    least = common.materialize(out.groupBy("root").agg(F.min("doc_id").alias("class_id")))
+    return out.join(least, "root").select("doc_id", "class_id").unionByName(alone)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs (doc_id, text and more) per class: that of the least id, then text, then the rest of the row."""
+    out, _, _ = _classes(docs.select("doc_id", "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    kept = out.groupBy("root").agg(least.alias("x")).select(F.coalesce(F.col("x.doc_id").cast("long"), F.lit(0)).alias("i"), F.col("x.doc_id").isNull().alias("n"), F.col("x.key").alias("k"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("n"), F.md5("text").alias("k"))
+    some = F.coalesce(F.col("row.text").rlike(common.WORD), F.lit(False))
+    best = rows.filter(some).join(kept, ["i", "n", "k"]).groupBy("i", "n", "k").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return best.select("row").unionByName(rows.filter(~some).select("row")).select("row.*")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,17 @@ Each window is owned by its anchor, the least hash among its runs of five words
 ones), so equal windows have equal anchors.  The windows that share an anchor in a text make up one
 passage of at most 65 words.  Passages are dealt out to shards by anchor: equal windows meet in one
 shard, no window is in two passages, and a shard is bounded in words.  Equal passages are counted, not
-repeated, and anchors that occur once are dropped before any words move.  Each shard builds an FM-index
-(fm_index.py) of its passages and streams them against it: backward search gives matching statistics,
-and stretches whose windows occur twice or more are reported.
+repeated, and anchors that occur once are dropped before any words move.  Each shard builds a compressed
+FM-index (fm_index.py) and streams the documents' passages against it: backward search gives matching
+statistics, and stretches whose windows occur twice or more are reported.
 
-An anchor with more than HOT_WORDS words of different passages would fill a shard by itself; its windows
-are dealt out one by one, by the hash of the window, and equal ones are counted first.
+An anchor with more than HOT_WORDS words of passages would fill a shard by itself; its windows are dealt
+out one by one, by the hash of the window, and equal ones are counted first.  Rows of the heaviest anchors
+(HEAVY at most, so they can be broadcast) are dealt out by salt in every join by anchor.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; repeated rows repeat
-each other's windows; rows of one id are one text (if they differ, each loses what any of them repeats);
-rows with a null id are told apart by their text; an empty table gives an empty result; other columns
-are ignored.
+each other's windows; rows are told apart by id and text, so two texts under one id (or under a null id)
+are two documents; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ WINDOW = 35
 ANCHOR = 5
 SHARD_WORDS = 1 << 20
 HOT_WORDS = 1 << 16
+#: Anchors with more than one HEAVY-th of all passages are dealt out to so many tasks.
+HEAVY, SALTS = 1024, 128
 
 
 def _passages(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -66,21 +68,23 @@ def _passages(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
 
 def _list_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
         for a, z, data, offsets in common.text_slices(batch.column("text")):
             text, anchor, start, size, whole, _, _ = _passages(data, offsets, WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(whole.astype(np.int64)), pa.array(ids[a:z][text]), pa.array((start << 16) | size)], names=["anchor", "passage", "id", "place"])
+            columns = [anchor.astype(np.int64), whole.astype(np.int64), ids[a:z][text], marks[a:z][text], (start << 16) | size]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "passage", "id", "mark", "place"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of wanted passages; of hot ones, the words of each window, under the window's hash."""
     names = ["route", "anchor", "passage", "skip", "n", "words", "hot"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
+        wanted = batch.column("wanted")
         for a, z, data, offsets in common.text_slices(batch.column("text")):
             _, _, hashes, first = common.words(data, offsets)
             rows: list[tuple] = []
-            for t, own in enumerate(wanted[a:z]):
+            for t, own in enumerate(wanted.slice(a, z - a).to_pylist()):
                 for x in own:
                     start = first[t] + (x["place"] >> 16)
                     words = hashes[start : start + (x["place"] & 0xFFFF)]
@@ -89,34 +93,38 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     for k, h in enumerate(common.grams(words, WINDOW).astype(np.int64).tolist()):
                         rows.append((h, x["anchor"], x["passage"], k, x["n"], words[k : k + WINDOW].tobytes(), True))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def _search(shard: pa.Table) -> pa.Table:
     words = shard.column("words").combine_chunks()
-    sizes = np.array([len(x) // 8 for x in words.to_pylist()], np.int64)
-    flat = np.frombuffer(b"".join(words.to_pylist()), np.uint64)
-    which, first, past = repeated_windows(flat, np.concatenate([[0], np.cumsum(sizes)]), shard.column("n").to_numpy(), WINDOW)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    flat = np.frombuffer(words.buffers()[2] or b"", np.uint64, count=int(ends[-1] - ends[0]) // 8, offset=int(ends[0]))
+    which, first, past = repeated_windows(flat, (ends - ends[0]).astype(np.int64) // 8, shard.column("n").to_numpy() > 1, WINDOW)
     return pa.table({"route": shard.column("route").take(pa.array(which)), "passage": shard.column("passage").take(pa.array(which)), "first": pa.array(first), "past": pa.array(past)})
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(id, spans): stretches of words (first, past) that windows occurring twice or more cover, of texts (id, text)."""
-    listed = common.materialize(texts.filter("text is not null").mapInArrow(_list_passages, "anchor long, passage long, id long, place long"))
-    repeated = listed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    listed = common.materialize(listed.join(repeated, "anchor", "left_semi"))
-    passages = listed.groupBy("anchor", "passage").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("at"))
-    passages = common.materialize(passages.select("anchor", "passage", "n", "at.id", "at.place"))
+    """(id, mark, spans): stretches of words (first, past) that windows occurring twice or more cover, of texts
+    (id, mark, text): two rows of one id and mark hold the same text."""
+    common.bound_batches(texts.sparkSession)
+    texts = texts.filter("text is not null")
     size = F.col("place").bitwiseAND(0xFFFF)
-    hot = passages.groupBy("anchor").agg(F.sum(size).alias("words")).filter(F.col("words") > HOT_WORDS).select("anchor", F.lit(True).alias("hot"))
-    total = passages.agg(F.sum(size)).first()[0] or 0
-    shards = int(total // SHARD_WORDS) + 1
-    wanted = passages.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "passage", "n", "place", "hot")).alias("wanted"))
-    contents = texts.join(wanted, "id").dropDuplicates(["id"]).mapInArrow(_contents, "route long, anchor long, passage long, skip long, n long, words binary, hot boolean")
-    contents = common.materialize(contents)
+    listed = common.materialize(texts.mapInArrow(_list_passages, "anchor long, passage long, id long, mark long, place long"))
+    repeated = common.materialize(listed.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(size).alias("words")).filter("n > 1"))
+    heavy = F.broadcast(repeated.filter(F.col("n") > listed.count() // HEAVY).select("anchor", F.lit(SALTS).alias("salts")))
+    salted = lambda df: df.join(heavy, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    hot = salted(repeated).select("anchor", (F.col("words") > HOT_WORDS).alias("hot"), every)
+    dealt = salted(listed).withColumn("salt", F.pmod(F.xxhash64("id", "mark", "place"), "salts")).drop("salts")
+    listed = common.materialize(dealt.join(hot, ["anchor", "salt"]))
+    passages = listed.groupBy("anchor", "passage").agg(F.count("*").alias("n"), F.bool_or("hot").alias("hot"), F.min(F.struct("id", "mark", "place")).alias("at"))
+    wanted = common.materialize(passages.select("anchor", "passage", "n", "hot", "at.*"))
+    shards = int((wanted.agg(F.sum(size)).first()[0] or 0) // SHARD_WORDS) + 1
+    wanted = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "passage", "n", "place", "hot")).alias("wanted"))
+    contents = texts.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("text", "wanted")
+    contents = common.materialize(contents.mapInArrow(_contents, "route long, anchor long, passage long, skip long, n long, words binary, hot boolean"))
     windows = contents.filter("hot").groupBy("route").agg(F.sum("n").alias("n"), F.min("words").alias("words")).withColumn("passage", F.lit(0).cast("long"))
     shard = F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard")
     routed = contents.filter("not hot").select("route", "passage", "n", "words", shard).unionByName(windows.select("route", "passage", "n", "words", shard))
@@ -124,10 +132,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     cold = contents.filter("not hot").select(F.col("route").alias("anchor"), "passage").join(found.withColumnRenamed("route", "anchor"), ["anchor", "passage"])
     warm = contents.filter("hot").select("route", "anchor", "passage", "skip").join(found.drop("passage"), "route")
     spans = cold.unionByName(warm.select("anchor", "passage", (F.col("first") + F.col("skip")).alias("first"), (F.col("past") + F.col("skip")).alias("past")))
-    spans = spans.groupBy("anchor", "passage").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    spans = common.materialize(spans.groupBy("anchor", "passage").agg(F.collect_set(F.struct("first", "past")).alias("spans")))
+    spans = salted(spans).select("anchor", "passage", "spans", every)
     start = F.shiftright("place", 16)
     shift = F.transform("spans", lambda x: F.struct((x["first"] + start).alias("first"), (x["past"] + start).alias("past")))
-    return listed.join(spans, ["anchor", "passage"]).select("id", shift.alias("spans")).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    own = listed.join(spans, ["anchor", "passage", "salt"]).select("id", "mark", shift.alias("spans"))
+    return common.materialize(own.groupBy("id", "mark").agg(F.flatten(F.collect_set("spans")).alias("spans")))  # a set: repeated rows add nothing
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +169,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    texts = docs.select(common.row_id("doc_id", "text").alias("id"), "text")
-    spans = repeated_spans(texts)
-    return docs.select("doc_id", "text", common.row_id("doc_id", "text").alias("id")).join(spans, "id", "left")
+    texts = docs.select("doc_id", "text", *common.row_id("doc_id", "text"))
+    return texts.join(repeated_spans(texts.drop("doc_id")), ["id", "mark"], "left").select("id", "doc_id", "text", "spans")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -173,12 +182,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def cut_texts(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from `text`; a text that loses nothing stays as it is, null included."""
     rest = [c for c in docs.columns if c != "text"]
-    spans = repeated_spans(docs.select(common.row_id("doc_id", "text").alias("_id"), "text").withColumnRenamed("_id", "id"))
     # the row travels beside its text in one struct, so that no column's name can clash
-    rows = docs.select(common.row_id("doc_id", "text").alias("id"), "text", F.struct(*rest).alias("rest")).join(spans, "id", "left")
+    rows = docs.select(*common.row_id("doc_id", "text"), "text", F.struct(*rest).alias("rest"))
+    rows = rows.join(repeated_spans(rows.drop("rest")), ["id", "mark"], "left")
     kind = rows.schema["rest"].dataType.simpleString()
     same, cut = rows.filter("spans is null").select("text", "rest"), rows.filter("spans is not null")
-    cut = cut.withColumnRenamed("rest", "doc_id").mapInArrow(_cut, f"id long, doc_id {kind}, n_words long, n_removed long, kept string").select(F.col("kept").alias("text"), F.col("doc_id").alias("rest"))
+    cut = cut.select("id", F.col("rest").alias("doc_id"), "text", "spans").mapInArrow(_cut, f"id long, doc_id {kind}, n_words long, n_removed long, kept string").select(F.col("kept").alias("text"), F.col("doc_id").alias("rest"))
     return same.unionByName(cut).select("rest.*", "text").select(*docs.columns)
 
 

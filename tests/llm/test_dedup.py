@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import common, decontamination, fm_index, near_dedup, substring_dedup
+from siltstone.llm import decontamination, fm_index, near_dedup, substring_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,10 +74,19 @@ def test_near_duplicates_equal_all_pairs(spark):
 def test_near_duplicates_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "same words here"), (5, "same words here"), (None, "same words here"), (5, "same words here"), (7, "long " * 50_000), (8, "long " * 50_000)]
     got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()), key=str)
-    assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (None, None), (7, 7), (8, 7)], key=str)
+    assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (None, 4), (7, 7), (8, 7)], key=str)
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(6)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(5, a), (5, b), (9, edit(rng, a, 1)), (3, edit(rng, b, 1)), (None, edit(rng, b, 1)), (None, c), (None, edit(rng, c, 1)), (None, None)]
+    for given in (rows, rows[::-1]):
+        got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(docs(spark, given)).collect()), key=str)
+        assert got == sorted([(5, 5), (9, 5), (5, 3), (3, 3), (None, 3), (None, None), (None, None), (None, None)], key=str)
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(4)
     base = prose(rng, 300)
@@ -132,6 +141,25 @@ def test_substring_dedup_of_hot_anchors(spark, monkeypatch):
     assert _digests(spark, rows) == plain_cut(rows)
 
 
+def test_two_texts_of_one_id_are_two_documents(spark):
+    rng = random.Random(11)
+    shared, other = prose(rng, 40), prose(rng, 70)
+    for two in ([(1, "x " + shared), (1, other)], [(1, other), (1, "x " + shared)]):
+        rows = [*two, (2, shared + " y"), (None, other), (None, prose(rng, 50))]
+        got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
+        assert got == {(1, 41): 40, (1, 70): 70, (2, 41): 40, (None, 70): 70, (None, 50): 0}
+
+
+@pytest.mark.parametrize("salts", [1, 7])
+def test_substring_dedup_of_heavy_anchors(spark, monkeypatch, salts):
+    """Every anchor is heavy: the salted joins lose and repeat nothing."""
+    monkeypatch.setattr(substring_dedup, "HEAVY", 10**9)
+    monkeypatch.setattr(substring_dedup, "SALTS", salts)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
+    rows = cut_rows()
+    assert _digests(spark, rows) == plain_cut(rows)
+
+
 def test_substring_dedup_cases(spark):
     rng = random.Random(9)
     text = prose(rng, 50)
@@ -143,55 +171,73 @@ def test_substring_dedup_cases(spark):
     assert sorted((r["doc_id"], r["text"], r["spans"]) for r in out if r["text"] is not None) == [(1, "", "a"), (2, "", "b")] and len(out) == 3
 
 
-def test_fm_index_counts_every_pattern():
+def test_fm_index_finds_every_pattern():
     rng = np.random.default_rng(0)
     passages = [rng.integers(1, 4, rng.integers(1, 20)).astype(np.uint64) for _ in range(30)]
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in passages])])
-    weights = rng.integers(1, 3, 30)
-    index = fm_index.FmIndex(np.concatenate(passages), bounds, weights)
-    seen = defaultdict(int)
-    for p, w in zip(passages, weights, strict=True):
+    flat, bounds = np.concatenate(passages), np.concatenate([[0], np.cumsum([len(p) for p in passages])])
+    many = rng.integers(0, 4, 30) == 0
+    index = fm_index.FmIndex(flat, bounds, many)
+    places, twice = defaultdict(int), defaultdict(bool)
+    for p, m in zip(passages, many, strict=True):
         for i in range(len(p)):
             for j in range(i + 1, len(p) + 1):
-                seen[tuple(p[i:j])] += int(w)
-    for pattern, n in list(seen.items())[:400]:
+                places[tuple(p[i:j])] += 1
+                twice[tuple(p[i:j])] |= bool(m)
+    for pattern, n in list(places.items())[:400]:
         low, high = np.array([0]), np.array([index.n])
         for c in reversed(pattern):
-            code = np.searchsorted(index.alphabet, c) + 1
-            low, high = index.extend(np.array([code]), low, high)
-        assert index.weight[high[0]] - index.weight[low[0]] == n
-    ends = index.start + index.size
-    for k, start in enumerate(index.reach(ends, 2)):
+            low, high = index.extend(index.encode(np.array([c])), low, high)
+        assert high[0] - low[0] == n and index.again(low, high)[0] == (n > 1 or twice[pattern])
+    for k, start in enumerate(index.reach(index.encode(flat), bounds[:-1], bounds[1:].copy())):
         p = tuple(passages[k])
-        long = max((n for n in range(len(p) + 1) if n == 0 or seen[p[len(p) - n :]] >= 2), default=0)
-        assert ends[k] - start == long
+        long = max((n for n in range(len(p) + 1) if n == 0 or places[p[len(p) - n :]] > 1 or twice[p[len(p) - n :]]), default=0)
+        assert bounds[k + 1] - start == long
 
 
 ITEM = "A train leaves Berlin at 9 with 120 people and after 45 km it stops in Berlin where 30 people get off so how many are left on the train"
 
 
+def _leaks(spark, rows, bench):
+    got = decontamination.decontaminate(docs(spark, rows).withColumn("items", F.lit("clash")), docs(spark, bench, "item_id long, text string")).collect()
+    return sorted(((r["doc_id"], r["contaminated"], tuple(r["items"])) for r in got), key=str)
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     other = ITEM.replace("Berlin", "New Paris").replace("120", "250").replace("45", "80").replace(" 9 ", " 7 ").replace("30", "60")
     broken = ITEM.replace("in Berlin", "in Hamburg")  # one slot value, two fillings
     rows = [(1, prose(rng, 40) + ". " + ITEM + ". " + prose(rng, 40)), (2, prose(rng, 10) + " then " + other), (3, broken), (4, prose(rng, 200)), (5, None), (6, ""), (7, ITEM[: len(ITEM) // 4]), (8, prose(rng, 20_000) + ". " + ITEM)]
-    rows += [(1, "copy of one id"), (None, ITEM), (None, "nothing here"), (9, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20")]
-    bench = docs(spark, [(10, ITEM), (11, None), (12, ""), (13, "three word item"), (14, "just four words here"), (None, ITEM), (15, "5 6 7 8 9 10 11 12 13 14")], "item_id long, text string")
-    got = decontamination.decontaminate(docs(spark, rows).withColumn("items", F.lit("clash")), bench).collect()
-    by = {(r["doc_id"], tuple(r["items"])) for r in got}
-    assert {(1, (10,)), (2, (10,)), (4, ()), (5, ()), (6, ()), (7, ()), (8, (10,)), (9, ()), (None, (10,)), (None, ())} <= by and len(got) == len(rows)
-    assert (3, (10,)) not in by or [r for r in got if r["doc_id"] == 3][0]["matched"] < [r for r in got if r["doc_id"] == 2][0]["matched"] + 8
-    assert not any(r["contaminated"] for r in decontamination.decontaminate(docs(spark, rows), bench.filter("false")).collect())
-    assert decontamination.decontaminate(docs(spark, []), bench).count() == 0
-
-
-def test_short_items_match_by_windows_of_four(spark):
-    bench = docs(spark, [(1, "seldom seen purple walrus")], "item_id long, text string")
-    got = decontamination.decontaminate(docs(spark, [(1, "a seldom seen purple walrus slept"), (2, "a purple walrus slept")]), bench).collect()
-    assert {r["doc_id"]: r["contaminated"] for r in got} == {1: True, 2: False}
-
-
-def test_bitmap_keeps_all_wanted(spark):
-    rows = spark.range(2000).withColumnRenamed("id", "k")
-    kept = {r["k"] for r in common.keep_some(rows, "k", rows.filter("k % 50 = 0")).collect()}
-    assert set(range(0, 2000, 50)) <= kept and len(kept) < 200
+    rows += [(1, "copy of one id"), (None, ITEM), (None, "nothing here"), (9, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"), (10, "20 19 18 17 16 15 14 13 12 11 10 9 8 7"), (1, rows[0][1])]
+    bench = [(10, ITEM), (11, None), (12, ""), (13, "three word item"), (14, "just four words here"), (None, ITEM), (15, "5 6 7 8 9 10 11 12 13 14"), (10, ITEM)]
+    want = [(1, True, (10,)), (1, True, (10,)), (1, False, ()), (2, True, (10,)), (3, False, ()), (4, False, ()), (5, False, ()), (6, False, ()), (7, False, ()), (8, True, (10,)), (9, True, (15,)), (10, False, ()), (None, True, (10,)), (None, False, ())]
+    assert _leaks(spark, rows, bench) == sorted(want, key=str)
+    assert not any(found for _, found, _ in _leaks(spark, rows, []))
+    assert _leaks(spark, [], bench) == []
+
+
+def test_slots_must_be_filled_alike(spark):
+    """The same template with the same windows, told apart by which slots are equal."""
+    item = "the price was 5 in may and the price was 5 in june so what is the price now"
+    rows = [(1, item.replace("5", "7")), (2, item.replace("5", "7", 1)), (3, item)]
+    assert _leaks(spark, rows, [(1, item)]) == [(1, True, (1,)), (2, False, ()), (3, True, (1,))]
+    unequal = item.replace("5", "7", 1)
+    assert _leaks(spark, rows, [(1, item), (2, unequal)]) == [(1, True, (1,)), (2, True, (2,)), (3, True, (1,))]
+
+
+def test_names_that_open_a_sentence(spark):
+    asked = [(1, "Alice has 5 apples"), (2, "The train leaves the old station at noon today and nobody waits there"), (3, "Robert Smith sold his boat. He bought 3 more. Robert Smith then left town for good")]
+    rows = [(1, "Robert has 3 apples"), (2, "and so Mary has 9 apples, "), (3, "we saw that the train leaves the old station at noon today and nobody waits there"), (4, "Ann sold his boat. He bought 8 more. Ann then left town for good"), (5, "Ann sold his boat. He bought 8 more. Bob then left town for good"), (6, "Robert eats 3 apples")]
+    assert _leaks(spark, rows, asked) == [(1, True, (1,)), (2, True, (1,)), (3, True, (2,)), (4, True, (3,)), (5, False, ()), (6, False, ())]
+
+
+def test_short_items(spark):
+    bench = [(1, "seldom seen purple walrus"), (2, "Zanzibar 44"), (3, "xylophone"), (4, "??")]
+    rows = [(1, "a seldom seen purple walrus slept"), (2, "a purple walrus slept"), (3, "in zanzibar 44 of them"), (4, "Zanzibar 45"), (5, "a xylophone, two xylophones"), (6, "what??")]
+    assert _leaks(spark, rows, bench) == [(1, True, (1,)), (2, False, ()), (3, True, (2,)), (4, False, ()), (5, True, (3,)), (6, False, ())]
+
+
+def test_the_join_shuffles_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows, bench = [(1, "x " + ITEM), (2, "nothing")], [(10, ITEM)]
+    want = _leaks(spark, rows, bench)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST", 0)
+    assert _leaks(spark, rows, bench) == want == [(1, True, (10,)), (2, False, ())]
