@@ -1,7 +1,9 @@
 """A corpus pipeline over `documents`: language ID, near-dedup, substring dedup, decontamination, mixing.
 
 Each stage works on all that the one before it kept, and all but the last return the columns of documents.
-Defined cases are those of the operators; rows with a null doc_id pass the deduplicating stages by their text.
+Defined cases are those of the operators: null texts go with the language stage; rows with a null doc_id, and
+texts that share an id, are documents of their own; repeated rows are copies, of which one stays; columns beyond
+those of `documents` are carried along to the last stage, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,10 +26,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate class: that with the least id."""
-    classes = near_dedup.near_duplicates(docs)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    return near_dedup.keep_one(docs).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +37,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark items."""
-    named = docs.withColumn("_id", common.row_id("doc_id", "text"))
-    benchmark = common.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
-    found = decontamination.leaks(named.select(F.col("_id").alias("id"), "text"), benchmark).select(F.col("id").alias("_id")).distinct()
-    return named.join(found, "_id", "left_anti").select(*docs.columns)
+    benchmark = common.table(spark, sf_dir, "benchmark")
+    return decontamination.without_leaks(docs, benchmark).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
