@@ -43,7 +43,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document: (doc_id, size, source_size, target, taken)."""
-    return mixing.mix(docs.select("doc_id", "text", "source"))
+    return mixing.mix_sources(docs)
 
 
 STAGES = [
