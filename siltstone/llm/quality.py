@@ -1,6 +1,6 @@
 """Quality classification by a convolutional network on bytes, in numpy.
 
-Filters of WIDTH bytes run over the whole text; a filter is a table of a weight per place and byte, so a
+Filters of WIDTH bytes run over the whole text, a byte at a time; a filter is a table of a weight per place and byte, so a
 convolution is WIDTH lookups.  Activations are max-pooled over overlapping chunks of two blocks each, and
 the chunks are combined by maximum and by mean into one logistic unit: a junk line anywhere shows in the
 maximum, its share of the text in the mean.  Training is plain back-propagation with Adam on a bounded
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-WIDTH, FILTERS, STRIDE = 6, 16, 2
+WIDTH, FILTERS = 6, 16
 #: Positions of a block; a chunk is two blocks, so chunks overlap by half.
 BLOCK = 128
 #: Bounds of the training sample: texts (by least hash; whole), passes over it.
@@ -46,10 +46,10 @@ class Network:
         """Of one text, zero-padded to WIDTH: positions x filters."""
         if len(data) < WIDTH:
             data = np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)])
-        n = (len(data) - WIDTH) // STRIDE + 1
+        n = len(data) - WIDTH + 1
         out = np.broadcast_to(self.shift, (n, FILTERS)).copy()
         for k in range(WIDTH):
-            out += self.tables[k][data[k : k + STRIDE * (n - 1) + 1 : STRIDE]]
+            out += self.tables[k][data[k : k + n]]
         return out
 
     def features(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,6 +70,25 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradient(net: Network, data: np.ndarray, label: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of the logistic loss of one text, by tables, shift, weights and bias; it reaches the positions of the chunk maxima only."""
+    tables, shift = np.zeros_like(net.tables), np.zeros_like(net.shift)
+    if not len(data):
+        return tables, shift, np.zeros_like(net.weights), 1 / (1 + np.exp(-net.bias)) - label
+    feat, chunk, act = net.features(data)
+    error = 1 / (1 + np.exp(-np.clip(feat @ net.weights + net.bias, -30, 30))) - label
+    g = np.repeat((error * net.weights[FILTERS:] / len(chunk))[None], len(chunk), 0)
+    g[chunk.argmax(0), np.arange(FILTERS)] += error * net.weights[:FILTERS]
+    g *= chunk > 0
+    begin = np.arange(len(chunk)) * BLOCK
+    where = np.array([a + act[a : a + 2 * BLOCK].argmax(0) for a in begin])
+    padded = data if len(data) >= WIDTH else np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)])
+    column = np.broadcast_to(np.arange(FILTERS), where.shape)
+    for k in range(WIDTH):
+        np.add.at(tables[k], (padded[where + k], column), g)
+    return tables, g.sum(0), error * feat, error
+
+
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, 2 * FILTERS).astype(np.float32), 0.0)
@@ -88,24 +107,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
             grads = [np.zeros_like(p) for p in params]
             net.bias = float(params[3][0])
             for i in order[at : at + batch]:
-                if not len(data[i]):
-                    grads[3] += (1 / (1 + np.exp(-net.bias)) - y[i]) / batch
-                    continue
-                feat, chunk, act = net.features(data[i])
-                error = (1 / (1 + np.exp(-np.clip(feat @ net.weights + net.bias, -30, 30))) - y[i]) / batch
-                grads[2] += error * feat
-                grads[3] += error
-                # the gradient reaches the positions of the chunk maxima only
-                g = np.repeat((error * net.weights[FILTERS:] / len(chunk))[None], len(chunk), 0)
-                g[chunk.argmax(0), np.arange(FILTERS)] += error * net.weights[:FILTERS]
-                g *= chunk > 0
-                begin = np.arange(len(chunk)) * BLOCK
-                where = np.array([begin[c] + act[begin[c] : begin[c] + 2 * BLOCK].argmax(0) for c in range(len(chunk))])
-                padded = data[i] if len(data[i]) >= WIDTH else np.concatenate([data[i], np.zeros(WIDTH - len(data[i]), np.uint8)])
-                column = np.broadcast_to(np.arange(FILTERS), where.shape)
-                for k in range(WIDTH):
-                    np.add.at(grads[0][k], (padded[where * STRIDE + k], column), g)
-                grads[1] += g.sum(0)
+                for sum_, part in zip(grads, gradient(net, data[i], y[i]), strict=True):
+                    sum_ += part / batch
             step += 1
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
@@ -128,6 +131,7 @@ def fit(labelled: DataFrame, max_texts: int = MAX_TEXTS) -> Network:
 
 def score(spark: SparkSession, df: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all of df's, if None) with score (0 to 1: the chance of label 1)."""
+    common.bound_batches(spark)
     keep = [c for c in (df.columns if keep is None else keep) if c != "score"]
     source = "text" if "text" in keep else "__text"  # a kept text travels once
     shared = spark.sparkContext.broadcast(net)

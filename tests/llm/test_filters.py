@@ -96,12 +96,65 @@ def test_quality_learns_and_covers_the_whole_text(spark):
     assert only.score(np.zeros(0, np.uint8)) > 0.99 and quality.train([], []).score(np.zeros(0, np.uint8)) == 0.5
 
 
+def plain_score(net, text: bytes) -> float:
+    """The network's forward pass, position by position."""
+    width, block = quality.WIDTH, quality.BLOCK
+    z = net.bias
+    if text:
+        text += bytes(max(0, width - len(text)))
+        act = [[float(net.shift[f]) + sum(float(net.tables[k][text[i + k]][f]) for k in range(width)) for f in range(quality.FILTERS)] for i in range(len(text) - width + 1)]
+        blocks = [act[i : i + block] for i in range(0, len(act), block)]
+        chunks = [sum(blocks[i : i + 2], []) for i in range(max(1, len(blocks) - 1))]
+        top = [[max(0.0, max(row[f] for row in c)) for f in range(quality.FILTERS)] for c in chunks]
+        for f in range(quality.FILTERS):
+            z += float(net.weights[f]) * max(t[f] for t in top) + float(net.weights[quality.FILTERS + f]) * sum(t[f] for t in top) / len(top)
+    return 1 / (1 + math.exp(-z))
+
+
+def some_network(seed=2):
+    rng = np.random.default_rng(seed)
+    n = quality.FILTERS
+    return quality.Network(rng.normal(0, 0.3, (quality.WIDTH, 256, n)), rng.normal(0, 0.1, n), rng.normal(0, 0.3, 2 * n), 0.2)
+
+
+@pytest.mark.parametrize("text", [b"", b"a", b"abcdef", b"abcdefg", "Stra\u00dfe ".encode() * 40, bytes(range(256)) * 3])
+def test_quality_score_equals_a_plain_pass(text):
+    net = some_network()
+    assert net.score(np.frombuffer(text, np.uint8)) == pytest.approx(plain_score(net, text), rel=1e-9)
+
+
+def test_quality_reads_every_byte():
+    net = some_network()
+    for n in (7, 8, 9, 300, 301):
+        text = bytes(97 + i % 20 for i in range(n))
+        acts = net.activations(np.frombuffer(text, np.uint8))
+        for i in range(n):
+            other = net.activations(np.frombuffer(text[:i] + b"Z" + text[i + 1 :], np.uint8))
+            assert (other != acts).any()
+
+
 def test_quality_gradient_matches_differences():
-    """One step lowers the loss of a single text for either label."""
-    text = b"some text that is long enough for a few chunks " * 20
-    for label in (0, 1):
-        loss = lambda net: -math.log(net.score(np.frombuffer(text, np.uint8)) if label else 1 - net.score(np.frombuffer(text, np.uint8)))  # noqa: B023, E731
-        assert loss(quality.train([text, b"zz"], [label, 1 - label], epochs=8)) < loss(quality.train([text, b"zz"], [label, 1 - label], epochs=1))
+    net, step = some_network(), 1e-6
+    for text, label in ((b"some text that is long enough for chunks " * 12, 1), (b"xyz", 0), (b"", 1)):
+        data = np.frombuffer(text, np.uint8)
+        loss = lambda: -math.log(net.score(data) if label else 1 - net.score(data))  # noqa: B023, E731
+        tables, shift, weights, bias = quality.gradient(net, data, label)
+        places = [(net.tables, tables, (k, b, f)) for k in (0, 5) for b in b"sx t" for f in (0, 7)] + [(net.shift, shift, (f,)) for f in (0, 9)] + [(net.weights, weights, (f,)) for f in (1, 20)]
+        for values, slopes, at in places:
+            was = values[at]
+            values[at] = was + step
+            up = loss()
+            values[at] = was - step
+            down = loss()
+            values[at] = was
+            assert slopes[at] == pytest.approx((up - down) / (2 * step), abs=1e-5)
+        was = net.bias
+        net.bias = was + step
+        up = loss()
+        net.bias = was - step
+        down = loss()
+        net.bias = was
+        assert bias == pytest.approx((up - down) / (2 * step), abs=1e-5)
 
 
 def test_licences(spark):
