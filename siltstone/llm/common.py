@@ -18,7 +18,7 @@ from ..sources.shared import materialize, shared_dir
 __all__ = ["CHUNK_BYTES", "WORD", "bound_batches", "grams", "held_out", "materialize", "mix", "row_id", "shared_dir", "table", "text_slices", "words"]
 
 #: Bytes of text that the kernels take at once (one text at least).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: A word, as in all operators here: a run of anything but space, tab, and line breaks 0x0A to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 

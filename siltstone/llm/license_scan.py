@@ -1,19 +1,22 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates, in DataFrame functions alone.
 
-Paragraphs are lines.  Their words, word pairs and word triples feed a sparse (L1) multinomial logistic
-regression with a class per licence family, one for licence statements of unknown family and one for
-everything else.  It learns from sentences built from the families' templates and names, from statements
-that name an invented licence, and from a bounded sample of the corpus' own lines without licence words.
-Probabilities are calibrated by a temperature that a held-out fold of those sentences picks; a family
-below MIN_CHANCE becomes `unknown`.  N-grams of common words alone are no features; a line without any word
-of a feature with weight has the bias alone, which says `none`, so such lines are dropped by their words.  A prediction is confirmed if the paragraph holds most word pairs of
-one of the family's templates, or one of its names as a whole sequence of words (a name of one word: in one
-of FRAMES); an unconfirmed family is `unknown` too.
-
-Defined cases: null and blank texts have no paragraph; a document without licence paragraphs has licence
-null and an empty list; of several families the likeliest is `licence`, ties to the first by name; rows of
-one id (or with a null id) share their paragraphs; an empty table gives an empty result, and then the
-classifier learns from its sentences alone; other columns are ignored.
+Paragraphs are runs of lines that are not blank; a paragraph that holds a word with weight is judged as a
+whole, so that wrapped statements count, and line by line, so that a paragraph may name several licences.
+The words, word pairs and word triples of each such part feed a sparse (L1) multinomial logistic regression
+with a class per licence family, one for licence statements of unknown family and one for everything else.
+It learns from sentences built from the families' templates and names, from statements that name an invented
+licence, from sentences that use licence words otherwise, and from a bounded sample of the corpus' own lines
+without licence words.  Probabilities are calibrated by a temperature that a held-out fold of those sentences
+picks; a family below MIN_CHANCE becomes `unknown`.  N-grams of common words alone are no features; a part
+without any word of a feature with weight has the bias alone, which says `none`, so such parts are dropped by
+their words.  A prediction is confirmed if the part holds most word pairs of one of the family's templates, or
+one of its names as a whole sequence of words (a name of one word: in one of FRAMES); an unconfirmed family is
+`unknown` too.  What is confirmed in a paragraph outweighs what is unknown there.
+
+Defined cases: null and blank texts have no paragraph; a document without licence paragraphs has licence null
+and an empty list; of several families the likeliest is `licence`, ties to the first by name; rows are told
+apart by id and text, so repeated rows agree; an empty table gives an empty result, and then the classifier
+learns from its sentences alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,6 +95,14 @@ FAMILIES: dict[str, dict[str, list[str]]] = {
 #: Frames that a licence's name is put in, and invented names for the class `unknown` (fixed values).
 FRAMES = ["Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under the {}.", "This file is distributed under the {}.", "License: {}", "SPDX-License-Identifier: {}", "Available under the terms of the {}.", "{}"]
 INVENTED = ["Harbour License", "Meadow Public Licence 1.0", "Northwind Open License, version 4", "Acme Source License", "Lighthouse Community License 2.0", "Pine-1.1"]
+#: Sentences that use the words of licences for something else (fixed values).
+OTHERWISE = [
+    "He lost his driving license last year.", "The license plate of the car was hidden.", "The writer took poetic license with the dates.",
+    "They asked for permission to leave early.", "The court heard a case about copyright law.", "The software engineer moved to another city.", "Apache is a county in the north.", "Our team won the public speaking prize.",
+    "The driver must carry a license and a map.", "Students at MIT study physics.", "The general public was invited to the show.", "All rights belong to the people, he said.",
+    "A licensed doctor works in the village.", "The creative work of the common people was praised.", "No permission is needed to walk here.", "The version of the story changed twice.",
+    "He renewed the license for his boat.", "She earned a doctorate in May and a pilot license.", "The distribution of food began at noon.", "The terms of the treaty were signed.", "Without a license nobody may hunt.",
+]
 _WORDS = r"[\p{L}\p{N}]+"
 _LICENCE_WORDS = r"(?i)licen[sc]|copyright|\bspdx|creative commons|\bcc0?\b|public domain|all rights|redistribut|permission|\bgpl|\bmit\b|apache"
 
@@ -119,7 +130,8 @@ def sentences() -> list[tuple[str, str]]:
     out = []
     for family, x in FAMILIES.items():
         out += [(t + end, family) for t in x["templates"] for end in (".", "", ". " + x["templates"][0])]
-        out += [(frame.format(name), family) for name in x["names"] for frame in FRAMES]
+        out += [(frame.format(name), family) for name in x["names"] for frame in [*FRAMES, "{}."]]
+    out += [(t, NONE) for t in OTHERWISE]
     return out + [(frame.format(name), UNKNOWN) for name in INVENTED for frame in FRAMES[:-1]]
 
 
@@ -130,11 +142,17 @@ class Scanner:
         """keys: words of which a line needs one to hold any feature with weight; None: every line is scored."""
         self.model, self.classes, self.temperature, self.keys = model, classes, temperature, keys
 
+    def candidates(self, paragraphs: DataFrame) -> DataFrame:
+        """The parts (paragraph, words) of paragraphs that may be classified otherwise than `none`: the whole, and the lines of several."""
+        some = lambda df: df.withColumn("words", words_of(F.col("paragraph"))).filter(F.size("words") > 0 if self.keys is None else F.arrays_overlap("words", F.lit(self.keys)))
+        whole = some(paragraphs)
+        lines = F.split("paragraph", LINE)
+        parts = F.when(F.size(lines) > 1, F.array_distinct(F.concat(F.array("paragraph"), lines))).otherwise(F.array("paragraph"))
+        return some(whole.drop("words").withColumn("paragraph", F.explode(parts)))
+
     def classify(self, paragraphs: DataFrame) -> DataFrame:
-        """paragraphs (with a column paragraph) with family, chance, shared and confirmed; `none` rows are dropped."""
-        words = paragraphs.withColumn("words", words_of(F.col("paragraph"))).filter(F.size("words") > 0)
-        if self.keys is not None:
-            words = words.filter(F.arrays_overlap("words", F.lit(self.keys)))
+        """paragraphs (with a column paragraph) by part, with family, chance, shared and confirmed; `none` rows are dropped."""
+        words = self.candidates(paragraphs)
         seen = self.model.transform(words.withColumn("grams", grams_of("words")))
         z = F.transform(vector_to_array("rawPrediction"), lambda x: F.exp(x / F.lit(self.temperature)))
         seen = seen.filter(F.col("prediction") != self.classes.index(NONE)).withColumn("z", z)
@@ -174,14 +192,22 @@ def _pairs(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True)})
 
 
-def paragraphs_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph): the lines that are not blank."""
-    return docs.select("doc_id", F.explode(F.split("text", "\r\n|\r|\n")).alias("paragraph")).filter(F.length(F.trim("paragraph")) > 0)
+LINE = "\r\n|\r|\n"
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(paragraph): the lines that are not blank."""
+    return docs.select(F.explode(F.split("text", LINE)).alias("paragraph")).filter(F.length(F.trim("paragraph")) > 0)
+
+
+def paragraphs_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep, number, paragraph): runs of lines that are not blank."""
+    return docs.select(*keep, F.posexplode(F.split("text", f"(?:{LINE})[ \\t]*(?:(?:{LINE})[ \\t]*)+")).alias("number", "paragraph")).filter(F.col("paragraph").rlike("[^ \\t\r\n]"))
 
 
 def fit(docs: DataFrame) -> Scanner:
     spark = docs.sparkSession
-    lines = paragraphs_of(docs).select("paragraph")
+    lines = lines_of(docs)
     h = F.pmod(F.xxhash64("paragraph"), F.lit(1 << 20))
     n = docs.count()
     lines = lines.filter(h < max(64, int((1 << 20) * MAX_NONE / max(n, 1)))).filter(~F.col("paragraph").rlike(_LICENCE_WORDS)).distinct().orderBy(h, "paragraph").limit(MAX_NONE)
@@ -218,17 +244,15 @@ def fit(docs: DataFrame) -> Scanner:
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """(doc_id, licence, families, paragraphs, chance), a row per row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    found = (scanner or fit(docs)).classify(paragraphs_of(docs))
-    known = F.when(F.col("family") != UNKNOWN, 1).otherwise(0)
-    found = found.groupBy("doc_id").agg(
-        F.min(F.struct(-known, -F.col("chance"), "family")).alias("best"),
-        F.array_sort(F.collect_set("family")).alias("families"),  # a handful of names
-        F.count("*").alias("paragraphs"),
-    )
-    found = found.select(F.col("doc_id").alias("id"), F.col("best.family").alias("licence"), "families", "paragraphs", (-F.col("best.col2")).alias("chance"))
-    out = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    named = docs.select("doc_id", *common.row_id("doc_id", "text"), "text")
+    found = (scanner or fit(docs)).classify(paragraphs_of(named, "id", "mark").distinct())
+    best = F.min(F.struct((~F.col("confirmed")).alias("open"), (-F.col("chance")).alias("least"), "family"))
+    found = found.groupBy("id", "mark", "number").agg(best.alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"))
+    families = F.when(F.col("best.open"), F.array("best.family")).otherwise(F.col("families"))
+    found = found.groupBy("id", "mark").agg(F.min("best").alias("best"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(families)))).alias("families"), F.count("*").alias("paragraphs"))
+    out = named.select("doc_id", "id", "mark").join(found, ["id", "mark"], "left")
     empty = F.array().cast("array<string>")
-    return out.select("doc_id", "licence", F.coalesce("families", empty).alias("families"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), "chance")
+    return out.select("doc_id", F.col("best.family").alias("licence"), F.coalesce("families", empty).alias("families"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), (-F.col("best.least")).alias("chance"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

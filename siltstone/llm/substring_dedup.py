@@ -32,7 +32,7 @@ from .fm_index import repeated_windows
 
 WINDOW = 35
 ANCHOR = 5
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 HOT_WORDS = 1 << 16
 #: Anchors with more than one HEAVY-th of all passages are dealt out to so many tasks.
 HEAVY, SALTS = 1024, 128

@@ -166,10 +166,57 @@ def test_licences(spark):
     given = docs(spark, rows).withColumn("licence", F.lit("clash"))
     got = {r["doc_id"]: r for r in license_scan.scan(given).collect()}
     assert [got[i]["licence"] for i in (100, 101, 102, 103, 104, 105, 106, None)] == ["Apache-2.0", "MIT", "GPL", "unknown", None, None, "CC-BY-NC", "MIT"]
-    assert all(got[i]["licence"] is None for i in range(40)) and got[101]["paragraphs"] == 2
+    assert all(got[i]["licence"] is None for i in range(40)) and got[101]["paragraphs"] == 1
     assert license_scan.scan(given.filter("false")).count() == 0
 
 
+def test_licence_paragraphs(spark):
+    """Wrapped statements, several licences, words of licences in other uses, and rows without an id."""
+    mit = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this\nsoftware and associated\ndocumentation files"
+    rows = [(1, mit), (2, "some prose\n\nLicensed under the\nApache License,\nVersion 2.0\n\nmore prose"), (None, "Released under the MIT License."), (None, "plain words of a document")]
+    rows += [(3, "he got the MIT degree and a driving license last year"), (4, "Released under the MIT License.\nLicensed under CC BY 4.0."), (5, "Released under the MIT License.\n \t\nLicensed under CC BY 4.0."), (6, "one text"), (6, "Released under the MIT License.")]
+    got = sorted(((r["doc_id"], r["licence"] if len(r["families"]) < 2 else "two", tuple(r["families"]), r["paragraphs"]) for r in license_scan.scan(docs(spark, rows)).collect()), key=str)
+    want = [(1, "MIT", ("MIT",), 1), (2, "Apache-2.0", ("Apache-2.0",), 1), (None, "MIT", ("MIT",), 1), (None, None, (), 0), (3, None, (), 0), (4, "two", ("CC-BY", "MIT"), 1), (5, "two", ("CC-BY", "MIT"), 2), (6, None, (), 0), (6, "MIT", ("MIT",), 1)]
+    assert got == sorted(want, key=str)
+
+
+def plain_licence(scanner, part: str):
+    """(family, chance) of a part of a text, scored from the fitted weights; None for `none`."""
+    import re
+
+    words = re.findall(r"[^\W_]+", part.lower())
+    grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    counts, model = scanner.model.stages
+    x = np.array([g in grams for g in counts.vocabulary], float)
+    z = model.coefficientMatrix.toArray() @ x + model.interceptVector.toArray()
+    chance = np.exp(z / scanner.temperature) / np.exp(z / scanner.temperature).sum()
+    best = scanner.classes[int(z.argmax())]
+    if best == license_scan.NONE:
+        return None
+    pairs = {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
+    own = license_scan.FAMILIES.get(best, {"names": [], "templates": []})
+    line = f" {' '.join(words)} "
+    shared = max([len(set(license_scan._pairs(t)) & pairs) / len(license_scan._pairs(t)) for t in own["templates"] + [n for n in own["names"] if len(license_scan._pairs(n)) > 1]], default=0)
+    one = {f" {license_scan._words(n)[0]} " for n in own["names"] if len(license_scan._words(n)) == 1}
+    named = any(n in line for n in license_scan._sequences(own["names"])) or line in one
+    sure = best != license_scan.UNKNOWN and chance.max() >= license_scan.MIN_CHANCE and (named or shared >= license_scan.MIN_SHARED)
+    return best if sure else license_scan.UNKNOWN, chance.max()
+
+
+def test_licences_equal_plain_scores(spark):
+    rng = np.random.default_rng(8)
+    made = [t for t, _ in license_scan.sentences()]
+    prose = lambda: " ".join("".join(rng.choice(list("aeourstnlm"), 4)) for _ in range(8))
+    rows = [(i, " ".join([prose(), str(rng.choice(made)), prose()] if i % 3 else [str(rng.choice(made))])) for i in range(120)]
+    rows += [(200 + i, str(rng.choice(made))[: int(rng.integers(5, 60))]) for i in range(60)]
+    scanner = license_scan.fit(docs(spark, [(i, prose()) for i in range(80)]))
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows), scanner).collect()}
+    for i, text in rows:
+        want = plain_licence(scanner, text)
+        assert got[i]["licence"] == (want and want[0])
+        assert want is None or got[i]["chance"] == pytest.approx(want[1], rel=1e-6)
+
+
 URLS = ["http://a.example.com/en/1", "https://www.example.com/en/x?utm=1#t", "http://shop.net/es/2", "http://NET/fr/", "http://x.org/fr/2", None, "nourl", "http://x.com", "http://deep.www.example.com/en/"]
 
 
