@@ -94,8 +94,9 @@ def fit(labelled: DataFrame, max_texts: int = MAX_TEXTS, max_contexts: int = MAX
     kept = max(1, min(max_contexts, MAX_TABLE_BYTES // max(1, 4 * (len(symbols) + 1) * len(languages))))
     contexts = counts.filter("depth > 0").groupBy("depth", "context").agg(F.sum("n").alias("total"))
     contexts = contexts.orderBy(F.desc("total"), "depth", "context").limit(kept)
-    rows = counts.join(contexts, ["depth", "context"], "left_semi").unionByName(counts.filter("depth = 0")).toPandas()
-    return compile_model(languages, rows)
+    rows = counts.join(contexts, ["depth", "context"], "left_semi").unionByName(counts.filter("depth = 0")).toArrow()
+    rows = rows.set_column(rows.schema.get_field_index("lang"), "lang", rows.column("lang").dictionary_encode())
+    return compile_model(languages, rows.to_pandas())
 
 
 def compile_model(languages: list[str], counts) -> PpmModel:
@@ -104,25 +105,28 @@ def compile_model(languages: list[str], counts) -> PpmModel:
     width = len(symbols) + 1  # the last class: bytes never seen
     classes = np.full(256, width - 1, np.uint8 if width <= 256 else np.int64)
     classes[symbols] = np.arange(len(symbols))
-    pairs = sorted({(d, c) for d, c in zip(counts["depth"], counts["context"], strict=True)} | {(0, 0)})
-    # a context's count never exceeds its parent's, but the cut may break ties between them: keep whole chains only
-    node: dict[tuple[int, int], int] = {}
-    parent = []
-    for d, c in pairs:
-        up = (d - 1, c & ((1 << 8 * (d - 1)) - 1)) if d else (0, 0)
-        if not d or up in node:
-            node[d, c] = len(node)
-            parent.append(node[up])
-    parent = np.array(parent)
-    dead = len(node)
+    shift = 8 * ORDER
+    keys = (counts["depth"].to_numpy(np.int64) << shift) | counts["context"].to_numpy(np.int64)
+    nodes = np.unique(np.append(keys, 0))
+    while True:
+        depth, context = nodes >> shift, nodes & ((1 << shift) - 1)
+        back = np.maximum(depth - 1, 0)
+        up = (back << shift) | (context & ((1 << 8 * back) - 1))
+        # a context's count never exceeds its parent's, but the cut may break ties between them: keep whole chains only
+        held = np.isin(up, nodes)
+        if held.all():
+            break
+        nodes = nodes[held]
+    parent, dead = np.searchsorted(nodes, up), len(nodes)
     child = np.full((dead + 1, width), dead, np.int32)
-    for (d, c), k in node.items():
-        if d:
-            child[parent[k], classes[c >> 8 * (d - 1)]] = k
+    deep = np.flatnonzero(depth)
+    child[parent[deep], classes[context[deep] >> 8 * back[deep]]] = deep
     bits = np.zeros((dead, width, len(languages)), np.float32)
     for j, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
-        at = np.array([node.get(x, -1) for x in zip(own["depth"], own["context"], strict=True)], np.int64)
+        key = keys[(counts["lang"] == lang).to_numpy()]
+        at = np.minimum(np.searchsorted(nodes, key), dead - 1)
+        at = np.where(nodes[at] == key, at, -1)
         n = np.zeros((dead, width))
         n[at[at >= 0], classes[own["byte"].to_numpy(np.int64)[at >= 0]]] = own["n"].to_numpy()[at >= 0]
         chance, carry, seen, cur = np.zeros((dead, width)), np.ones((dead, 1)), np.zeros((dead, width), bool), np.arange(dead)
@@ -159,6 +163,7 @@ def code_lengths(model: PpmModel, data: np.ndarray, offsets: np.ndarray) -> np.n
 def identify(spark: SparkSession, df: DataFrame, model: PpmModel, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all of df's, if None) with lang_pred, score (0 to 1: the chance of the language
     among those learned, all equally likely before) and bits_per_byte (of the best language; null if und)."""
+    common.bound_batches(spark)
     names = {"lang_pred", "score", "bits_per_byte"}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     source = "text" if "text" in keep else "__text"  # a kept text travels once
