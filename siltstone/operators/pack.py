@@ -1,7 +1,8 @@
 """Packing: greedy choices of files or ranges under a hard token budget.
 
-A choice depends on those before it, so each task's candidates (64 at most, of a few levels) are folded in
-one group; costs of the levels are computed before, in SQL.
+A packer says what it wants as a table of offers: which file, in which order, until which goal is reached. The
+tables are made by joins and windows; one fold goes through a task's offers (a bounded number, as 64 candidates
+are offered at most) and takes what fits the budget.
 """
 
 from __future__ import annotations
@@ -49,113 +50,162 @@ def whole_files(candidates: DataFrame, budget: int, skeleton: int = 0) -> DataFr
     return rows.groupBy("task_id").applyInPandas(fold, f"task_id {kind}, path string, rank long, tokens long, selected boolean, spent long")
 
 
-def _table(levels: DataFrame, candidates: DataFrame, *more: str) -> DataFrame:
-    costs = levels.groupBy("task_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "tokens"))), lambda x: x["tokens"]).alias("costs"))
-    kept = candidates.withColumn("_n", F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path"))).filter(F.col("_n") <= CANDIDATES)
-    return kept.join(costs, ["task_id", "path"]).select("task_id", "path", F.col("rank").cast("long").alias("rank"), *more, "costs")
+#: Phases whose offers enlarge a chosen file: by one level, or by every further level that fits.
+STEP_UP, ALL_UP = "GROWTH", "EXPANSION"
+_OFFER = "step int, turn long, phase string, path string, goal string, once boolean, again boolean, share double, most int"
 
 
-def by_quota(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int = 0) -> DataFrame:
-    """(task_id, path, role, level, tokens, drop_reason) of candidates (task_id, path, rank, role) with levels
-    (task_id, path, level, tokens): role quotas first, one item for each minor role, then upgrades in turn."""
-    rows = _table(levels, candidates, "role")
-    kind = candidates.schema["task_id"].dataType.simpleString()
+def _costs(levels: DataFrame) -> DataFrame:
+    return levels.groupBy("task_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "tokens"))), lambda x: x["tokens"]).alias("costs"))
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "path"]).reset_index(drop=True)
-        costs, role = [list(c) for c in group["costs"]], list(group["role"])
-        level = [-1] * len(costs)
 
-        def total() -> int:
-            used = {role[i] for i, x in enumerate(level) if x >= 0}
-            return skeleton + SECTION_TOKENS * len(used) + sum(costs[i][x] for i, x in enumerate(level) if x >= 0)
+def _first(candidates: DataFrame) -> DataFrame:
+    ranked = candidates.withColumn("_n", F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path")))
+    return ranked.filter(F.col("_n") <= CANDIDATES).drop("_n")
 
-        def put(i: int, to: int) -> bool:
-            was, level[i] = level[i], to
-            if total() <= budget:
-                return True
-            level[i] = was
-            return False
 
-        of = {r: [i for i in range(len(role)) if role[i] == r] for r in ROLES}
-        count = lambda r: sum(level[i] >= 0 for i in of[r])
-        for r in ROLES:
-            share = max(0, budget - skeleton) * SHARES[r]
-            for i in of[r]:
-                if count(r) < MOST_ITEMS[r] and sum(costs[j][level[j]] for j in of[r] if level[j] >= 0) + costs[i][0] <= share:
-                    put(i, 0)
-        for r in ROLES[1:]:
-            first = next((i for i in of[r] if level[i] < 0), None)
-            if not count(r) and first is not None:
-                put(first, 0)
-        moved = True
-        while moved:
-            moved = False
-            for r in ROLES:
-                for i in [i for i in of[r] if level[i] >= 0]:
-                    moved |= level[i] + 1 < len(costs[i]) and put(i, level[i] + 1)
-                spare = next((i for i in of[r] if level[i] < 0), None)
-                if count(r) < MOST_ITEMS[r] and spare is not None:
-                    moved |= put(spare, 0)
-        reason = ["" if x >= 0 else "BUDGET_EXHAUSTED" if total() >= budget else "SECTION_LIMIT" for x in level]
-        tokens = [costs[i][x] if x >= 0 else 0 for i, x in enumerate(level)]
-        return pd.DataFrame({"task_id": group["task_id"], "path": group["path"], "role": role, "level": level, "tokens": tokens, "drop_reason": reason})
-
-    return rows.groupBy("task_id").applyInPandas(choose, f"task_id {kind}, path string, role string, level int, tokens long, drop_reason string")
-
-
-def by_plan(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int = 0, facet: str | None = None) -> DataFrame:
-    """(task_id, path, phase, level, spent) of candidates (task_id, path, rank, roles, facet, directness, strong).
-
-    An anchor, then an uncovered target facet, then uncovered roles (never past stronger direct context), then
-    all by directness, and last larger levels of what is chosen."""
-    rows = _table(levels, candidates, "roles", "facet", "directness", "strong")
-    kind = candidates.schema["task_id"].dataType.simpleString()
+class _Budget:
+    """What one task has taken so far."""
+
+    def __init__(self, files: pd.DataFrame, tokens: int, skeleton: int, section: int, most: int | None):
+        self.files = files.set_index("path").to_dict("index")
+        self.tokens, self.skeleton, self.section, self.most = tokens, skeleton, section, most
+        self.level: dict[str, int] = {}
+
+    def of_role(self, role: str) -> list[str]:
+        return [p for p in self.level if self.files[p]["role"] == role]
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "path"]).reset_index(drop=True)
-        items = [r._asdict() for r in group.itertuples(index=False)]
-        level: dict[int, int] = {}
-        events: list[tuple] = []
-        covered: set[str] = set()
-        key = lambda i: (DIRECTNESS.get(items[i]["directness"], 3), items[i]["rank"])
-        order = lambda i: (*key(i), all(r in covered for r in items[i]["roles"]), items[i]["costs"][0], items[i]["path"])
-        spent = lambda: skeleton + sum(items[i]["costs"][x] for i, x in level.items())
-
-        def put(i: int, phase: str) -> bool:
-            if i in level or len(level) >= MOST_FILES:
-                return False
-            level[i] = 0
-            if spent() > budget:
-                del level[i]
-                return False
-            covered.update(items[i]["roles"])
-            events.append((items[i]["path"], phase, 0, spent()))
+    def cost(self, paths) -> int:
+        return sum(int(self.files[p]["costs"][self.level[p]]) for p in paths)
+
+    def spent(self) -> int:
+        return self.skeleton + self.section * len({self.files[p]["role"] for p in self.level}) + self.cost(self.level)
+
+    def put(self, path: str, level: int) -> bool:
+        before = self.level.get(path)
+        self.level[path] = level
+        if self.spent() <= self.tokens and (self.most is None or len(self.level) <= self.most):
             return True
+        if before is None:
+            del self.level[path]
+        else:
+            self.level[path] = before
+        return False
+
+    def add(self, path: str, share: float, most: float) -> bool:
+        own, x = self.of_role(self.files[path]["role"]), self.files[path]
+        if len(own) >= most or self.cost(own) + x["costs"][0] > share:
+            return False
+        compact = sorted(range(min(len(x["costs"]), x["preferred"] + 1)), key=lambda i: (x["costs"][i], i))
+        return any(self.put(path, i) for i in compact)
+
+
+def fold(offers: DataFrame, files: DataFrame, budget: int, skeleton: int = 0, section: int = 0, most: int | None = None) -> DataFrame:
+    """(task_id, seq, path, phase, level, spent): what is taken of offers, in their order of step and turn.
+
+    offers: task_id and the columns of _OFFER. An offer is void once its goal is reached, that is once a file with
+    that tag is taken, or, if it counts `once`, as soon as one file was tried for it. A step that runs `again` is
+    repeated until a pass takes nothing. share and most bound a role's tokens and files.
+    files: (task_id, path, role, tags, preferred, costs), costs by level; a file comes in by its cheapest level up
+    to the preferred one that fits."""
+    kind = offers.schema["task_id"].dataType.simpleString()
+
+    def choose(key: tuple, offered: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        state, reached, events = _Budget(own, budget, skeleton, section, most), set(), []
+        for _, step in offered.sort_values(["step", "turn"]).groupby("step", sort=True):
+            rows, moved = step.to_dict("records"), True
+            while moved:
+                moved, tried = False, set()
+                for o in rows:
+                    path, goal = o["path"], o["goal"]
+                    held = state.level.get(path)
+                    if goal in reached or goal in tried or (held is None) == (o["phase"] in (STEP_UP, ALL_UP)) or path not in state.files:
+                        continue
+                    if held is None:
+                        done = state.add(path, o["share"], o["most"])
+                        if o["once"]:
+                            tried.add(goal)
+                        if done:
+                            reached.update(state.files[path]["tags"])
+                            events.append((path, o["phase"], state.level[path], state.spent()))
+                        moved |= done
+                        continue
+                    for level in range(held + 1, len(state.files[path]["costs"]))[: 1 if o["phase"] == STEP_UP else None]:
+                        if state.put(path, level):
+                            events.append((path, o["phase"], level, state.spent()))
+                            moved = True
+                moved = moved and bool(rows[0]["again"])
+        return pd.DataFrame([(key[0], i, *e) for i, e in enumerate(events)], columns=["task_id", "seq", "path", "phase", "level", "spent"])
+
+    out = f"task_id {kind}, seq int, path string, phase string, level int, spent long"
+    files = files.toDF(*files.columns)  # columns of their own: both tables come of the same candidates
+    return offers.groupBy("task_id").cogroup(files.groupBy("task_id")).applyInPandas(choose, out)
+
+
+def _offers(rows: DataFrame, step: int | Column, turn: Column, phase: str | Column, goal: Column | None = None, once: bool = False, again: bool = False, share: Column | None = None, most: Column | None = None) -> DataFrame:
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    no_bound = F.lit(2**31 - 1)
+    values = [of(step), turn, of(phase), F.col("path"), F.lit(None) if goal is None else goal, F.lit(once), F.lit(again), F.lit(float("inf")) if share is None else share, no_bound if most is None else most]
+    names = [x.split(" ") for x in _OFFER.split(", ")]
+    return rows.select("task_id", *[v.cast(kind).alias(name) for v, (name, kind) in zip(values, names, strict=True)])
+
+
+def _by_role(values: dict) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("role"))
 
-        direct = [i for i in range(len(items)) if items[i]["strong"]]
-        any(put(i, "ANCHOR") for i in sorted(direct, key=lambda i: (key(i)[0], items[i]["facet"] != facet, *order(i))))
-        if facet is not None and not any(items[i]["facet"] == facet for i in level if i in direct):
-            any(put(i, "TARGET_OPPORTUNITY") for i in sorted((i for i in direct if items[i]["facet"] == facet), key=order))
-        for role in ("PRIMARY", "IMPACT", "VALIDATION", "SUPPORT"):
-            if role in covered:
-                continue
-            for i in sorted((i for i in range(len(items)) if role in items[i]["roles"]), key=order):
-                for j in sorted((j for j in direct if key(j) < key(i)), key=order):
-                    put(j, "DIRECT_PRIORITY")
-                if role in covered or put(i, "OPPORTUNITY"):
-                    break
-        left = list(range(len(items)))
-        while left:
-            left.sort(key=order)
-            put(left.pop(0), "GLOBAL")
-        for i in sorted(level):
-            for to in range(1, len(items[i]["costs"])):
-                was, level[i] = level[i], to
-                if spent() > budget:
-                    level[i] = was
-                else:
-                    events.append((items[i]["path"], "EXPANSION", to, spent()))
-        return pd.DataFrame({"task_id": group["task_id"].iloc[0], "path": [e[0] for e in events], "phase": [e[1] for e in events], "level": [e[2] for e in events], "spent": [e[3] for e in events]})
-
-    return rows.groupBy("task_id").applyInPandas(choose, f"task_id {kind}, path string, phase string, level int, spent long")
+
+def by_quota(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int = 0) -> DataFrame:
+    """(task_id, path, role, level, tokens, drop_reason) of candidates (task_id, path, rank, role) with levels
+    (task_id, path, level, tokens): role quotas first, one item for each minor role, then growth in turn."""
+    rows = _first(candidates).join(_costs(levels), ["task_id", "path"]).filter(F.col("role").isin(ROLES))
+    rows = rows.withColumn("place", _by_role({r: i for i, r in enumerate(ROLES)})).withColumn("leads", F.row_number().over(Window.partitionBy("task_id", "role").orderBy("rank", "path")) == 1)
+    number, count = F.col("rank").cast("long"), _by_role(MOST_ITEMS)
+    share = _by_role(SHARES) * max(0, budget - skeleton)
+    minor = rows.filter((F.col("role") != ROLES[0]) & F.col("leads"))
+    in_turn = lambda last: F.col("place") * 10_000 + last * 5_000 + F.col("_turn")
+    numbered = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path")))
+    offers = _offers(rows, F.col("place"), number, "QUOTA", share=share, most=count)
+    offers = offers.unionByName(_offers(minor, 10, F.col("place").cast("long"), "ROLE", goal=F.col("role")))
+    offers = offers.unionByName(_offers(numbered, 20, in_turn(0).cast("long"), STEP_UP, again=True))
+    offers = offers.unionByName(_offers(numbered, 20, in_turn(1).cast("long"), "QUOTA", goal=F.concat(F.lit("next "), F.col("role")), once=True, again=True, most=count))
+    files = rows.select("task_id", "path", "role", F.array("role").alias("tags"), F.lit(0).alias("preferred"), "costs")
+    events = fold(offers, files, budget, skeleton, SECTION_TOKENS)
+    taken = events.groupBy("task_id", "path").agg(F.max_by("level", "seq").alias("level"))
+    full = events.groupBy("task_id").agg((F.max_by("spent", "seq") >= budget).alias("full"))
+    out = rows.join(taken, ["task_id", "path"], "left").join(full, "task_id", "left")
+    reason = F.when(F.col("level").isNotNull(), "").when(F.coalesce("full", F.lit(skeleton >= budget)), "BUDGET_EXHAUSTED").otherwise("SECTION_LIMIT")
+    return out.select("task_id", "path", "role", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce(F.get("costs", F.col("level")), F.lit(0)).cast("long").alias("tokens"), reason.alias("drop_reason"))
+
+
+#: Roles of a plan in order, and the weight of each (fixed values): 0 required, 1 high, 2 normal.
+PLAN_ROLES = {"PRIMARY": 0, "IMPACT": 1, "VALIDATION": 1, "SUPPORT": 2}
+
+
+def by_plan(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int = 0, facet: str | None = None, plan: dict[str, int] = PLAN_ROLES) -> DataFrame:
+    """(task_id, path, phase, level, spent) of candidates (task_id, path, rank, roles, facet, directness, strong and,
+    if larger levels may come in at once, preferred).
+
+    Candidates stand in one order: by directness, weight of their best role, and rank. An anchor comes first, then an
+    uncovered target facet, then uncovered roles (never past stronger direct context), then all, and last larger
+    levels of what is chosen."""
+    rows = _first(candidates).join(_costs(levels), ["task_id", "path"])
+    weight = F.create_map(*[F.lit(x) for kv in plan.items() for x in kv])
+    heaviest = F.coalesce(F.array_min(F.transform("roles", lambda r: F.coalesce(F.try_element_at(weight, r), F.lit(2)))), F.lit(2))
+    direct = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DIRECTNESS.items() for x in kv]), F.col("directness")), F.lit(3))
+    rows = rows.withColumn("direct", direct).withColumn("turn", F.row_number().over(Window.partitionBy("task_id").orderBy("direct", heaviest, "rank", "path")).cast("long"))
+    target = F.coalesce(F.col("facet") == F.lit(facet), F.lit(False))
+    strong = rows.filter("strong")
+    anchor = F.row_number().over(Window.partitionBy("task_id").orderBy("direct", ~target, "turn")).cast("long")
+    offers = _offers(strong.withColumn("anchor", anchor), 0, F.col("anchor"), "ANCHOR", goal=F.lit("anchor"))
+    if facet is not None:
+        offers = offers.unionByName(_offers(strong.filter(target), 1, F.col("turn"), "TARGET_OPPORTUNITY", goal=F.lit("target")))
+    for i, role in enumerate(sorted(plan, key=lambda r: (plan[r], list(plan).index(r)))):
+        has = F.array_contains("roles", role)
+        last = F.max(F.when(has, F.col("turn"))).over(Window.partitionBy("task_id"))
+        shown = rows.withColumn("last", last).filter(has | (F.col("strong") & (F.col("turn") < F.col("last"))))
+        offers = offers.unionByName(_offers(shown, 2 + i, F.col("turn"), F.when(has, "OPPORTUNITY").otherwise("DIRECT_PRIORITY"), goal=F.lit(f"role {role}")))
+    offers = offers.unionByName(_offers(rows, 100, F.col("turn"), "GLOBAL")).unionByName(_offers(rows, 101, F.col("rank").cast("long"), ALL_UP))
+    tags = F.concat(F.transform("roles", lambda r: F.concat(F.lit("role "), r)), F.when(F.col("strong") & target, F.array(F.lit("anchor"), F.lit("target"))).when(F.col("strong"), F.array(F.lit("anchor"))).otherwise(F.array().cast("array<string>")))
+    preferred = F.col("preferred").cast("int") if "preferred" in candidates.columns else F.lit(0)
+    files = rows.select("task_id", "path", F.lit("").alias("role"), tags.alias("tags"), preferred.alias("preferred"), "costs")
+    return fold(offers, files, budget, skeleton, most=MOST_FILES).select("task_id", "path", "phase", "level", "spent")

@@ -157,6 +157,35 @@ def test_packers_keep_to_the_budget(spark):
     assert rows_of(whole, "path", "selected") == [("a", True), ("b", False), ("c", True)]
 
 
+def test_plan_packing_by_phase(spark):
+    """One anchor of the target's facet, its roles past no stronger context, then all, then larger levels."""
+    rows = [("a", 1, ["PRIMARY"], "core", "OWNED_SYMBOL", True), ("b", 2, ["PRIMARY"], "api", "OWNED_SYMBOL", True), ("c", 3, ["PRIMARY"], "core", "VERIFIED_LEXICAL", True), ("t", 4, ["VALIDATION"], "test", "INDIRECT", False), ("s", 5, ["SUPPORT"], "docs", "INDIRECT", False)]
+    c = spark.createDataFrame([(1, *r) for r in rows], "task_id int, path string, rank int, roles array<string>, facet string, directness string, strong boolean")
+    costs = {"a": [100, 150], "b": [100, 120], "c": [900], "t": [50], "s": [40, 60, 70]}
+    lv = spark.createDataFrame([(1, p, i, n) for p, ns in costs.items() for i, n in enumerate(ns)], "task_id int, path string, level int, tokens int")
+    run = lambda budget, facet: [(r["path"], r["phase"], r["level"], r["spent"]) for r in pack.by_plan(c, lv, budget, 10, facet=facet).collect()]
+    # the weaker candidate c does not fit; b stands before the test though it covers no new role
+    assert run(400, "api") == [("b", "ANCHOR", 0, 110), ("a", "DIRECT_PRIORITY", 0, 210), ("t", "OPPORTUNITY", 0, 260), ("s", "OPPORTUNITY", 0, 300), ("a", "EXPANSION", 1, 350), ("b", "EXPANSION", 1, 370), ("s", "EXPANSION", 1, 390), ("s", "EXPANSION", 2, 400)]
+    assert run(400, "none")[0] == ("a", "ANCHOR", 0, 110)
+    assert run(120, None) == [("a", "ANCHOR", 0, 110)] and run(5, None) == []
+    wide = c.withColumn("preferred", F.lit(1))
+    cheap = spark.createDataFrame([(1, "a", 0, 90), (1, "a", 1, 60), (1, "a", 2, 30)], "task_id int, path string, level int, tokens int")
+    assert [(r["path"], r["level"], r["spent"]) for r in pack.by_plan(wide, cheap, 200, 0).collect()][0] == ("a", 1, 60)
+
+
+def test_quota_packing_by_phase(spark):
+    rows = [("p1", 1, "PRIMARY_CODE"), ("p2", 2, "PRIMARY_CODE"), ("t1", 3, "TEST"), ("t2", 4, "TEST"), ("d1", 5, "DOCUMENTATION")]
+    c = spark.createDataFrame([(1, *r) for r in rows], "task_id int, path string, rank int, role string")
+    costs = {"p1": [100, 200], "p2": [300], "t1": [200], "t2": [60], "d1": [40, 80]}
+    lv = spark.createDataFrame([(1, p, i, n) for p, ns in costs.items() for i, n in enumerate(ns)], "task_id int, path string, level int, tokens int")
+    run = lambda budget: {r["path"]: (r["level"], r["tokens"], r["drop_reason"]) for r in pack.by_quota(c, lv, budget, 0).collect()}
+    # 600: shares 270, 90, 90, 60, 60: p1, t2 and d1; then p1 and d1 grow, and t1 still fits
+    assert run(600) == {"p1": (1, 200, ""), "p2": (-1, 0, "SECTION_LIMIT"), "t1": (0, 200, ""), "t2": (0, 60, ""), "d1": (1, 80, "")}
+    # 300: only p1 fits its share; of the minor roles the first test does not fit, the document does; then p1 grows and d1 can't
+    assert run(300) == {"p1": (1, 200, ""), "p2": (-1, 0, "SECTION_LIMIT"), "t1": (-1, 0, "SECTION_LIMIT"), "t2": (-1, 0, "SECTION_LIMIT"), "d1": (0, 40, "")}
+    assert all(level == -1 and why == "SECTION_LIMIT" for level, _, why in run(90).values() if level < 0)
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/store")
     files = spark.createDataFrame([("a", "h1")], "path string, hash string")
