@@ -79,6 +79,9 @@ files AS (SELECT *, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(t
 TASKS_SQL = """
 tasks AS (SELECT conv_id * 1000 + turn AS task_id, text FROM conversations WHERE role = 'user' AND conv_id % 100 = 0)"""
 
+TURNS_SQL = """
+tasks AS (SELECT conv_id * 1000 + turn AS task_id, text FROM conversations WHERE role = 'user')"""
+
 
 def norm(x: str) -> str:
     return f"lower(trim(regexp_replace(replace({x}, '\\', '/'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))"

@@ -33,6 +33,7 @@ def query(sql: str | None = None):
     return put
 
 
+TURNS = f"WITH {B.TURNS_SQL}, {B.SIGNALS_SQL}"  # signals of all user turns
 FILES, TASKS, SIGNALS, EDGES, SYMBOLS = f"WITH {B.FILES_SQL}", f"WITH {B.TASKS_SQL}", f"WITH {B.TASKS_SQL}, {B.SIGNALS_SQL}", f"WITH {B.EDGES_SQL}", f"WITH {B.FILES_SQL}, {B.SYMBOLS_SQL}"
 ELIGIBLE = "category NOT IN ('generated', 'dependency', 'binary_asset')"
 PRIORITY = "CASE category WHEN 'source' THEN 0 WHEN 'test' THEN 1 WHEN 'configuration' THEN 2 WHEN 'documentation' THEN 3 ELSE 4 END"
@@ -112,12 +113,12 @@ def bounded_text(spark, sf):
 # ---- signals ----
 
 
-@query(f"{SIGNALS} SELECT task_id, kind, value, normalized, origin, derived_from, low_value FROM signals")
+@query(f"{TURNS} SELECT task_id, kind, value, normalized, origin, derived_from, low_value FROM signals")
 def task_signals(spark, sf):
     return S.signals(B.turns(spark, sf))
 
 
-@query(f"""{SIGNALS} SELECT t.task_id, CAST(count(s.kind) AS BIGINT) AS n_signals, NOT coalesce(bool_or(NOT low_value AND len(normalized) >= 2), false) AS low_information FROM tasks t LEFT JOIN signals s USING (task_id) GROUP BY t.task_id""")
+@query(f"""{TURNS} SELECT t.task_id, CAST(count(s.kind) AS BIGINT) AS n_signals, NOT coalesce(bool_or(NOT low_value AND len(normalized) >= 2), false) AS low_information FROM tasks t LEFT JOIN signals s USING (task_id) GROUP BY t.task_id""")
 def low_information_tasks(spark, sf):
     return S.diagnostics(B.turns(spark, sf)).select("task_id", F.col("n_signals").cast("long").alias("n_signals"), "low_information")
 
@@ -173,10 +174,10 @@ def term_counts_capped(spark, sf):
 
 @query("""SELECT d.doc_id, b.item_id, CAST(least(3, (len(d.text) - len(replace(d.text, b.text, ''))) / len(b.text)) AS INTEGER) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''""")
 def substring_hits(spark, sf):
-    docs = B.table(spark, sf, "documents").select("doc_id", "text")
-    items = B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t")).filter("t != ''")
-    hits = docs.join(items, F.contains(F.col("text"), F.col("t")))
-    return hits.select("doc_id", "item_id", T.substring_count(F.col("text"), F.col("t")).alias("n"))
+    docs = B.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("_text"))
+    items = B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("normalized")).filter("normalized != ''")
+    hits = E.substring_counts(docs, items.select("normalized").distinct()).join(items, "normalized")
+    return hits.select(F.col("path").alias("doc_id"), "item_id", "n")
 
 
 @query(f"{SIGNALS}, {B.FILES_SQL}, {IDENTITY} SELECT task_id, path, kind, family, signal, target, weight FROM ident")
