@@ -44,8 +44,12 @@ def _asked(turns: DataFrame) -> DataFrame:
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols_of(files(spark, sf_dir))
+
+
+def symbols_of(files: DataFrame) -> DataFrame:
     """(path, symbol_id, name, qualified_name, start_line, end_line): windows of 1, 3 and 10 lines, named by their first word."""
-    rows = files(spark, sf_dir).select("path", T.logical_lines(F.col("text")).alias("lines"))
+    rows = files.select("path", T.logical_lines(F.col("text")).alias("lines"))
     rows = rows.select("path", "lines", F.size("lines").alias("n"), F.explode(F.array(F.lit(1), F.lit(3), F.lit(10))).alias("w"))
     rows = rows.select("path", "lines", "n", "w", F.explode(F.sequence(F.lit(1), F.col("n"), F.col("w"))).alias("start_line"))
     name = F.regexp_extract(F.element_at("lines", F.col("start_line")), r"[\p{L}\p{N}_]+", 0)

@@ -513,6 +513,12 @@ def _candidates(spark, sf):
     return materialize(materialize(ranked).join(files.select("path", "category", "text"), "path"))
 
 
+def _ladder(candidates):
+    """The levels of candidates (task_id, path, text), whose files and symbols alone are cut into lines."""
+    files = materialize(candidates.select("path", "text").dropDuplicates(["path"]))
+    return ranges.ladder(candidates, files, materialize(B.symbols_of(files)))
+
+
 @query()
 def pack_whole_file(spark, sf):
     tokens = T.estimate_tokens(pack.render_item(F.col("path"), F.col("category"), F.lit("1-"), F.col("text")))
@@ -522,7 +528,7 @@ def pack_whole_file(spark, sf):
 @query()
 def pack_v1(spark, sf):
     c = _candidates(spark, sf).withColumn("role", pack.role_of(F.col("category"), F.lit("DIRECT")))
-    levels = ranges.ladder(c, B.files(spark, sf), B.symbols(spark, sf))
+    levels = _ladder(c)
     return pack.by_quota(c.select("task_id", "path", "rank", "role"), levels, 8000, 200)
 
 
@@ -530,8 +536,8 @@ def pack_v1(spark, sf):
 def pack_v2(spark, sf):
     c = _candidates(spark, sf)
     roles = F.when(F.col("category") == "test", F.array(F.lit("VALIDATION"))).when(F.col("category") == "source", F.array(F.lit("PRIMARY"))).otherwise(F.array(F.lit("SUPPORT")))
+    levels = _ladder(c)
     c = c.select("task_id", "path", "rank", roles.alias("roles"), F.col("category").alias("facet"), F.lit("VERIFIED_LEXICAL").alias("directness"), (F.col("category") == "source").alias("strong"))
-    levels = ranges.ladder(c, B.files(spark, sf), B.symbols(spark, sf))
     return pack.by_plan(c, levels, 8000, 200, facet="source")
 
 
@@ -590,7 +596,7 @@ def capsule_check(spark, sf):
     parts = materialize(scoring.contributions(direct))
     ranked = scoring.score(direct).join(B.files(spark, sf).select("path", "category"), "path")
     ranked = materialize(scoring.top(ranked, 64, F.desc("score"), P.category_priority(F.col("category")), F.col("path")))
-    levels = ranges.ladder(ranked, B.files(spark, sf), B.symbols(spark, sf))
+    levels = _ladder(ranked.join(B.files(spark, sf).select("path", "text"), "path"))
     roles = ranked.select("task_id", "path", "rank", pack.role_of(F.col("category"), F.lit("DIRECT")).alias("role"))
     chosen = pack.by_quota(roles, levels, 8000, 200).filter("level >= 0")
     parts = parts.join(ranked.select("task_id", "path"), ["task_id", "path"], "left_semi")
