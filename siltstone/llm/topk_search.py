@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
 FIRST_DEPTH = 32
 
 
@@ -80,6 +80,7 @@ class Lists:
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) over vectors (vec_id, embedding); is_query: a condition on vec_id."""
+    common.bound_batches(vectors.sparkSession)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     cut = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
     sound = vectors.filter("vec_id is not null and embedding is not null").filter(finite).select("vec_id", cut.alias("v"))

@@ -3,12 +3,12 @@
 A URL becomes a set of tokens: the labels of its host, the parts of its path without digits, and the
 names in its query string.  Spark's FP-growth mines frequent token sets from labelled URLs, with the label
 as one more item; sets that imply "block" with enough confidence and support become rules, and rules that
-contain another rule are pruned, as they can match nothing more.  An inverted index from each rule's
-rarest token to the rule is looked up per URL, so matching is a narrow step without a shuffle; the index
-holds MAX_RULES rules at most (the strongest), which bounds what every task gets.
+contain another rule are pruned, as they can match nothing more.  Rules match by an inverted index from each
+rule's rarest token: up to MAX_LITERAL rules go into the expression, so matching is a narrow step without a
+shuffle; more are joined with the tokens of the distinct token sets.  No rule is left out.
 
-In op9 the labels come from the stated rules: URLs that a rule decides are the labelled ones, and what was
-mined from them judges the URLs that no rule decides.
+In op9 the labels come from the stated rules, as no table labels URLs: URLs that a rule decides are the labelled
+ones, so what is mined mostly says what those rules say, for other hosts; it judges the URLs that no rule decides.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and no token; it matches no
 rule and is allowed; repeated rows are judged alike; of rules that fit, the longest wins (they can't tie);
@@ -28,7 +28,8 @@ from . import common
 #: (host, path, verdict), as the contract of op9 states them.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
-MAX_ANTECEDENT, MAX_RULES = 3, 2000
+#: Tokens of a rule, and rules that are looked up within an expression.
+MAX_ANTECEDENT, MAX_LITERAL = 3, 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,50 +59,60 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[list[str]]:
-    """Token sets that imply a block, from labelled (tokens, verdict); shortest and strongest first."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(rule): sorted token sets that imply a block, from labelled (tokens, verdict); none contains another."""
     label = F.concat(F.lit("="), "verdict")
     items = common.materialize(labelled.select(F.concat("tokens", F.array(label)).alias("items")))
-    if not items.head(1):
-        return []
+    if items.isEmpty():
+        return items.select(F.col("items").alias("rule")).limit(0)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     block = F.col("consequent")[0] == "=block"
     found = model.associationRules.filter(block & (F.size("antecedent") <= MAX_ANTECEDENT) & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    found = found.select(F.array_sort("antecedent").alias("a"), "confidence", "support")
-    rows = found.orderBy(F.size("a"), F.desc("confidence"), F.desc("support"), "a").limit(MAX_RULES).collect()
-    rules: list[list[str]] = []
-    for r in rows:
-        if not any(set(x) <= set(r["a"]) for x in rules):
-            rules.append(list(r["a"]))
-    return rules
-
-
-def matches(tokens: Column, rules: list[list[str]]) -> Column:
-    """Whether any rule's tokens are all there; rules are looked up by their rarest token (in the rules)."""
-    if not rules:
-        return F.lit(False)
-    often: dict[str, int] = {}
-    for r in rules:
-        for t in r:
-            often[t] = often.get(t, 0) + 1
-    index: dict[str, list[list[str]]] = {}
-    for r in rules:
-        index.setdefault(min(r, key=lambda t: (often[t], t)), []).append(r)
-    held = F.from_json(F.lit(json.dumps(index)), "map<string,array<array<string>>>")
-    candidates = F.flatten(F.transform(tokens, lambda t: F.coalesce(held[t], F.array().cast("array<array<string>>"))))
-    return F.exists(candidates, lambda r: F.size(F.array_except(r, tokens)) == 0)
+    found = common.materialize(found.select(F.array_sort("antecedent").alias("rule")).distinct())
+    # sub-sets of a rule: all but one token, and one alone (three tokens at most)
+    all_but_one = F.transform("rule", lambda _, i: F.filter("rule", lambda _, j: j != i))
+    fewer = F.concat(all_but_one, F.transform("rule", lambda x: F.array(x)))
+    wider = found.select("rule", F.explode(F.array_distinct(fewer)).alias("part")).filter(F.size("part").between(1, F.size("rule") - 1))
+    wider = wider.join(found.withColumnRenamed("rule", "part"), "part", "left_semi").select("rule").distinct()
+    return common.materialize(found.join(wider, "rule", "left_anti"))
+
+
+def _indexed(rules: DataFrame) -> DataFrame:
+    """(token, rule): each rule under its rarest token (in the rules), ties to the first."""
+    tokens = rules.select("rule", F.explode("rule").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.join(often, "token").groupBy("rule").agg(F.min(F.struct("n", "token")).alias("x")).select("x.token", "rule")
+
+
+def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (with a column tokens) with matched: whether all tokens of any rule (rule) are there."""
+    index, n = _indexed(rules), rules.count()
+    if not n:
+        return urls.withColumn("matched", F.lit(False))
+    within = lambda rule, tokens: F.size(F.array_except(rule, tokens)) == 0
+    if n <= MAX_LITERAL:
+        held: dict[str, list[list[str]]] = {}
+        for r in index.collect():
+            held.setdefault(r["token"], []).append(list(r["rule"]))
+        under = F.from_json(F.lit(json.dumps(held)), "map<string,array<array<string>>>")
+        found = F.flatten(F.transform("tokens", lambda t: F.coalesce(under[t], F.array().cast("array<array<string>>"))))
+        return urls.withColumn("matched", F.exists(found, lambda r: within(r, F.col("tokens"))))
+    sets = urls.select("tokens").distinct()
+    hits = sets.withColumn("token", F.explode("tokens")).join(index, "token").filter(within(F.col("rule"), F.col("tokens")))
+    hits = hits.select("tokens").distinct().withColumn("_hit", F.lit(True))
+    return urls.join(hits, "tokens", "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """urls (with a column url) with host, path, rule and verdict; labelled (url, verdict) is what to mine,
     by default the URLs that the stated rules decide."""
-    def decided(df: DataFrame) -> DataFrame:
-        return df.withColumn("host", host_of("url")).withColumn("path", path_of("url")).withColumn("_rule", stated_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens_of("url"))
-
-    seen = decided(urls)
-    known = seen.filter("_rule is not null").select("tokens", "_rule.verdict") if labelled is None else labelled.select(tokens_of("url").alias("tokens"), "verdict")
-    mined = F.when(matches(F.col("tokens"), mine(known)), "block").otherwise("allow")
-    return seen.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), mined)).drop("_rule", "tokens")
+    row = F.struct(*[c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]).alias("row")  # beside it no name can clash
+    seen = urls.select(row, host_of("url").alias("host"), path_of("url").alias("path"), tokens_of("url").alias("tokens"))
+    seen = seen.withColumn("stated", stated_rule(F.col("host"), F.col("path"), rules))
+    known = seen.filter("stated is not null").select("tokens", "stated.verdict") if labelled is None else labelled.select(tokens_of("url").alias("tokens"), "verdict")
+    seen = matched(seen, mine(known))
+    mined = F.when(F.col("matched"), "block").otherwise("allow")
+    return seen.select("row.*", "host", "path", F.col("stated.rule").alias("rule"), F.coalesce(F.col("stated.verdict"), mined).alias("verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

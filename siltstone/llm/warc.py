@@ -136,15 +136,25 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, payload, payload_bytes, sha1, refers_to); payload is null for a revisit."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("sha1"))
-    kept = rows.groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("keep"))
+    # a table of its own, so that Spark can split the rows of a payload that many pages share
+    kept = common.materialize(rows.groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("keep")))
     rows = rows.join(kept, ["sha1", "payload_bytes"])
     again = F.col("page_id").isNotNull() & (F.col("page_id") != F.col("keep")) & (F.col("payload_bytes") >= least)
     return rows.select("page_id", "url", F.when(~again, F.col("html").cast("binary")).alias("payload"), "payload_bytes", "sha1", F.when(again, F.col("keep")).alias("refers_to"))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as the URI that executors open: on the cluster's default file system if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", uri))
+
+
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write archives of pages (page_id, url, html) to a shared folder; returns (name, records) of each."""
     spark = pages.sparkSession
+    common.bound_batches(spark)
+    folder = qualified(spark, folder)
     sample = pages.filter(F.octet_length("html").between(1, SAMPLE_BYTES)).select("html").orderBy(F.xxhash64("html"), "html").limit(SAMPLES)
     dictionary = train([r["html"].encode() for r in sample.collect()])
     shared = spark.sparkContext.broadcast(dictionary)
@@ -205,8 +215,6 @@ def load(spark: SparkSession, folder: str, listed: DataFrame, keep_payload: bool
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{common.shared_dir(spark)}/warc/{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
     listed = write(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return load(spark, folder, listed, keep_payload=False).drop("url")
 

@@ -228,9 +228,12 @@ def test_url_rules(spark):
     assert got[5][1:] == ("", "", None, "allow") and got[6][1:] == ("", "", None, "allow")
     assert got[7][2:4] == ("", None) and got[8][3:] == ("www.example.com/en/", "allow")
     assert url_filter.judge(docs(spark, [], "page_id long, url string")).count() == 0
+    more = [(1, "http://a.example.com/en/" + "x" * 100_000, "clash"), (1, URLS[0], "clash"), (1, URLS[0], "clash"), (None, None, None)]
+    got = url_filter.judge(spark.createDataFrame(more, "page_id long, url string, verdict string").withColumn("tokens", F.lit("kept")).withColumn("stated", F.lit("kept"))).collect()
+    assert sorted(str((r["page_id"], r["rule"], r["verdict"], r["tokens"], r["stated"])) for r in got) == sorted(map(str, [(1, "example.com/en/", "block", "kept", "kept")] * 3 + [(None, None, "allow", "kept", "kept")]))
 
 
-def test_mined_rules_equal_counting(spark):
+def test_mined_rules_equal_counting(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(f"http://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['com', 'net'])}/{rng.choice(['en', 'fr', 'es'])}/{i}", str(rng.choice(["block", "allow"]))) for i in range(120)]
     rows = [(u, "block" if "/fr/" in u and ".net" in u else v) for u, v in rows]
@@ -248,5 +251,9 @@ def test_mined_rules_equal_counting(spark):
             blocked = held.count("block")
             if blocked >= least and blocked / len(held) >= 0.9 and not any(set(w) < set(c) for w in want):
                 want.add(c)
-    assert {tuple(r) for r in rules} == want and want
-    assert url_filter.mine(labelled.filter("false")) == []
+    assert {tuple(r["rule"]) for r in rules.collect()} == want and want
+    assert url_filter.mine(labelled.filter("false")).count() == 0
+    for bound in (0, 2000):  # within the expression, and by a join
+        monkeypatch.setattr(url_filter, "MAX_LITERAL", bound)
+        got = sorted((tuple(r["tokens"]), r["matched"]) for r in url_filter.matched(labelled, rules).collect())
+        assert got == sorted((tuple(sorted(s)), any(set(w) <= s for w in want)) for s, _ in sets)

@@ -45,6 +45,19 @@ def test_threshold_algorithm_stops_early():
     assert rows.tolist() == [17] and scores[0] == 3000 and depth < 5000
 
 
+def test_topk_over_many_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 16)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(12)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 6)]) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)]  # ties
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 5).collect()
+    cut = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
+    for q in [i for i in cut if i % 10 == 0]:
+        want = sorted((-int(cut[q] @ v), i) for i, v in cut.items() if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_targets_stop_at_twice_their_source():
     assert mixing.targets({"a": 10, "b": 100}, {"a": 5, "b": 2}, 165) == pytest.approx({"a": 20, "b": 145})
     assert mixing.targets({"a": 0, "b": 4}, {"a": 5, "b": 2}, 6) == pytest.approx({"a": 0, "b": 6})
