@@ -35,6 +35,8 @@ SEED = ""
 DIGITS = 3
 #: Rows that one task writes out of equal rows.
 CHUNK_ROWS = 1 << 20
+#: Patterns up to which tables of a row per pattern are broadcast; beyond, they are joined by shuffles.
+MAX_BROADCAST = 100_000
 _RANK = ["h", "doc_id", "size"]
 
 
@@ -133,6 +135,8 @@ def _deal(groups: DataFrame, room: DataFrame) -> DataFrame:
 def select(sized: DataFrame, want: DataFrame, most: int = MOST) -> DataFrame:
     """(pattern, doc_id, size, taken) of sized (pattern, doc_id, h, size), a row per row: the words of each document that
     bring each pattern to its words of want (pattern, words, size)."""
+    few = want.count() <= MAX_BROADCAST
+    per = lambda table: F.broadcast(table) if few else table
     base = F.when(F.col("size") > 0, F.least(F.lit(most), F.floor(F.col("words") / F.col("size")))).otherwise(0).cast("int")
     want = want.withColumn("base", base)
     room = common.materialize(want.select("pattern", F.when(F.col("base") < most, F.col("words") - F.col("base") * F.col("size")).otherwise(0.0).alias("room")))
@@ -143,7 +147,7 @@ def select(sized: DataFrame, want: DataFrame, most: int = MOST) -> DataFrame:
         spent = dealt.groupBy("pattern").agg(F.sum(F.col("size") * F.col("k")).alias("spent"))
         room = common.materialize(room.join(spent, "pattern", "left").select("pattern", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("room")))
         fits = (F.col("k") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("room"))
-        dealt = dealt.join(room, "pattern")
+        dealt = dealt.join(per(room), "pattern")
         settled.append(dealt.filter(~fits).drop("bucket", "room"))
         rest = dealt.filter(fits).drop("k", "room")
         if rest.isEmpty():
@@ -151,13 +155,13 @@ def select(sized: DataFrame, want: DataFrame, most: int = MOST) -> DataFrame:
     chosen = settled[0]
     for more in settled[1:]:
         chosen = chosen.unionByName(more)
-    chosen = common.materialize(chosen.join(room.withColumnRenamed("room", "gap"), "pattern").join(want.select("pattern", "base"), "pattern"))
+    chosen = common.materialize(chosen.join(per(room.withColumnRenamed("room", "gap").join(want.select("pattern", "base"), "pattern")), "pattern"))
     # the one document that best fills the gap, if it brings the pattern closer
     off = F.abs(F.col("gap") - F.col("size"))
     best = F.min(F.when((F.col("k") < F.col("n")) & (off < F.col("gap")), F.struct(off.alias("off"), *_RANK)))
     filler = chosen.groupBy("pattern").agg(best.alias("f")).filter("f is not null").select("pattern", *[F.col(f"f.{c}").alias(f"f_{c}") for c in _RANK])
     same = F.col("h").eqNullSafe(F.col("f_h")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("size") == F.col("f_size"))
-    chosen = chosen.join(filler, "pattern", "left").withColumn("k", F.col("k") + F.when(F.coalesce(same, F.lit(False)), 1).otherwise(0))
+    chosen = chosen.join(per(filler), "pattern", "left").withColumn("k", F.col("k") + F.when(F.coalesce(same, F.lit(False)), 1).otherwise(0))
     # equal rows can't be told apart in the result, so they are written out by number
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_ROWS)))
     few = chosen.filter(F.col("n") <= CHUNK_ROWS).withColumn("from", F.lit(0).cast("long"))
@@ -190,6 +194,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: i
         facts.append((json.dumps(p, ensure_ascii=False, separators=(",", ":")), words, n, [(s, sizes[s], round(target[s], 6), flows[p][s] / words if words else 0.0) for s in p]))
     facts = spark.createDataFrame(facts, "pattern string, words double, size long, sources array<struct<source:string,source_size:long,target:double,share:double>>")
     chosen = select(sized, facts.select("pattern", "words", "size"), most)
+    facts = F.broadcast(facts) if len(patterns) <= MAX_BROADCAST else facts
     return chosen.join(facts.select("pattern", "sources"), "pattern").select("doc_id", "size", "sources", "taken")
 
 

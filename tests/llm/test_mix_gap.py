@@ -58,6 +58,13 @@ def test_repeated_rows_are_taken_one_by_one(spark, monkeypatch):
         assert abs(extra - 0.5 * total) < 8
 
 
+def test_patterns_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 4}") for i in range(80)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, mixing.mix_sources(df).collect())) == want
+
+
 def test_overlapping_sources_share_by_flow(spark):
     rows = [(i, "w " * 10, ["a"] if i % 3 == 0 else ["b", "a", "b"] if i % 3 == 1 else []) for i in range(90)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), weights=(1, 4, 1), total=0.5).collect()
