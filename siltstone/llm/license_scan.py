@@ -245,7 +245,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """(doc_id, licence, families, paragraphs, chance), a row per row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     named = docs.select("doc_id", *common.row_id("doc_id", "text"), "text")
-    found = (scanner or fit(docs)).classify(paragraphs_of(named, "id", "mark").distinct())
+    found = (scanner or fit(docs)).classify(paragraphs_of(named, "id", "mark"))
     best = F.min(F.struct((~F.col("confirmed")).alias("open"), (-F.col("chance")).alias("least"), "family"))
     found = found.groupBy("id", "mark", "number").agg(best.alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"))
     families = F.when(F.col("best.open"), F.array("best.family")).otherwise(F.col("families"))
