@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Names and extensions that decide a file's class.
 IGNORED = [".git", ".next", ".venv", "__pycache__", "build", "coverage", "dist", "node_modules", "target", "vendor", "venv"]
-BINARY = (
-    "7z a avi bin bmp class dll dmg doc docx eot exe gif gz ico jar jpeg jpg mov mp3 mp4 o otf pdf png pyc so tar tiff ttf wasm webm webp woff woff2 xls xlsx xz zip"
-).split()
+BINARY = [
+    "7z", "a", "avi", "bin", "bmp", "class", "dll", "dmg", "doc", "docx", "eot", "exe", "gif", "gz", "ico", "jar", "jpeg", "jpg", "mov", "mp3", "mp4", "o", "otf", "pdf",
+    "png", "pyc", "so", "tar", "tiff", "ttf", "wasm", "webm", "webp", "woff", "woff2", "xls", "xlsx", "xz", "zip",
+]
+SENSITIVE = r"^\.env(\..*)?$|^id_rsa$|^credentials|^secrets|\.(pem|key)$"
 LANGUAGES = {
     "c": "C", "cc": "C++", "cpp": "C++", "cs": "C#", "css": "CSS", "go": "Go", "h": "C", "hpp": "C++", "html": "HTML", "java": "Java",
     "js": "JavaScript", "jsx": "JavaScript", "json": "JSON", "kt": "Kotlin", "md": "Markdown", "mdx": "Markdown", "mjs": "JavaScript",
@@ -41,7 +43,7 @@ def is_ignored(path: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    return F.exists(segments(path), lambda s: s.rlike(r"^\.env(\..*)?$|^id_rsa$|^credentials|^secrets|\.(pem|key)$"))
+    return F.exists(segments(path), lambda s: s.rlike(SENSITIVE))
 
 
 def is_binary_path(path: Column) -> Column:

@@ -100,19 +100,27 @@ def unique_names(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path")).filter("n = 1").select("name", "path")
 
 
+# What documents refer to files by, and names of documents that name no module.
+PATH_REFERENCE = r"(?:^|[\s`'\"(])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)(?=$|[\s`'\"),:\]])"
+CODE_SPAN = "`([^`\\r\\n]{1,160})`"
+CODE_WORD = r"\b[A-Z][A-Za-z0-9_$]{3,}(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*\b"
+NO_MODULES = ["adr", "agents", "architecture", "changelog", "contributing", "design", "docs", "license", "readme"]
+
+
 def link_documents(docs: DataFrame, files: DataFrame, symbols: DataFrame, references: int = 500, modules: int = 20) -> DataFrame:
     """Edges from documents (path, text) to files that they name by path, by code span or identifier, or by module."""
-    pattern = r"(?:^|[\s`'\"(])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)(?=$|[\s`'\"),:\]])"
-    named = docs.select(F.col("path").alias("source_path"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("at", "target_path")).filter(F.col("at") < references)
+    named = docs.select(F.col("path").alias("source_path"), F.posexplode(F.regexp_extract_all("text", F.lit(PATH_REFERENCE), 1)).alias("at", "target_path")).filter(F.col("at") < references)
     sources = files.filter("category = 'source'")
     by_path = named.join(files.select(F.col("path").alias("target_path")), "target_path", "left_semi").select("source_path", "target_path", F.lit(1.0).alias("confidence"), F.lit("structural").alias("derivation"))
-    unique = unique_names(symbols)
-    spans = docs.select(F.col("path").alias("source_path"), F.explode(F.regexp_extract_all("text", F.lit("`([^`\\r\\n]{1,160})`"), 1)).alias("name")).withColumn("confidence", F.lit(0.9))
-    words = docs.select(F.col("path").alias("source_path"), F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z0-9_$]{3,}(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*\b"), 0)).alias("name")).withColumn("confidence", F.lit(0.82))
+    names = symbols.select("name", "path")
+    if "qualified_name" in symbols.columns:
+        names = names.unionByName(symbols.select(F.col("qualified_name").alias("name"), "path"))
+    unique = unique_names(names)
+    spans = docs.select(F.col("path").alias("source_path"), F.explode(F.regexp_extract_all("text", F.lit(CODE_SPAN), 1)).alias("name")).withColumn("confidence", F.lit(0.9))
+    words = docs.select(F.col("path").alias("source_path"), F.explode(F.regexp_extract_all("text", F.lit(CODE_WORD), 0)).alias("name")).withColumn("confidence", F.lit(0.82))
     by_name = spans.unionByName(words).distinct().join(unique, "name").select("source_path", F.col("path").alias("target_path"), "confidence", F.lit("heuristic").alias("derivation"))
-    stop = ["adr", "agents", "architecture", "changelog", "contributing", "design", "docs", "license", "readme"]
     base = F.regexp_replace(P.name_of(F.col("path")), r"(?<=.)\.[^.]*$", "")
-    tokens = docs.select(F.col("path").alias("source_path"), F.explode(F.array_distinct(F.split(base, "[^a-z0-9]+"))).alias("token")).filter((F.length("token") >= 4) & ~F.col("token").isin(stop))
+    tokens = docs.select(F.col("path").alias("source_path"), F.explode(F.array_distinct(F.split(base, "[^a-z0-9]+"))).alias("token")).filter((F.length("token") >= 4) & ~F.col("token").isin(NO_MODULES))
     parts = sources.select(F.col("path").alias("target_path"), F.explode(F.array_distinct(F.split(F.lower("path"), r"[/.\\_-]+"))).alias("token"))
     few = parts.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") <= modules).select("token")
     hits = tokens.join(few, "token").join(parts, "token")
@@ -123,11 +131,13 @@ def link_documents(docs: DataFrame, files: DataFrame, symbols: DataFrame, refere
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge per (kind, source_path, target_path): the highest confidence, structural if any is; with its id."""
-    merged = edges.groupBy("kind", "source_path", "target_path").agg(F.max("confidence").alias("confidence"), F.bool_or(F.col("derivation") == "structural").alias("s"))
+    """One edge per (kind, source_path, target_path): the highest confidence, structural if any is, the sorted union of
+    what the edges (with a column evidence, a list of strings) rest on; with its id."""
+    rests = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence")] if "evidence" in edges.columns else []
+    merged = edges.groupBy("kind", "source_path", "target_path").agg(F.max("confidence").alias("confidence"), F.bool_or(F.col("derivation") == "structural").alias("s"), *rests)
     end = lambda c: F.concat(F.lit("file:"), F.col(c))
     edge_id = T.hashed_id("edge", 24, F.col("kind"), end("source_path"), end("target_path"))
-    return merged.select(edge_id.alias("edge_id"), "kind", "source_path", "target_path", "confidence", F.when(F.col("s"), "structural").otherwise("heuristic").alias("derivation"))
+    return merged.select(edge_id.alias("edge_id"), "kind", "source_path", "target_path", "confidence", F.when(F.col("s"), "structural").otherwise("heuristic").alias("derivation"), *(["evidence"] if rests else []))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

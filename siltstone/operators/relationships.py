@@ -32,7 +32,12 @@ def _unique(symbols: DataFrame, *keys: str) -> DataFrame:
 
 def with_ids(relations: DataFrame) -> DataFrame:
     ids = T.hashed_id("relation", 24, *[F.col(c) for c in ("type", "source_path", "source_symbol", "target_path", "target_symbol", "classification")])
-    return relations.select(ids.alias("relation_id"), "type", "source_path", "source_symbol", "target_path", "target_symbol", "confidence", "classification").dropDuplicates(["relation_id"])
+    columns = ["type", "source_path", "source_symbol", "target_path", "target_symbol", "classification"]
+    place = ["line"] if "line" in relations.columns else []
+    kept = relations.withColumn("relation_id", ids).groupBy("relation_id", *columns)
+    # of equal relations the earliest place stays, without places the surest
+    least = F.min(F.struct(*place, F.array_position(F.array(*[F.lit(x) for x in CONFIDENCE]), F.col("confidence")).alias("_sure"), "confidence")).alias("x")
+    return kept.agg(least).select("relation_id", *columns[:-1], "x.confidence", "classification", *[f"x.{c}" for c in place])
 
 
 def calls(call: DataFrame, symbols: DataFrame, bindings: DataFrame, files: DataFrame) -> DataFrame:

@@ -18,7 +18,13 @@ WEIGHTS = {
 FAMILY_CAPS = {"IDENTITY": 150, "LEXICAL": 120, "STRUCTURAL": 65, "GIT": 5}
 LEXICAL_SIGNAL_CAP = 50
 OWNERSHIP = 44
-PER_SIGNAL, MAX_DIRECT, PRIMARY, FINAL = 32, 64, 200, 256
+PER_SIGNAL, MAX_DIRECT, PER_SYMBOL, PRIMARY, FINAL = 32, 64, 16, 200, 256
+LEXICAL_FILES = 120
+WEIGHTS_2 = {
+    "EXACT_QUALIFIED_SYMBOL": 180, "EXACT_PATH": 175, "EXACT_SYMBOL": 150, "EXACT_BASENAME": 135, "AMBIGUOUS_SYMBOL": 30, "SYMBOL_COMPONENT": 32,
+    "IMPORT_MODULE": 28, "PATH_COMPONENT": 24, "TECHNICAL_LEXICAL": 82, "GENERAL_LEXICAL": 30, "GIT_DIRTY": 1, "GIT_RECENCY": 2,
+}
+REPEATED_2 = (0.16, 0.08)
 FAMILY_CAPS_2 = {"IDENTITY": 190, "LEXICAL": 120, "SYMBOL": 64, "STRUCTURAL": 55, "RELATIONSHIP": 18, "GIT": 3}
 SIGNAL_CAP_2, SIGNAL_BONUS, MAX_SIGNAL_BONUS, FAMILY_BONUS, MAX_FAMILY_BONUS = 92, 4, 20, 8, 24
 

@@ -260,14 +260,20 @@ def fuse_v2(spark, sf):
     return scoring.top(scored, scoring.FINAL, *order).select("task_id", "rank", "path", "score", "tier", "signals", "families")
 
 
-def _second(spark, sf):
-    """Direct evidence for the second scorer: names, symbols, imports, verified words and the symbols that own them."""
+def _second(spark, sf, ambiguity: bool = True, ownership: bool = True):
+    """Direct evidence for the second scorer: names, symbols, imports, verified words and the symbols that own them.
+
+    ambiguity and ownership may be left out, as the ablations do; a candidate keeps 64 rows, by weight."""
     asked, files = materialize(S.signals(B.tasks(spark, sf))), materialize(_eligible(spark, sf))
     symbols = materialize(_of(B.symbols(spark, sf), files))
-    named = E.identity(asked, files, symbols, _imports_of(files)).withColumn("symbol", F.lit(None).cast("string"))
-    rows = named.unionByName(E.verified(asked, files, symbols))
+    names = files.select("path", F.explode(T.split_identifier(F.col("path"))).alias("key")).unionByName(symbols.select("path", T.normalize_term(F.col("name")).alias("key")))
+    asked = materialize(E.ambiguity(asked, names)) if ambiguity else asked.withColumn("ambiguity_factor", F.lit(1.0))
+    rows = E.identity_2(asked, files, symbols, _imports_of(files)).unionByName(E.verified(asked, files, symbols))
+    if not ownership:
+        rows = rows.filter("kind != 'LEXICAL_SYMBOL_OWNERSHIP'")
     rows = rows.groupBy("task_id", "path", "kind", "family", "signal", "target", "distance", "source", "symbol").agg(F.max("weight").alias("weight"))
-    return materialize(rows).withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("signal"), F.col("target")))
+    rows = rows.withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("signal"), F.col("target"))).withColumn("source_kind", F.lit("DIRECT"))
+    return materialize(scoring.bounded(rows, {"DIRECT": scoring.MAX_DIRECT}, scoring.MAX_DIRECT).drop("source_kind"))
 
 
 def _of(symbols, files):

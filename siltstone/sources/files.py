@@ -23,6 +23,9 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_entries
     rows = rows.filter(~P.is_ignored(F.col("path")) & ~P.is_sensitive(F.col("path")))
     if rows.select("path").count() > max_entries:
         raise ScanLimit(f"more than {max_entries} files")
+    # the contents of larger files are not read: the reader skips them by their length
+    small, large = rows.filter(F.col("length") <= max_bytes), rows.filter(F.col("length") > max_bytes)
+    rows = small.unionByName(large.withColumn("content", F.lit(None).cast("binary")))
     status = P.content_status(F.col("path"), F.col("length"), F.col("content"), max_bytes)
     rows = rows.withColumn("status", status)
     text = F.when(F.col("status") == "text", F.decode("content", "UTF-8"))

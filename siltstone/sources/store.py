@@ -7,9 +7,14 @@ file system, so the store can live wherever Spark can write.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A lock that old is a dead writer's.
+LOCK_SECONDS = 24 * 3600
+
 
 class Busy(RuntimeError):
     """Another writer holds the store."""
@@ -49,22 +54,37 @@ class Store:
         """Write tables as a new generation, validate it (a function of a reader, giving complaints) and make it active."""
         lock = self._path(f"{self.root}/_lock")
         if not self._fs.createNewFile(lock):
-            raise Busy(self.root)
+            age = self._now() - self._fs.getFileStatus(lock).getModificationTime() / 1000
+            if age < LOCK_SECONDS or not self._fs.delete(lock, False) or not self._fs.createNewFile(lock):
+                raise Busy(self.root)
+        g = max([0, *self.generations()]) + 1
+        folder, done = self._path(f"{self.root}/gen={g}"), False
         try:
-            g = max([0, *self.generations()]) + 1
             for name, df in tables.items():
                 df.write.mode("errorifexists").parquet(f"{self.root}/gen={g}/{name}")
             complaints = list(validate(lambda t: self.read(t, g))) if validate else []
             if complaints:
-                self._fs.delete(self._path(f"{self.root}/gen={g}"), True)
                 raise Invalid("; ".join(complaints))
             draft = self._path(f"{self.root}/_draft-{g}")
             self._fs.createNewFile(draft)
-            self._fs.rename(draft, self._path(f"{self.root}/_active-{g}"))
+            if not self._fs.rename(draft, self._path(f"{self.root}/_active-{g}")):
+                raise OSError(f"the pointer to generation {g} could not be put in place")
+            done = True
             return g
         finally:
+            if not done:  # nothing points to it
+                self._fs.delete(folder, True)
             self._fs.delete(lock, False)
 
+    def _now(self) -> float:
+        """The file system's own clock, in seconds: that of a file made now."""
+        probe = self._path(f"{self.root}/_clock-{uuid.uuid4().hex}")
+        self._fs.createNewFile(probe)
+        try:
+            return self._fs.getFileStatus(probe).getModificationTime() / 1000
+        finally:
+            self._fs.delete(probe, False)
+
     def clean_up(self, keep: int = 2) -> list[int]:
         """Delete all but the newest published generations."""
         done = [g for g in self.generations() if self._exists(f"_active-{g}")]

@@ -1,5 +1,6 @@
 """Operators on small relations with known answers."""
 
+import os
 import random
 
 import pytest
@@ -199,7 +200,32 @@ def test_store(spark, tmp_path):
         s.publish({"files": files})
     (tmp_path / "store" / "_lock").unlink()
     s.publish({"files": files})
-    assert s.clean_up() == [1] and s.generations()[-2:] == [2, 3] or s.active() == 3
+    assert s.generations() == [1, 2, 3] and s.clean_up() == [1]
+    assert s.generations() == [2, 3] and s.active() == 3
+    (tmp_path / "store" / "_lock").touch()
+    os.utime(tmp_path / "store" / "_lock", (1, 1))  # a dead writer's lock
+    assert s.publish({"files": files}) == 4 and not (tmp_path / "store" / "_lock").exists()
+
+
+def test_store_leaves_nothing_of_a_failed_write(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    files = spark.createDataFrame([("a", "h1")], "path string, hash string")
+    with pytest.raises(Exception):
+        s.publish({"files": files, "broken": files.selectExpr("raise_error('no') as x")})
+    assert s.generations() == [] and s.publish({"files": files}) == 1
+
+
+def test_sound_generation(spark):
+    """Each check finds what breaks it, and nothing in a sound generation."""
+    files = spark.createDataFrame([("a",), ("b",)], "path string")
+    symbols = spark.createDataFrame([("a", "s1"), ("x", "s2")], "path string, symbol_id string")
+    imports = spark.createDataFrame([("a", 0), ("b", 0), ("y", 1)], "path string, ordinal int")
+    resolved = spark.createDataFrame([("a", 0), ("y", 1)], "path string, ordinal int")
+    edges = spark.createDataFrame([("K", "a", "b", 1.0), ("K", "a", "b", 0.5), ("K", "x", "b", 0.5), ("K", "a", "z", 1.5)], "kind string, source_path string, target_path string, confidence double")
+    found = {r["check"]: r["violations"] for r in store.violations(files, symbols, imports, resolved, edges).collect()}
+    assert found == dict.fromkeys(["symbol_without_file", "import_without_file", "import_not_resolved", "edge_without_source", "edge_without_target", "confidence_out_of_range", "duplicate_edge"], 1)
+    sound = store.violations(files, symbols.filter("path = 'a'"), imports.filter("path = 'a'"), resolved, edges.limit(1))
+    assert not any(r["violations"] for r in sound.collect())
 
 
 def test_scan(spark, tmp_path):
