@@ -130,6 +130,18 @@ def task_actions(spark, sf):
     return B.table(spark, sf, "benchmark").select("item_id", review.action_of(F.col("text")).alias("action"))
 
 
+_HELD = lambda p: f"regexp_matches(text, '(?i){p}')"
+_CONCEPTS = ", ".join(f"CASE WHEN {_HELD(p)} THEN '{c}' END" for c, p in review.CONCEPTS)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, list_filter([{_CONCEPTS}], lambda x: x IS NOT NULL) AS c FROM conversations)
+SELECT conv_id, turn, array_to_string(c, ',') AS concepts, array_to_string(list_filter([CASE WHEN list_has_any(c, ['CONCURRENCY', 'TRANSACTION_OR_LOCK']) THEN 'CONCURRENCY' END, CASE WHEN list_contains(c, 'STALE_SOURCE') THEN 'STALE_SOURCE' END,
+  CASE WHEN list_contains(c, 'CONFIGURATION') THEN 'CONFIGURATION_VALIDATION' END, CASE WHEN list_contains(c, 'API_BOUNDARY') THEN 'PUBLIC_CONTRACT' END], lambda x: x IS NOT NULL), ',') AS risks FROM t""")
+def task_concepts(spark, sf):
+    c = B.table(spark, sf, "conversations").select("conv_id", "turn", review.concepts_of(F.col("text")).alias("c"))
+    return c.select("conv_id", "turn", F.array_join("c", ",").alias("concepts"), F.array_join(review.risks_of(F.col("c")), ",").alias("risks"))
+
+
 # ---- evidence ----
 
 COUNTS = f"""words AS (SELECT path, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_$@.-]+')) AS token FROM files),
