@@ -6,6 +6,7 @@ memory does not depend on the batch; one text is never cut.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir
 
-__all__ = ["CHUNK_BYTES", "WORD", "bound_batches", "grams", "held_out", "materialize", "mix", "row_id", "shared_dir", "table", "text_slices", "words"]
+__all__ = ["CHUNK_BYTES", "WORD", "bound_batches", "grams", "held_out", "SPACE", "materialize", "mix", "pieces", "row_id", "shared_dir", "table", "text_slices", "words"]
 
 #: Bytes of text that the kernels take at once (one text at least).
 CHUNK_BYTES = 1 << 19
@@ -50,6 +51,21 @@ def row_id(doc_id: str, text: str) -> list[Column]:
     return [own.alias("id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("mark")]
 
 
+#: What parts words, in bytes.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data, apart: re.Pattern, size: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """The bytes of one text in pieces of about `size`, cut only at bytes that match `apart`."""
+    at, n = 0, len(data)
+    view = memoryview(data)
+    while at < n:
+        found = apart.search(view, min(n, at + size))
+        to = found.end() if found else n
+        yield view[at:to].tobytes()
+        at = to
+
+
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past row, bytes, offsets into the bytes), of about CHUNK_BYTES each; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
