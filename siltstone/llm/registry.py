@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, mixing, near_dedup, quality, simhash, substring_dedup, topk_search, url_filter, warc
+from . import decontamination, hard_negatives, language_id, license_scan, mixing, near_dedup, quality, simhash, substring_dedup, topk_search, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_simhash": simhash.op11_simhash,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": topk_search.ORACLE_SQL,
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
