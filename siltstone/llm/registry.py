@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hard_negatives, language_id, license_scan, mixing, near_dedup, quality, simhash, substring_dedup, topk_search, url_filter, warc
+from . import decontamination, hard_negatives, language_id, lexical_search, license_scan, mixing, near_dedup, quality, simhash, substring_dedup, topk_search, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_simhash": simhash.op11_simhash,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": topk_search.ORACLE_SQL,
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": url_filter.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
     "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
