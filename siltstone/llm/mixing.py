@@ -19,7 +19,6 @@ text's hash; an empty table gives an empty result; other columns are kept out.
 from __future__ import annotations
 
 import heapq
-import json
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,7 +46,7 @@ def targets(sizes: dict, weights: dict, total: float, most: float = MOST) -> dic
     while open_:
         weight = sum(weights[s] for s in open_)
         share = {s: left * weights[s] / weight for s in open_}
-        full = [s for s in open_ if share[s] > most * sizes[s]]
+        full = {s: None for s in open_ if share[s] > most * sizes[s]}
         if not full:
             out |= share
             break
@@ -180,7 +179,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: i
     named = F.when(F.size("sources") > 0, F.array_sort(F.array_distinct("sources"))).otherwise(F.array(F.lit(None).cast("string")))
     h = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))))
     sized = common.materialize(docs.select("doc_id", F.to_json(named).alias("pattern"), size.alias("size"), h.alias("h")))
-    patterns = {tuple(json.loads(r["pattern"])): r["size"] for r in sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
+    grouped = sized.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("names", F.from_json("pattern", "array<string>")).collect()
+    key = {tuple(r["names"]): r["pattern"] for r in grouped}  # as Spark writes it: nothing else is joined with it
+    patterns = {tuple(r["names"]): r["size"] for r in grouped}
     sizes: Counter = Counter()
     for p, n in patterns.items():
         sizes.update(dict.fromkeys(p, n))
@@ -191,7 +192,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: i
     facts = []
     for p, n in patterns.items():
         words = sum(flows[p].values())
-        facts.append((json.dumps(p, ensure_ascii=False, separators=(",", ":")), words, n, [(s, sizes[s], round(target[s], 6), flows[p][s] / words if words else 0.0) for s in p]))
+        facts.append((key[p], words, n, [(s, sizes[s], round(target[s], 6), flows[p][s] / words if words else 0.0) for s in p]))
     facts = spark.createDataFrame(facts, "pattern string, words double, size long, sources array<struct<source:string,source_size:long,target:double,share:double>>")
     chosen = select(sized, facts.select("pattern", "words", "size"), most)
     facts = F.broadcast(facts) if len(patterns) <= MAX_BROADCAST else facts
