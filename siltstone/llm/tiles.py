@@ -78,14 +78,14 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of whole numbers, held to the range of 64-bit integers."""
     width = min(a.shape[1], b.shape[1])
     a, b = a[:, :width], b[:, :width]
-    longest = [max(1.0, np.abs(x).max(initial=0.0)) for x in (a, b)]
+    longest = [max(1.0, float(np.abs(x).max(initial=0.0))) for x in (a, b)]
     if longest[0] * longest[1] * max(width, 1) < 2.0**53:
         return (a @ b.T).astype(np.int64)
     out = np.zeros((len(a), len(b)), np.int64)
-    safe = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1) < 2.0**52  # no partial sum can exceed 2^53
     with np.errstate(over="ignore", invalid="ignore"):
+        safe = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1) < 2.0**52  # no partial sum can exceed 2^53
         out[safe] = np.where(safe, a @ b.T, 0)[safe].astype(np.int64)
     for i, j in zip(*np.nonzero(~safe), strict=True):
         total = int(sum(_WHOLE(a[i]) * _WHOLE(b[j])))
-        out[i, j] = max(-(2**63), min(2**63 - 1, total))
+        out[i, j] = max(1 - 2**63, min(2**63 - 1, total))  # so that it can be negated
     return out

@@ -5,40 +5,29 @@ keeps one list per dimension, sorted by value.  A query walks all its lists at o
 suits its sign, scores in full whatever appears for the first time, and stops as soon as no unseen vector
 can reach the k-th best score: the bound is the inner product with the values last read.  Ties can still
 win by their id, so it stops only when the bound is strictly below.  The shards' best are merged by a
-ranking window.  Queries meet shards in blocks: both are dealt to (shard, block) groups of bounded size.
+ranking window.  A shard is sorted once, and all queries are streamed past it.
 
-Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows
-with a null id; a missing component counts as 0, so an empty vector scores 0 with everything; a query's
+Defined cases: vectors that are null or hold a null or non-finite component (also after scaling) take no
+part, nor do rows with a null id; a missing component counts as 0, so an empty vector scores 0 with everything; a query's
 own rows (all with its id) are no candidates; a query row repeated with the same vector is answered once;
 fewer than k candidates give fewer rows; ties go to the smaller id, then repeated rows take a rank each;
-an empty table gives an empty result; other columns are ignored.  Scores are exact below 2^53.
+an empty table gives an empty result; other columns are ignored.  Scores are exact; those beyond 64 bits
+count as the end of that range.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tiles
 
-SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
+SHARD_ROWS = 8192
 FIRST_DEPTH = 32
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = column.combine_chunks()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    values = lists.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(lists), width))
-    row = np.repeat(np.arange(len(lists)), sizes)
-    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
-    return out
-
-
 class Lists:
     """The sorted lists of one shard."""
 
@@ -53,7 +42,7 @@ class Lists:
         seen = self.ids == own
         dims = np.flatnonzero(query)
         down = query[dims] > 0
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, to = 0, min(m, FIRST_DEPTH)
         while at < m:
             place = np.arange(at, to)[:, None] if len(dims) else None
@@ -65,13 +54,15 @@ class Lists:
             fresh = np.flatnonzero(fresh & ~seen)
             seen[fresh] = True
             rows = np.concatenate([rows, fresh])
-            scores = np.concatenate([scores, self.vectors[fresh] @ query])
+            scores = np.concatenate([scores, tiles.inner(self.vectors[fresh], query[None, :])[:, 0]])
             if len(rows) > k:
                 best = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
             if len(dims) and len(rows) == k:
-                last = self.values[np.where(down, m - to, to - 1), dims]
-                if scores.min() > last @ query[dims]:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    last = self.values[np.where(down, m - to, to - 1), dims] * query[dims]
+                    bound = last.sum() + 1e-12 * np.abs(last).sum()  # sums of large values are rounded
+                if scores.min() > bound:
                     break
             at, to = to, min(m, 2 * to)
         best = np.lexsort((self.ids[rows], -scores))[:k]
@@ -80,31 +71,29 @@ class Lists:
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) over vectors (vec_id, embedding); is_query: a condition on vec_id."""
-    common.bound_batches(vectors.sparkSession)
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    cut = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
-    sound = vectors.filter("vec_id is not null and embedding is not null").filter(finite).select("vec_id", cut.alias("v"))
+    sound = vectors.filter("vec_id is not null").select("vec_id", tiles.scaled("embedding").alias("v")).filter("v is not null")
     queries = sound.filter(is_query).dropDuplicates(["vec_id", "v"])
-    n, asked = sound.count(), queries.count()
-    shards, blocks = math.ceil(n / SHARD_ROWS) or 1, math.ceil(asked / BLOCK_QUERIES) or 1
-    left = sound.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    shards = -(-sound.count() // SHARD_ROWS)
+    # equal rows are dealt out too, by their place
+    place = F.monotonically_increasing_id()
+    held = sound.withColumn("shard", F.pmod(F.xxhash64("vec_id", place), F.lit(max(1, shards))).cast("int"))
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
-    def search(candidates: pa.Table, asked: pa.Table) -> pa.Table:
+    def build(rows: pa.Table) -> Lists:
+        return Lists(rows.column("vec_id").to_numpy(), tiles.matrix(rows.column("v")))
+
+    def search(lists: Lists, asked: pa.Table) -> pa.Table:
         found = ([], [], [])
-        if candidates.num_rows and asked.num_rows:
-            width = max(max(t.column("v").combine_chunks().value_lengths().to_pylist()) for t in (candidates, asked))
-            lists = Lists(candidates.column("vec_id").to_numpy(), _matrix(candidates.column("v"), width))
-            for own, query in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("v"), width), strict=True):
-                rows, scores, _ = lists.search(own, query, k)
-                found[0].extend([own] * len(rows))
-                found[1].extend(lists.ids[rows].tolist())
-                found[2].extend(scores.astype(np.int64).tolist())
-        id_type = candidates.schema.field("vec_id").type
+        width = lists.vectors.shape[1]
+        for own, query in zip(asked.column("vec_id").to_pylist(), tiles.matrix(asked.column("v"), width)[:, :width], strict=True):
+            rows, scores, _ = lists.search(own, query, k)
+            found[0].extend([own] * len(rows))
+            found[1].extend(lists.ids[rows].tolist())
+            found[2].extend(scores.tolist())
+        id_type = asked.schema.field("vec_id").type
         return pa.table({"query_id": pa.array(found[0], id_type), "vec_id": pa.array(found[1], id_type), "score": pa.array(found[2], pa.int64())})
 
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score long")
+    best = tiles.answer(held, tiles.to_all(queries, shards), build, search, f"query_id {kind}, vec_id {kind}, score long")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

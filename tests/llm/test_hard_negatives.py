@@ -10,7 +10,7 @@ from siltstone.llm import hard_negatives, tiles
 
 
 def plain(rows, every):
-    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    clamp = lambda s: max(1 - 2**63, min(2**63 - 1, s))
     sound = []
     for i, v, label in rows:
         if i is None or label is None or v is None or any(x is None or not math.isfinite(256.0 * x) for x in v):

@@ -47,7 +47,6 @@ def test_threshold_algorithm_stops_early():
 
 def test_topk_over_many_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", 16)
-    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 4)
     rng = np.random.default_rng(12)
     rows = [(int(i), [float(x) for x in rng.normal(0, 1, 6)]) for i in range(150)]
     rows += [(200 + i, rows[i][1]) for i in range(20)]  # ties
@@ -58,6 +57,23 @@ def test_topk_over_many_shards_and_blocks(spark, monkeypatch):
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
 
 
+def test_topk_of_values_beyond_doubles_that_hold_whole_numbers(spark):
+    rng = random.Random(13)
+    rows = [(i, [rng.choice([1e300, 1e17, 3e12, 2.0**45, 1.5]) * rng.uniform(-1, 1) for _ in range(5)]) for i in range(60)] + [(70, [1e306] * 5)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0).collect()
+    cut = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i < 70}
+    for q in [i for i in cut if i % 4 == 0]:
+        scores = {i: max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(cut[q], v, strict=True)))) for i, v in cut.items() if i != q}
+        want = sorted((-s, i) for i, s in scores.items())[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_mix_keeps_sources_with_control_characters(spark):
+    rows = [(1, "a b c", "x\u000by"), (2, "a b", 'q"\\'), (3, "c d e", "é\u2028"), (4, "a", "plain"), (5, "b c", "x\u000by")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 4, 5] and {r["doc_id"]: r["source_size"] for r in got}[1] == 5
+
+
 def test_targets_stop_at_twice_their_source():
     assert mixing.targets({"a": 10, "b": 100}, {"a": 5, "b": 2}, 165) == pytest.approx({"a": 20, "b": 145})
     assert mixing.targets({"a": 0, "b": 4}, {"a": 5, "b": 2}, 6) == pytest.approx({"a": 0, "b": 6})
