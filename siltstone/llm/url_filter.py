@@ -3,9 +3,11 @@
 A URL becomes a set of tokens: the labels of its host, the parts of its path without digits, and the
 names in its query string.  Spark's FP-growth mines frequent token sets from labelled URLs, with the label
 as one more item; sets that imply "block" with enough confidence and support become rules, and rules that
-contain another rule are pruned, as they can match nothing more.  Rules match by an inverted index from each
-rule's rarest token: up to MAX_LITERAL rules go into the expression, so matching is a narrow step without a
-shuffle; more are joined with the tokens of the distinct token sets.  No rule is left out.
+contain another rule are pruned, as they can match nothing more.  Tokens below the support take no part, and tokens
+that occur in exactly the same labelled URLs are mined as one, so that a long path does not become all its subsets; a
+rule then holds a list of such tokens in each place, of which any will do, as each makes a rule of the same figures.
+Rules match by an inverted index from each rule's rarest place: rules of up to MAX_LITERAL tokens go into the expression, so
+matching is a narrow step without a shuffle; more are joined with the tokens of the distinct token sets.
 
 In op9 the labels come from the stated rules, as no table labels URLs: URLs that a rule decides are the labelled
 ones, so what is mined mostly says what those rules say, for other hosts; it judges the URLs that no rule decides.
@@ -28,7 +30,7 @@ from . import common
 #: (host, path, verdict), as the contract of op9 states them.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
-#: Tokens of a rule, and rules that are looked up within an expression.
+#: Places of a rule, and tokens of rules that are looked up within an expression.
 MAX_ANTECEDENT, MAX_LITERAL = 3, 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,11 +62,20 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule): sorted token sets that imply a block, from labelled (tokens, verdict); none contains another."""
-    label = F.concat(F.lit("="), "verdict")
-    items = common.materialize(labelled.select(F.concat("tokens", F.array(label)).alias("items")))
+    """(rule): token sets that imply a block, from labelled (tokens, verdict); none contains another. A rule is an array
+    of places, each an array of tokens of which one must be there."""
+    rows = common.materialize(labelled.select("tokens", "verdict", F.monotonically_increasing_id().alias("row")))
+    least = F.ceil(F.lit(min_support * rows.count()))
+    tokens = rows.select("row", F.explode("tokens").alias("token"))
+    where = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in range(2)]  # tells sets of rows apart
+    often = tokens.groupBy("token").agg(F.count("*").alias("n"), *where).filter(F.col("n") >= least)
+    places = common.materialize(often.groupBy("n", "x0", "x1").agg(F.array_sort(F.collect_list("token")).alias("place")).select("place", F.col("place")[0].alias("first")))
+    # a row keeps the first token of each place: the others are there too
+    items = tokens.join(places.select(F.col("first").alias("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    items = rows.join(items, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
+    items = common.materialize(items)
     if items.isEmpty():
-        return items.select(F.col("items").alias("rule")).limit(0)
+        return places.select(F.array("place").alias("rule")).limit(0)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     block = F.col("consequent")[0] == "=block"
     found = model.associationRules.filter(block & (F.size("antecedent") <= MAX_ANTECEDENT) & ~F.exists("antecedent", lambda x: x.startswith("=")))
@@ -74,28 +85,31 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     fewer = F.concat(all_but_one, F.transform("rule", lambda x: F.array(x)))
     wider = found.select("rule", F.explode(F.array_distinct(fewer)).alias("part")).filter(F.size("part").between(1, F.size("rule") - 1))
     wider = wider.join(found.withColumnRenamed("rule", "part"), "part", "left_semi").select("rule").distinct()
-    return common.materialize(found.join(wider, "rule", "left_anti"))
+    least = found.join(wider, "rule", "left_anti").select("rule", F.explode("rule").alias("first"))
+    whole = least.join(places, "first").groupBy("rule").agg(F.array_sort(F.collect_list("place")).alias("places"))  # three at most
+    return common.materialize(whole.select(F.col("places").alias("rule")))
 
 
 def _indexed(rules: DataFrame) -> DataFrame:
-    """(token, rule): each rule under its rarest token (in the rules), ties to the first."""
-    tokens = rules.select("rule", F.explode("rule").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    return tokens.join(often, "token").groupBy("rule").agg(F.min(F.struct("n", "token")).alias("x")).select("x.token", "rule")
+    """(token, rule): each rule under the tokens of its rarest place (in the rules), ties to the first."""
+    places = rules.select("rule", F.explode("rule").alias("place"))
+    often = places.groupBy("place").agg(F.count("*").alias("n"))
+    best = places.join(often, "place").groupBy("rule").agg(F.min(F.struct("n", "place")).alias("x"))
+    return best.select(F.explode("x.place").alias("token"), "rule")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (with a column tokens) with matched: whether all tokens of any rule (rule) are there."""
-    index, n = _indexed(rules), rules.count()
+    index, n = _indexed(rules), rules.select(F.explode(F.flatten("rule"))).count()
     if not n:
         return urls.withColumn("matched", F.lit(False))
-    within = lambda rule, tokens: F.size(F.array_except(rule, tokens)) == 0
+    within = lambda rule, tokens: F.forall(rule, lambda place: F.arrays_overlap(place, tokens))
     if n <= MAX_LITERAL:
-        held: dict[str, list[list[str]]] = {}
+        held: dict[str, list[list[list[str]]]] = {}
         for r in index.collect():
-            held.setdefault(r["token"], []).append(list(r["rule"]))
-        under = F.from_json(F.lit(json.dumps(held)), "map<string,array<array<string>>>")
-        found = F.flatten(F.transform("tokens", lambda t: F.coalesce(under[t], F.array().cast("array<array<string>>"))))
+            held.setdefault(r["token"], []).append([list(place) for place in r["rule"]])
+        under = F.from_json(F.lit(json.dumps(held)), "map<string,array<array<array<string>>>>")
+        found = F.flatten(F.transform("tokens", lambda t: F.coalesce(under[t], F.array().cast("array<array<array<string>>>"))))
         return urls.withColumn("matched", F.exists(found, lambda r: within(r, F.col("tokens"))))
     sets = urls.select("tokens").distinct()
     hits = sets.withColumn("token", F.explode("tokens")).join(index, "token").filter(within(F.col("rule"), F.col("tokens")))
