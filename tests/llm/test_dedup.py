@@ -230,6 +230,13 @@ def test_names_that_open_a_sentence(spark):
     assert _leaks(spark, rows, asked) == [(1, True, (1,)), (2, True, (1,)), (3, True, (2,)), (4, True, (3,)), (5, False, ()), (6, False, ())]
 
 
+def test_windows_dense_in_slots_and_capitals(spark):
+    item = "A train leaves Boston at 60 mph and travels 5 hours. How far does it go before stopping?"
+    other = item.replace("Boston", "Paris").replace("60", "80").replace(" 5 ", " 2 ")
+    rows = [(1, "So it goes. " + other + " And so on."), (2, item.upper()), (3, "One line.\n" + item.upper() + "\nAnother line."), (4, other.replace(" 2 ", " 80 ")), (5, "I like it. How far does it go before stopping? I do not know."), (6, item.lower()), (7, "Paris 80 mph 2 hours Rome 3 km 4 miles Berlin 5 kg 6 days Oslo 7")]
+    assert _leaks(spark, rows, [(1, item)]) == [(1, True, (1,)), (2, True, (1,)), (3, True, (1,)), (4, False, ()), (5, False, ()), (6, True, (1,)), (7, False, ())]
+
+
 def test_short_items(spark):
     bench = [(1, "seldom seen purple walrus"), (2, "Zanzibar 44"), (3, "xylophone"), (4, "??")]
     rows = [(1, "a seldom seen purple walrus slept"), (2, "a purple walrus slept"), (3, "in zanzibar 44 of them"), (4, "Zanzibar 45"), (5, "a xylophone, two xylophones"), (6, "what??")]
