@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policies as P
 from ..functions import text as T
-from ..operators import capsule, evaluate, graph, pack, provenance, ranges, relationships, review, scoring
+from ..operators import budget, capsule, evaluate, graph, ignore, intervals, pack, provenance, ranges, relationships, review, scoring
 from ..operators import evidence as E
 from ..operators import signals as S
 from ..sources import store
@@ -619,3 +619,114 @@ def capsule_check(spark, sf):
     chosen = pack.by_quota(roles, levels, 8000, 200).filter("level >= 0")
     parts = parts.join(ranked.select("task_id", "path"), ["task_id", "path"], "left_semi")
     return capsule.check(materialize(capsule.build(ranked, parts, chosen, 8000)))
+
+
+# ---- ignore files ----
+
+#: Ignore files by folder, an asterisk standing for every blog's host (the pages' hosts are folders here).
+IGNORE_FILES = {
+    ".gitignore": "# pages that nobody asks for\n*.html\n!4*.html\n/spam-farm.*/\nfr/\n**/es/[0-4]*\n",
+    ".ignore": "www.*/en/1*\n!www.cheap-pills.example.com/en/10*\n",
+    "blog.*/.gitignore": "!*.html\nde/\nen/7*\n!en/77?\n",
+}
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') AS path FROM pages WHERE url IS NOT NULL),
+c AS (SELECT path, split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS lang, split_part(path, '/', 3) AS leaf FROM p WHERE regexp_full_match(path, '[^/]+/[^/]+/[^/]+')),
+-- one row per rule that speaks of the page itself, by the order of the rules in their file
+r AS (SELECT path, 1 AS file, 1 AS line, true AS out FROM c WHERE leaf LIKE '%.html'
+  UNION ALL SELECT path, 1, 2, false FROM c WHERE leaf LIKE '4%.html' UNION ALL SELECT path, 1, 3, true FROM c WHERE lang = 'es' AND leaf[1] BETWEEN '0' AND '4'
+  UNION ALL SELECT path, 2, 1, true FROM c WHERE starts_with(host, 'www.') AND lang = 'en' AND leaf LIKE '1%'
+  UNION ALL SELECT path, 2, 2, false FROM c WHERE host = 'www.cheap-pills.example.com' AND lang = 'en' AND leaf LIKE '10%'
+  UNION ALL SELECT path, 3, 1, false FROM c WHERE starts_with(host, 'blog.') AND leaf LIKE '%.html' UNION ALL SELECT path, 3, 2, true FROM c WHERE starts_with(host, 'blog.') AND lang = 'en' AND leaf LIKE '7%'
+  UNION ALL SELECT path, 3, 3, false FROM c WHERE starts_with(host, 'blog.') AND lang = 'en' AND leaf LIKE '77_'),
+f AS (SELECT path, file, arg_max(out, line) AS out FROM r GROUP BY ALL),
+own AS (SELECT c.*, coalesce((SELECT out FROM f WHERE f.path = c.path AND file = 2), false) AS other,
+  coalesce((SELECT out FROM f WHERE f.path = c.path AND file = 3), (SELECT out FROM f WHERE f.path = c.path AND file = 1), false) AS git FROM c)
+SELECT path, CASE WHEN starts_with(host, 'spam-farm.') THEN host WHEN lang = 'fr' OR lang = 'de' AND starts_with(host, 'blog.') THEN host || '/' || lang WHEN other OR git THEN path END AS at,
+  CASE WHEN starts_with(host, 'spam-farm.') OR lang = 'fr' OR lang = 'de' AND starts_with(host, 'blog.') THEN '.gitignore' WHEN other THEN '.ignore' WHEN git THEN '.gitignore' END AS reason FROM own""")
+def ignore_layers(spark, sf):
+    """Pages as files in folders by host and language: what nested ignore files of two families leave out, and where."""
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*$", ""), "/+$", "")
+    pages = B.table(spark, sf, "pages").filter("url is not null").select(path.alias("path")).filter(F.col("path").rlike("^[^/]+/[^/]+/[^/]+$")).distinct()
+    hosts = pages.select(F.split("path", "/")[0].alias("host")).filter("host like 'blog.%'").distinct()
+    at_root = spark.createDataFrame([(p, t) for p, t in IGNORE_FILES.items() if "/" not in p], "path string, text string")
+    nested = hosts.select(F.concat("host", F.lit("/.gitignore")).alias("path"), F.lit(IGNORE_FILES["blog.*/.gitignore"]).alias("text"))
+    table = ignore.rules(at_root.unionByName(nested).select("path", F.col("text").cast("binary").alias("content")))
+    found = ignore.ignored(pages, table)
+    reason = F.element_at(F.array(*[F.lit(x) for x in ignore.FAMILIES]), F.col("family") + 1)
+    return pages.join(found.select("path", "at", reason.alias("reason")), "path", "left")
+
+
+# ---- budgets and intervals ----
+
+
+@query("""WITH RECURSIVE d AS (SELECT coalesce(source, 'none') AS task_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, CASE WHEN doc_id % 7 = 0 THEN doc_id % 5 END AS turn, CAST(octet_length(encode(text)) AS BIGINT) AS size
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY turn NULLS LAST, path) AS i FROM d),
+l AS (SELECT task_id, list(size ORDER BY i) AS sizes FROM o GROUP BY task_id),
+w AS (SELECT task_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS spent, 0 AS n, CAST(NULL AS BOOLEAN) AS taken, sizes FROM l
+  UNION ALL SELECT task_id, i + 1, CASE WHEN n < 60 AND spent + sizes[i + 1] <= 65536 THEN spent + sizes[i + 1] ELSE spent END, CASE WHEN n < 60 AND spent + sizes[i + 1] <= 65536 THEN n + 1 ELSE n END,
+    n < 60 AND spent + sizes[i + 1] <= 65536, sizes FROM w WHERE i < len(sizes))
+SELECT o.task_id, path, turn, size, taken FROM o JOIN w USING (task_id, i)""")
+def lexical_budget(spark, sf):
+    """Each source's documents as the files of a task: those that 60 files and 64 KiB allow, in order."""
+    docs = B.table(spark, sf, "documents").filter("text is not null and doc_id is not null")
+    turn = F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") % 5)
+    rows = docs.select(F.coalesce("source", F.lit("none")).alias("task_id"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), turn.alias("turn"), F.octet_length("text").alias("size"))
+    return budget.within(rows, 60, 64 << 10)
+
+
+_GOLD = "qualified_name LIKE 'w3.%' AND len(name) >= 5"
+_COVER = "qualified_name LIKE 'w10.%' AND name < 'm' OR qualified_name LIKE 'w1.%'"
+
+
+@query(f"""{SYMBOLS}, g AS (SELECT * FROM symbols WHERE {_GOLD}), c AS (SELECT * FROM symbols WHERE {_COVER})
+SELECT symbol_id, start_line, end_line, coalesce((SELECT bool_or(c.start_line <= g.start_line AND c.end_line >= g.end_line) FROM c WHERE c.path = g.path), false) AS inside,
+  coalesce((SELECT bool_or(c.start_line <= g.end_line AND c.end_line >= g.start_line) FROM c WHERE c.path = g.path), false) AS met FROM g""")
+def range_coverage(spark, sf):
+    """Symbols of three lines: inside a longer one, or met by any."""
+    symbols = materialize(B.symbols(spark, sf))
+    gold = symbols.filter(_GOLD.replace("len(", "length("))
+    return intervals.inside(gold.select("path", "symbol_id", "start_line", "end_line"), symbols.filter(_COVER), "path").select("symbol_id", "start_line", "end_line", "inside", "met")
+
+
+_SELECTED, _RANGES = "qualified_name LIKE 'w3.%' AND name >= 'm'", "qualified_name LIKE 'w10.%' AND name < 'q'"
+_LINES = lambda t: f"SELECT DISTINCT task_id, path, unnest(range(start_line, end_line + 1)) AS line FROM {t}"
+_STRETCHES = lambda t: f"""SELECT task_id, path, min(line) AS a, max(line) AS z FROM (SELECT *, line - row_number() OVER (PARTITION BY task_id, path ORDER BY line) AS island FROM {t}) GROUP BY task_id, path, island"""
+_GOLD_SQL = f"""{SYMBOLS}, y AS (SELECT s.*, doc_id, doc_id % 10 AS task_id FROM symbols s JOIN files f USING (path)),
+sel AS ({_LINES(f"(SELECT * FROM y WHERE {_SELECTED})")}), gf AS (SELECT path, doc_id % 10 AS task_id, doc_id FROM files WHERE doc_id % 3 = 0), gr AS (SELECT * FROM y WHERE {_RANGES} AND doc_id % 2 = 0 AND doc_id % 3 = 0)"""
+
+
+@query(f"""{_GOLD_SQL}, gl AS ({_LINES("gr")}),
+st AS ({_STRETCHES("sel")}), bo AS ({_STRETCHES("(SELECT * FROM sel JOIN gl USING (task_id, path, line))")}),
+tk AS (SELECT task_id, path, {TOKENS("t")} AS tokens, kind FROM (SELECT task_id, path, array_to_string(lines[a:z], chr(10)) AS t, kind FROM (SELECT *, 1 AS kind FROM st UNION ALL SELECT *, 2 FROM bo) JOIN lns USING (path))),
+p AS (SELECT task_id, CAST(sum(tokens) FILTER (WHERE kind = 1) AS BIGINT) AS content_tokens,
+  CAST(coalesce(sum(tokens) FILTER (WHERE kind = 2), 0) + coalesce(sum(tokens) FILTER (WHERE kind = 1 AND path IN (SELECT path FROM gf) AND path NOT IN (SELECT path FROM gr)), 0) AS BIGINT) AS relevant_tokens FROM tk GROUP BY task_id)
+SELECT task_id, content_tokens, relevant_tokens, CASE WHEN content_tokens > 0 THEN {R6("relevant_tokens / content_tokens")} END AS precision,
+  CASE WHEN content_tokens > 0 THEN {R6(f"1 - {R6('relevant_tokens / content_tokens')}")} END AS noise FROM p""")
+def token_precision(spark, sf):
+    """Tasks by document number: what part of the selected tokens is gold."""
+    selected, files, gold_files, gold_ranges = _selection(spark, sf)
+    return intervals.token_precision(selected, gold_files, gold_ranges, files)
+
+
+@query(f"""{_GOLD_SQL}, st AS ({_STRETCHES("sel")}),
+g AS (SELECT task_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS w, (task_id, path) IN (SELECT (task_id, path) FROM sel) AS hit FROM gf
+  UNION ALL SELECT task_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END, coalesce((SELECT bool_or(st.a <= gr.start_line AND st.z >= gr.end_line) FROM st WHERE st.path = gr.path AND st.task_id = gr.task_id), false) FROM gr)
+SELECT task_id, {R6("sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w)")} AS recall, CASE WHEN count(*) FILTER (WHERE w = 2) > 0 THEN {R6("count(*) FILTER (WHERE hit AND w = 2) / count(*) FILTER (WHERE w = 2)")} END AS required_recall FROM g GROUP BY task_id""")
+def gold_recall(spark, sf):
+    """The same tasks: what part of the gold files and ranges is selected, by weight."""
+    selected, _, gold_files, gold_ranges = _selection(spark, sf)
+    importance = F.when(F.col("doc_id") % 4 == 0, "REQUIRED").otherwise("SUPPORTING").alias("importance")
+    whole = gold_files.select("task_id", "path", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), importance)
+    return intervals.gold_recall(whole.unionByName(gold_ranges.select("task_id", "path", "start_line", "end_line", importance)), selected)
+
+
+def _selection(spark, sf):
+    files = B.files(spark, sf)
+    symbols = B.symbols_of(files).join(files.select("path", "doc_id"), "path").withColumn("task_id", F.col("doc_id") % 10)
+    symbols = materialize(symbols)
+    gold_files = files.filter("doc_id % 3 = 0").select("path", "doc_id", (F.col("doc_id") % 10).alias("task_id"))
+    ranges_ = symbols.filter(f"{_RANGES} AND doc_id % 2 = 0 AND doc_id % 3 = 0")
+    return symbols.filter(_SELECTED).select("task_id", "path", "start_line", "end_line"), files.select("path", T.logical_lines(F.col("text")).alias("lines")), gold_files, ranges_
