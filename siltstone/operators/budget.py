@@ -39,7 +39,7 @@ def within(rows: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST
         upto = Window.partitionBy("task_id", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         edge = known.filter(F.col("part") == F.col("edge")).withColumn("at", F.row_number().over(Window.partitionBy("task_id", "part").orderBy(*order)))
         edge = edge.withColumn("taken", (F.col("bytes0") + F.sum("size").over(upto) <= F.col("room")) & (F.col("n0") + F.col("at") <= F.col("left"))).drop("at")
-        later = known.filter(F.col("part") > F.col("edge")).withColumn("taken", F.lit(False))
+        later = known.filter(F.when(F.col("edge").isNull(), F.col("kind") != "whole").otherwise(F.col("part") > F.col("edge"))).withColumn("taken", F.lit(False))
         judged = materialize(whole.unionByName(edge).unionByName(later).select(*rest.columns, "taken"))
         spent = judged.filter("taken").groupBy("task_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         room = materialize(room.join(spent, "task_id", "left").select("task_id", (F.col("room") - F.coalesce("bytes", F.lit(0))).alias("room"), (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")))
