@@ -40,12 +40,17 @@ def word_variants(x: Column) -> Column:
     return F.when(x.rlike("^[a-z]{5,}$"), found).otherwise(none)
 
 
-def estimate_tokens(x: Column) -> Column:
-    """A third of the ASCII characters, half of the other bytes (both rounded up), the line breaks, and one; 0 if empty."""
+def measure(x: Column) -> tuple[Column, Column, Column]:
+    """ASCII characters (without line breaks), bytes of other characters, and line breaks: they add up over parts of a text."""
     text = F.regexp_replace(x, "\r\n?", "\n")
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) - breaks
-    other = F.octet_length(text) - ascii_ - breaks
+    return ascii_, F.octet_length(text) - ascii_ - breaks, breaks
+
+
+def estimate_tokens(x: Column) -> Column:
+    """A third of the ASCII characters, half of the other bytes (both rounded up), the line breaks, and one; 0 if empty."""
+    ascii_, other, breaks = measure(x)
     return F.when(F.length(x) == 0, 0).otherwise(F.ceil(ascii_ / 3) + F.ceil(other / 2) + breaks + 1).cast("long")
 
 

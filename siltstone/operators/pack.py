@@ -52,6 +52,8 @@ def whole_files(candidates: DataFrame, budget: int, skeleton: int = 0) -> DataFr
 
 #: Phases whose offers enlarge a chosen file: by one level, or by every further level that fits.
 STEP_UP, ALL_UP = "GROWTH", "EXPANSION"
+#: A phase whose offers are taken whatever they cost.
+SEED = "SEED"
 _OFFER = "step int, turn long, phase string, path string, goal string, once boolean, again boolean, share double, most int"
 
 
@@ -61,7 +63,7 @@ def _costs(levels: DataFrame) -> DataFrame:
 
 def _first(candidates: DataFrame) -> DataFrame:
     ranked = candidates.withColumn("_n", F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path")))
-    return ranked.filter(F.col("_n") <= CANDIDATES).drop("_n")
+    return ranked.filter(F.col("_n") <= CANDIDATES + F.lit(1 if "seed" in candidates.columns else 0)).drop("_n")
 
 
 class _Budget:
@@ -106,12 +108,13 @@ def fold(offers: DataFrame, files: DataFrame, budget: int, skeleton: int = 0, se
     offers: task_id and the columns of _OFFER. An offer is void once its goal is reached, that is once a file with
     that tag is taken, or, if it counts `once`, as soon as one file was tried for it. A step that runs `again` is
     repeated until a pass takes nothing. share and most bound a role's tokens and files.
-    files: (task_id, path, role, tags, preferred, costs), costs by level; a file comes in by its cheapest level up
+    files: (task_id, path, role, tags, preferred, costs and, instead of the argument, skeleton), costs by level; a file comes in by its cheapest level up
     to the preferred one that fits."""
     kind = offers.schema["task_id"].dataType.simpleString()
 
     def choose(key: tuple, offered: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        state, reached, events = _Budget(own, budget, skeleton, section, most), set(), []
+        empty = int(own["skeleton"].iloc[0]) if "skeleton" in own and len(own) else skeleton
+        state, reached, events = _Budget(own, budget, empty, section, most), set(), []
         for _, step in offered.sort_values(["step", "turn"]).groupby("step", sort=True):
             rows, moved = step.to_dict("records"), True
             while moved:
@@ -121,6 +124,11 @@ def fold(offers: DataFrame, files: DataFrame, budget: int, skeleton: int = 0, se
                     held = state.level.get(path)
                     if goal in reached or goal in tried or (held is None) == (o["phase"] in (STEP_UP, ALL_UP)) or path not in state.files:
                         continue
+                    if o["phase"] == SEED:
+                        state.level[path] = 0
+                        reached.update(state.files[path]["tags"])
+                        events.append((path, SEED, 0, state.spent()))
+                        continue
                     if held is None:
                         done = state.add(path, o["share"], o["most"])
                         if o["once"]:
@@ -154,26 +162,41 @@ def _by_role(values: dict) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("role"))
 
 
-def by_quota(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int = 0) -> DataFrame:
+#: What stands in front of all: the repository's own instructions.
+INSTRUCTION = "REPOSITORY_INSTRUCTION"
+
+
+def by_quota(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int | DataFrame = 0) -> DataFrame:
     """(task_id, path, role, level, tokens, drop_reason) of candidates (task_id, path, rank, role) with levels
-    (task_id, path, level, tokens): role quotas first, one item for each minor role, then growth in turn."""
-    rows = _first(candidates).join(_costs(levels), ["task_id", "path"]).filter(F.col("role").isin(ROLES))
-    rows = rows.withColumn("place", _by_role({r: i for i, r in enumerate(ROLES)})).withColumn("leads", F.row_number().over(Window.partitionBy("task_id", "role").orderBy("rank", "path")) == 1)
-    number, count = F.col("rank").cast("long"), _by_role(MOST_ITEMS)
-    share = _by_role(SHARES) * max(0, budget - skeleton)
+    (task_id, path, level, tokens): role quotas first, one item for each minor role, then growth in turn.
+
+    Candidates may have more columns: `seed` (taken first, whatever they cost) and `turn` (their order, instead of rank).
+    Instructions have the role INSTRUCTION; their cost is left out of what the roles share. skeleton: the tokens of the
+    document without files, or a table (task_id, skeleton)."""
+    candidates = candidates.join(skeleton, "task_id") if isinstance(skeleton, DataFrame) else candidates.withColumn("skeleton", F.lit(skeleton))
+    rows = _first(candidates).join(_costs(levels), ["task_id", "path"]).filter(F.col("role").isin([*ROLES, INSTRUCTION]))
+    rows = rows.withColumn("turn", F.col("turn" if "turn" in rows.columns else "rank").cast("long")).withColumn("seed", F.col("seed") if "seed" in rows.columns else F.lit(False))
+    own = F.sum(F.when(F.col("role") == INSTRUCTION, F.get("costs", F.lit(0))).otherwise(0)).over(Window.partitionBy("task_id"))
+    rows = rows.withColumn("free", F.greatest(F.lit(0), F.lit(budget) - F.col("skeleton") - own))
+    rows = rows.withColumn("place", _by_role({r: i for i, r in enumerate(ROLES)})).withColumn("leads", F.row_number().over(Window.partitionBy("task_id", "role").orderBy("seed", "turn", "path")) == 1)
+    every, rows = rows, rows.filter(F.col("role") != INSTRUCTION)
+    number, count = F.col("turn"), _by_role(MOST_ITEMS)
+    share = _by_role(SHARES) * F.col("free")
     minor = rows.filter((F.col("role") != ROLES[0]) & F.col("leads"))
     in_turn = lambda last: F.col("place") * 10_000 + last * 5_000 + F.col("_turn")
-    numbered = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path")))
+    numbered = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("task_id").orderBy("turn", "path")))
     offers = _offers(rows, F.col("place"), number, "QUOTA", share=share, most=count)
     offers = offers.unionByName(_offers(minor, 10, F.col("place").cast("long"), "ROLE", goal=F.col("role")))
     offers = offers.unionByName(_offers(numbered, 20, in_turn(0).cast("long"), STEP_UP, again=True))
     offers = offers.unionByName(_offers(numbered, 20, in_turn(1).cast("long"), "QUOTA", goal=F.concat(F.lit("next "), F.col("role")), once=True, again=True, most=count))
-    files = rows.select("task_id", "path", "role", F.array("role").alias("tags"), F.lit(0).alias("preferred"), "costs")
-    events = fold(offers, files, budget, skeleton, SECTION_TOKENS)
+    offers = offers.unionByName(_offers(every.filter("seed"), -1, F.coalesce("turn", F.lit(0)), SEED))
+    files = every.select("task_id", "path", "role", F.array("role").alias("tags"), F.lit(0).alias("preferred"), "costs", "skeleton")
+    rows = every
+    events = fold(offers, files, budget, section=SECTION_TOKENS)
     taken = events.groupBy("task_id", "path").agg(F.max_by("level", "seq").alias("level"))
     full = events.groupBy("task_id").agg((F.max_by("spent", "seq") >= budget).alias("full"))
     out = rows.join(taken, ["task_id", "path"], "left").join(full, "task_id", "left")
-    reason = F.when(F.col("level").isNotNull(), "").when(F.coalesce("full", F.lit(skeleton >= budget)), "BUDGET_EXHAUSTED").otherwise("SECTION_LIMIT")
+    reason = F.when(F.col("level").isNotNull(), "").when(F.coalesce("full", F.col("skeleton") >= budget), "BUDGET_EXHAUSTED").otherwise("SECTION_LIMIT")
     return out.select("task_id", "path", "role", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce(F.get("costs", F.col("level")), F.lit(0)).cast("long").alias("tokens"), reason.alias("drop_reason"))
 
 

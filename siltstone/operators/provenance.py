@@ -57,17 +57,37 @@ def stale_sources(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def invalid_controls(controls: DataFrame) -> DataFrame:
-    """(path, problem) of controls (kind, path, start_line, end_line): unknown kinds, duplicates, conflicts, bad ranges."""
+    """(path, problem) of controls (kind, path, start_line, end_line): unknown kinds, duplicates, conflicts, bad ranges, and
+    more than MAX_CONTROLS of them (without a path)."""
     bad = controls.filter(~F.col("kind").isin(CONTROLS)).select("path", F.lit("UNKNOWN_KIND").alias("problem"))
     twice = controls.groupBy("kind", "path", "start_line", "end_line").count().filter("count > 1").select("path", F.lit("DUPLICATE").alias("problem"))
     both = controls.groupBy("path").agg(F.bool_or(F.col("kind") == "EXCLUDE").alias("x"), F.bool_or(F.col("kind") != "EXCLUDE").alias("o")).filter("x and o").select("path", F.lit("CONFLICT").alias("problem"))
     span = controls.filter((F.col("kind") == "RANGE") & ~F.coalesce((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")), F.lit(False))).select("path", F.lit("BAD_RANGE").alias("problem"))
-    return bad.unionByName(twice).unionByName(both).unionByName(span)
+    many = controls.agg(F.count("*").alias("n")).filter(F.col("n") > MAX_CONTROLS).select(F.lit(None).cast("string").alias("path"), F.lit("TOO_MANY").alias("problem"))
+    return bad.unionByName(twice).unionByName(both).unionByName(span).unionByName(many)
 
 
 def apply_controls(candidates: DataFrame, controls: DataFrame) -> DataFrame:
-    """candidates (path, rank) without excluded paths, with mandatory and a rank that puts preferred ones first."""
-    kinds = controls.groupBy("path").agg(F.bool_or(F.col("kind") == "EXCLUDE").alias("x"), F.bool_or(F.col("kind").isin("PIN", "RANGE")).alias("m"), F.bool_or(F.col("kind").isin("PREFER", "FOCUS")).alias("p"))
-    out = candidates.join(kinds, "path", "left").filter(~F.coalesce("x", F.lit(False)))
-    order = F.when(F.coalesce("m", F.lit(False)), 0).when(F.coalesce("p", F.lit(False)), 1).otherwise(2)
-    return out.select(*candidates.columns, F.coalesce("m", F.lit(False)).alias("mandatory"), order.alias("control_order"))
+    """candidates (task_id, path and more) with excluded, mandatory and control_order, by controls (task_id, kind, path).
+
+    PIN and RANGE make a path mandatory (order 0); PREFER names a path and FOCUS a path or folder (order 1); others come
+    after (order 2). EXCLUDE takes a path out."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    named = candidates.select("task_id", "path", F.explode(above).alias("at")).join(controls.select("task_id", F.col("path").alias("at"), "kind"), ["task_id", "at"])
+    named = named.filter((F.col("at") == F.col("path")) | (F.col("kind") == "FOCUS"))
+    kinds = named.groupBy("task_id", "path").agg(*[F.bool_or(F.col("kind").isin(ks)).alias(c) for c, ks in (("excluded", ["EXCLUDE"]), ("mandatory", ["PIN", "RANGE"]), ("preferred", ["PREFER", "FOCUS"]))])
+    out = candidates.join(kinds, ["task_id", "path"], "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    order = F.when(flag("mandatory"), 0).when(flag("preferred"), 1).otherwise(2)
+    return out.select(*candidates.columns, flag("excluded").alias("excluded"), flag("mandatory").alias("mandatory"), order.alias("control_order"))
+
+
+def unmet_controls(candidates: DataFrame, controls: DataFrame) -> DataFrame:
+    """Controls (task_id, kind, path) that name no candidate (task_id, path); a FOCUS may name a folder."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    paths = candidates.select("task_id", "path", F.explode(above).alias("at"))
+    folders = paths.select("task_id", F.col("at").alias("path")).distinct()
+    focus = controls.filter("kind = 'FOCUS'").join(folders, ["task_id", "path"], "left_anti")
+    return controls.filter("kind != 'FOCUS'").join(candidates.select("task_id", "path"), ["task_id", "path"], "left_anti").unionByName(focus)

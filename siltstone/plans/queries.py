@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policies as P
 from ..functions import text as T
-from ..operators import budget, capsule, evaluate, graph, ignore, intervals, pack, provenance, ranges, relationships, review, scoring
+from ..operators import budget, capsule, evaluate, graph, ignore, intervals, pack, provenance, ranges, relationships, review, scoring, whole_pack
 from ..operators import evidence as E
 from ..operators import signals as S
 from ..sources import store
@@ -550,6 +550,40 @@ def pack_v1(spark, sf):
     return pack.by_quota(c.select("task_id", "path", "rank", "role"), levels, 8000, 200)
 
 
+@query()
+def pack_controlled(spark, sf):
+    """Whole packs under controls: the fifth candidate is pinned, the second left out, the seventh's folder in focus, ten lines
+    of the third asked for; files that their document's user changed are told in the Git section."""
+    _, packs = _whole_pack(spark, sf)
+    return packs
+
+
+@query()
+def pack_items(spark, sf):
+    """What the same packs hold and why the rest was dropped."""
+    items, _ = _whole_pack(spark, sf)
+    return items.select("task_id", "path", "role", "rank", "level", "tokens", "drop_reason")
+
+
+def _whole_pack(spark, sf, tokens=3000):
+    c = _candidates(spark, sf).withColumn("role", pack.role_of(F.col("category"), F.lit("DIRECT")))
+    control = F.when(F.col("rank") == 5, "PIN").when(F.col("rank") == 2, "EXCLUDE").when(F.col("rank") == 7, "FOCUS").when(F.col("rank") == 3, "RANGE")
+    at = F.when(control == "FOCUS", F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
+    last = F.least(F.lit(10), F.size(T.logical_lines(F.col("text"))))
+    controls = c.select("task_id", control.alias("kind"), at.alias("path"), F.when(control == "RANGE", 1).alias("start_line"), F.when(control == "RANGE", last).alias("end_line")).filter("kind is not null")
+    controls = materialize(controls)
+    files = materialize(c.select("path", "text").dropDuplicates(["path"]))
+    levels = ranges.ladder(c, files, materialize(B.symbols_of(files)), controls.filter("kind = 'RANGE'"))
+    levels = levels.join(c.select("task_id", "path", "role"), ["task_id", "path"])
+    levels = materialize(levels.select("task_id", "path", "level", whole_pack.item(F.col("path"), F.col("role"), F.col("ranges"), F.col("whole_file"), F.col("text")).alias("item")))
+    busy = B.table(spark, sf, "events").select(F.col("user_id").alias("doc_id")).distinct()
+    changed = B.files(spark, sf).join(busy, "doc_id", "left_semi").select("path", F.concat("path", F.lit(": modified")).alias("dirty"))
+    c = c.select("task_id", "path", "rank", "role", F.lit(1).alias("distance")).join(changed, "path", "left")
+    tasks = B.tasks(spark, sf).select("task_id", whole_pack.skeleton(F.col("text"), F.lit("corpus"), F.lit(1)).alias("skeleton"))
+    git = tasks.select("task_id", F.array(F.lit("Branch: main"), F.concat(F.lit("HEAD: "), F.sha1(F.col("task_id").cast("string").cast("binary")))).alias("lines"))
+    return whole_pack.build(tasks, materialize(c), levels, tokens, controls, git)
+
+
 @query()
 def pack_v2(spark, sf):
     c = _candidates(spark, sf)
