@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import task_plan
 
 # Fixed values.
 ROLES = ["PRIMARY_CODE", "TEST", "DEPENDENCY", "DOCUMENTATION", "CONFIGURATION"]
@@ -204,29 +205,40 @@ def by_quota(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: in
 PLAN_ROLES = {"PRIMARY": 0, "IMPACT": 1, "VALIDATION": 1, "SUPPORT": 2}
 
 
-def by_plan(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int = 0, facet: str | None = None, plan: dict[str, int] = PLAN_ROLES) -> DataFrame:
+def by_plan(candidates: DataFrame, levels: DataFrame, budget: int, skeleton: int = 0, facet: str | None = None, plan: dict[str, int] | DataFrame = PLAN_ROLES) -> DataFrame:
     """(task_id, path, phase, level, spent) of candidates (task_id, path, rank, roles, facet, directness, strong and,
-    if larger levels may come in at once, preferred).
+    if larger levels may come in at once, preferred). Ranks of a task differ, so nothing else decides between candidates.
+
+    plan: role to weight for all tasks, with facet; or a table (task_id, weights, facet) of each task's own, whose roles of
+    weight 2 have no turn of their own.
 
     Candidates stand in one order: by directness, weight of their best role, and rank. An anchor comes first, then an
     uncovered target facet, then uncovered roles (never past stronger direct context), then all, and last larger
     levels of what is chosen."""
     rows = _first(candidates).join(_costs(levels), ["task_id", "path"])
-    weight = F.create_map(*[F.lit(x) for kv in plan.items() for x in kv])
+    if isinstance(plan, DataFrame):
+        rows = rows.join(plan.select("task_id", "weights", F.col("facet").alias("wanted"), task_plan.role_order(F.col("weights")).alias("order")), "task_id")
+        weight, wanted, names = F.col("weights"), F.col("wanted"), task_plan.ROLES
+        step_of = lambda i, role: F.lit(1) + F.nullif(F.array_position("order", role), F.lit(0))
+    else:
+        weight, wanted = F.create_map(*[F.lit(x) for kv in plan.items() for x in kv]), F.lit(facet)
+        names = sorted(plan, key=lambda r: (plan[r], list(plan).index(r)))
+        step_of = lambda i, role: F.lit(2 + i)
     heaviest = F.coalesce(F.array_min(F.transform("roles", lambda r: F.coalesce(F.try_element_at(weight, r), F.lit(2)))), F.lit(2))
     direct = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DIRECTNESS.items() for x in kv]), F.col("directness")), F.lit(3))
     rows = rows.withColumn("direct", direct).withColumn("turn", F.row_number().over(Window.partitionBy("task_id").orderBy("direct", heaviest, "rank", "path")).cast("long"))
-    target = F.coalesce(F.col("facet") == F.lit(facet), F.lit(False))
+    target = F.coalesce(F.col("facet") == wanted, F.lit(False))
     strong = rows.filter("strong")
     anchor = F.row_number().over(Window.partitionBy("task_id").orderBy("direct", ~target, "turn")).cast("long")
     offers = _offers(strong.withColumn("anchor", anchor), 0, F.col("anchor"), "ANCHOR", goal=F.lit("anchor"))
-    if facet is not None:
+    if facet is not None or isinstance(plan, DataFrame):
         offers = offers.unionByName(_offers(strong.filter(target), 1, F.col("turn"), "TARGET_OPPORTUNITY", goal=F.lit("target")))
-    for i, role in enumerate(sorted(plan, key=lambda r: (plan[r], list(plan).index(r)))):
+    for i, role in enumerate(names):
         has = F.array_contains("roles", role)
         last = F.max(F.when(has, F.col("turn"))).over(Window.partitionBy("task_id"))
         shown = rows.withColumn("last", last).filter(has | (F.col("strong") & (F.col("turn") < F.col("last"))))
-        offers = offers.unionByName(_offers(shown, 2 + i, F.col("turn"), F.when(has, "OPPORTUNITY").otherwise("DIRECT_PRIORITY"), goal=F.lit(f"role {role}")))
+        shown = shown.withColumn("step", step_of(i, role)).filter("step is not null")
+        offers = offers.unionByName(_offers(shown, F.col("step"), F.col("turn"), F.when(has, "OPPORTUNITY").otherwise("DIRECT_PRIORITY"), goal=F.lit(f"role {role}")))
     offers = offers.unionByName(_offers(rows, 100, F.col("turn"), "GLOBAL")).unionByName(_offers(rows, 101, F.col("rank").cast("long"), ALL_UP))
     tags = F.concat(F.transform("roles", lambda r: F.concat(F.lit("role "), r)), F.when(F.col("strong") & target, F.array(F.lit("anchor"), F.lit("target"))).when(F.col("strong"), F.array(F.lit("anchor"))).otherwise(F.array().cast("array<string>")))
     preferred = F.col("preferred").cast("int") if "preferred" in candidates.columns else F.lit(0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import round6
+from ..functions.text import hashed_id, round6
 
 # Weights and caps of the two scorers.
 WEIGHTS = {
@@ -26,6 +26,9 @@ WEIGHTS_2 = {
 }
 REPEATED_2 = (0.16, 0.08)
 FAMILY_CAPS_2 = {"IDENTITY": 190, "LEXICAL": 120, "SYMBOL": 64, "STRUCTURAL": 55, "RELATIONSHIP": 18, "GIT": 3}
+#: Rows of evidence that a candidate keeps by where they come from, in all, and of what other candidates lend it (fixed values).
+SOURCE_CAPS_2 = {"IDENTITY": 24, "VERIFIED_LEXICAL": 32, "SYMBOL_OWNERSHIP": 32, "FILE_STRUCTURAL": 32, "TEST_DOCUMENTATION": 32, "RELATIONSHIP": 32, "GIT": 4}
+TOTAL_2, EXPANSION_2 = 96, 32
 SIGNAL_CAP_2, SIGNAL_BONUS, MAX_SIGNAL_BONUS, FAMILY_BONUS, MAX_FAMILY_BONUS = 92, 4, 20, 8, 24
 
 
@@ -122,3 +125,28 @@ def bounded(evidence: DataFrame, caps: dict[str, int], total: int) -> DataFrame:
     kept = evidence.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= F.coalesce(_by("source_kind", caps), F.lit(0))).drop("_n")
     every = Window.partitionBy("task_id", "path").orderBy(F.desc("weight"), "id")
     return kept.withColumn("_n", F.row_number().over(every)).filter(F.col("_n") <= total).drop("_n")
+
+
+def git_2(rows: DataFrame) -> DataFrame:
+    """Git evidence (task_id, path, id, kind, family, weight) of candidates (task_id, path, status, commits): files that differ from
+    the last commit, and files in recent commits, by the logarithm of their number."""
+    dirty = F.when(~F.col("status").isin("clean", "deleted"), F.struct(F.lit("GIT_DIRTY").alias("kind"), F.lit(float(WEIGHTS_2["GIT_DIRTY"])).alias("weight")))
+    recent = round6(F.least(F.lit(float(WEIGHTS_2["GIT_RECENCY"])), F.log2(F.lit(1.0) + F.col("commits"))))
+    recent = F.when(F.col("commits") > 0, F.struct(F.lit("GIT_RECENCY").alias("kind"), recent.alias("weight")))
+    out = rows.select("task_id", "path", F.explode(F.array_compact(F.array(dirty, recent))).alias("e"))
+    return out.select("task_id", "path", hashed_id("evidence", 24, F.col("e.kind"), F.col("path")).alias("id"), "e.kind", F.lit("GIT").alias("family"), "e.weight")
+
+
+def source_of(kind: Column, family: Column) -> Column:
+    """Where evidence of the second search comes from."""
+    return (
+        F.when(family == "GIT", "GIT").when(family == "RELATIONSHIP", "RELATIONSHIP").when(kind.isin("TEST_RELATION", "DOCUMENT_RELATION"), "TEST_DOCUMENTATION").when(family == "STRUCTURAL", "FILE_STRUCTURAL")
+        .when(kind == "VERIFIED_LEXICAL", "VERIFIED_LEXICAL").when(kind == "LEXICAL_SYMBOL_OWNERSHIP", "SYMBOL_OWNERSHIP").otherwise("IDENTITY")
+    )
+
+
+def fused(evidence: DataFrame) -> DataFrame:
+    """Evidence (task_id, path, id, kind, family, weight and more) under the caps of its sources, then of direct and lent rows."""
+    rows = bounded(evidence.withColumn("source_kind", source_of(F.col("kind"), F.col("family"))), SOURCE_CAPS_2, TOTAL_2)
+    lent = F.when(F.col("source_kind").isin("FILE_STRUCTURAL", "TEST_DOCUMENTATION", "RELATIONSHIP"), "LENT").otherwise("DIRECT")
+    return bounded(rows.withColumn("source_kind", lent), {"DIRECT": MAX_DIRECT, "LENT": EXPANSION_2}, TOTAL_2).drop("source_kind")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policies as P
 from ..functions import text as T
-from ..operators import budget, capsule, evaluate, graph, ignore, intervals, pack, provenance, ranges, relationships, review, scoring, whole_pack
+from ..operators import budget, capsule, evaluate, graph, ignore, intervals, pack, provenance, ranges, relationships, review, scoring, task_plan, whole_pack
 from ..operators import evidence as E
 from ..operators import signals as S
 from ..sources import store
@@ -586,34 +586,68 @@ def _whole_pack(spark, sf, tokens=3000):
 
 @query()
 def pack_v2(spark, sf):
-    c = _candidates(spark, sf)
-    roles = F.when(F.col("category") == "test", F.array(F.lit("VALIDATION"))).when(F.col("category") == "source", F.array(F.lit("PRIMARY"))).otherwise(F.array(F.lit("SUPPORT")))
-    levels = _ladder(c)
-    c = c.select("task_id", "path", "rank", roles.alias("roles"), F.col("category").alias("facet"), F.lit("VERIFIED_LEXICAL").alias("directness"), (F.col("category") == "source").alias("strong"))
-    return pack.by_plan(c, levels, 8000, 200, facet="source")
-
+    """Packs by each task's own plan, of the second search's candidates, classified by their evidence."""
+    tasks = B.tasks(spark, sf)
+    found, evidence = _fused(spark, sf, ambiguity=True, ownership=True)
+    files = materialize(B.files(spark, sf))
+    c = scoring.top(found, 64, *_order_2()).select("task_id", "path", "rank", "category").withColumn("language", P.language_of(F.col("path")))
+    c = materialize(task_plan.classify(c, evidence))
+    levels = _ladder(c.join(files.select("path", "text"), "path"))
+    plans = task_plan.pack_plans(task_plan.modes(tasks, task_plan.analyzed(tasks)))
+    return pack.by_plan(c, levels, 8000, 200, plan=plans)
 
 
 @query()
 def search_v2(spark, sf):
-    """The second scorer with structural and relation evidence, fused and ranked by tier first."""
+    """The second scorer with structural, relation and Git evidence, fused under caps and ranked by tier first."""
+    found, _ = _fused(spark, sf)
+    return scoring.top(found, 20, *_order_2()).select("task_id", "rank", "path", "score", "tier")
+
+
+@query()
+def search_v2_ablations(spark, sf):
+    """The ten first files of each task by the second search without ambiguity, without owners, without relations, and without
+    structure: what each part does to the ranking."""
+    out = None
+    for name, left_out in {"NO_AMBIGUITY": {"ambiguity": False}, "NO_OWNERSHIP": {"ownership": False}, "NO_RELATIONS": {"relations": False}, "NO_STRUCTURE": {"structure": False}}.items():
+        found, _ = _fused(spark, sf, **left_out)
+        rows = scoring.top(found, 10, *_order_2()).select(F.lit(name).alias("left_out"), "task_id", "rank", "path", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _order_2():
+    return [F.col("tier"), F.desc("score"), F.desc("signals"), F.desc("families"), P.category_priority(F.col("category")), F.col("path")]
+
+
+def _fused(spark, sf, ambiguity=True, ownership=True, relations=True, structure=True):
+    """(task_id, path, score, tier, signals, families, category) and the evidence (with source and ambiguity) behind it.
+
+    Git speaks of candidates only, and never makes one."""
     files = materialize(B.files(spark, sf))
-    second = _second(spark, sf)
+    second = _second(spark, sf, ambiguity, ownership)
     category = files.select("path", "category")
-    order = [F.col("tier"), F.desc("score"), F.desc("signals"), F.desc("families"), P.category_priority(F.col("category")), F.col("path")]
-    primary = materialize(scoring.top(scoring.fold_score(second).join(category, "path"), scoring.PRIMARY, *order))
+    primary = materialize(scoring.top(scoring.fold_score(second).join(category, "path"), scoring.PRIMARY, *_order_2()))
     links = materialize(graph.merge_edges(graph.link_tests(files).unionByName(_next_edges(files))))
-    found = primary.select("task_id", "path")
-    near = graph.expand(primary.select("task_id", "path", "score", "rank"), links, known=found)
-    near = near.withColumn("weight", F.least(F.lit(55.0), T.round6(F.col("weight") * (0.18 / graph.INHERITED)))).withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("path"), F.col("source"), F.col("distance")))
-    related = relationships.expand(primary, relationships.from_edges(links), found, plan_kinds=("TEST_IMPORT", "TEST_ASSOCIATION"))
-    columns = ["task_id", "path", "id", "kind", "family", "signal", "symbol", "weight"]
+    found = materialize(primary.select("task_id", "path"))
+    columns = ["task_id", "path", "id", "kind", "family", "signal", "symbol", "source", "weight"]
     none = F.lit(None).cast("string")
-    rows = second.join(found, ["task_id", "path"], "left_semi").select(*columns)
-    rows = rows.unionByName(near.join(category.select("path"), "path", "left_semi").withColumn("symbol", none).select(*columns))
-    rows = rows.unionByName(related.select("task_id", "path", T.hashed_id("evidence", 24, F.col("relation_id"), F.col("source"), F.col("kind")).alias("id"), "kind", F.lit("RELATIONSHIP").alias("family"), none.alias("signal"), "symbol", "weight"))
-    final = scoring.fold_score(materialize(rows)).join(category, "path")
-    return scoring.top(final, 20, *order).select("task_id", "rank", "path", "score", "tier")
+    rows = second.join(found, ["task_id", "path"], "left_semi").withColumn("source", none).select(*columns)
+    if structure:
+        near = graph.expand(primary.select("task_id", "path", "score", "rank"), links, known=found)
+        near = near.withColumn("weight", F.least(F.lit(55.0), T.round6(F.col("weight") * (0.18 / graph.INHERITED)))).withColumn("id", T.hashed_id("evidence", 24, F.col("kind"), F.col("path"), F.col("source"), F.col("distance")))
+        rows = rows.unionByName(near.join(category.select("path"), "path", "left_semi").withColumn("symbol", none).select(*columns))
+    if relations:
+        related = relationships.expand(primary, relationships.from_edges(links), found, plan_kinds=("TEST_IMPORT", "TEST_ASSOCIATION"))
+        rows = rows.unionByName(related.select("task_id", "path", T.hashed_id("evidence", 24, F.col("relation_id"), F.col("source"), F.col("kind")).alias("id"), "kind", F.lit("RELATIONSHIP").alias("family"), none.alias("signal"), "symbol", "source", "weight"))
+    rows = materialize(rows)
+    known = rows.select("task_id", "path").distinct()
+    busy = B.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
+    changes = files.join(busy, F.col("doc_id") == F.col("user_id")).select("path", F.when(F.col("doc_id") % 5 == 0, "modified").otherwise("clean").alias("status"), "commits")
+    git = scoring.git_2(known.join(changes, "path"))
+    rows = rows.unionByName(git.withColumns({"symbol": none, "source": none, "signal": none}).select(*columns))
+    rows = materialize(scoring.fused(rows))
+    return materialize(scoring.fold_score(rows.drop("source")).join(category, "path")), rows.withColumn("ambiguity", F.when(F.col("kind") == "AMBIGUOUS_SYMBOL", "COLLIDING"))
 
 
 RELATED = f"""{EDGES}, rel AS (SELECT CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'FILE_DEPENDS_ON_FILE' ELSE 'TEST_ASSOCIATED_WITH_FILE' END AS type, source_path, target_path, CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'EXACT' ELSE 'HIGH' END AS confidence, CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'STRUCTURAL_FACT' ELSE 'HEURISTIC' END AS classification FROM edges WHERE kind <> 'DOCUMENT_RELATES_TO_FILE')"""
@@ -764,3 +798,44 @@ def _selection(spark, sf):
     gold_files = files.filter("doc_id % 3 = 0").select("path", "doc_id", (F.col("doc_id") % 10).alias("task_id"))
     ranges_ = symbols.filter(f"{_RANGES} AND doc_id % 2 = 0 AND doc_id % 3 = 0")
     return symbols.filter(_SELECTED).select("task_id", "path", "start_line", "end_line"), files.select("path", T.logical_lines(F.col("text")).alias("lines")), gold_files, ranges_
+
+
+# ---- plans of tasks ----
+
+_ANY = lambda names: f"list_has_any(c, {names})"
+_INNER = "[^\"''`\\r\\n]{1,256}"
+_QUOTED = f"list_transform(regexp_extract_all(text, '\"{_INNER}\"|''{_INNER}''|`{_INNER}`'), lambda x: {B.norm('substr(x, 2, len(x) - 2)')})"
+_ACTED = ", ".join(f"{_HELD(p)} AS {name.lower()}_" for name, p in review.ACTIONS)
+_MODES = f"""{TURNS}, q AS (SELECT task_id, {_QUOTED} AS quoted, list_filter([{_CONCEPTS}], lambda x: x IS NOT NULL) AS c, {_ACTED}, {_HELD(task_plan.TEST_FAILURE)} AS failing FROM tasks),
+k AS (SELECT task_id, bool_or(list_contains(quoted, normalized) OR kind IN ('PATH', 'QUALIFIED_IDENTIFIER')) AS exact, bool_or(NOT low_value AND (list_contains(quoted, normalized) OR kind NOT IN ('NATURAL_TERM', 'CJK_TERM'))) AS behaves FROM signals JOIN q USING (task_id) GROUP BY task_id),
+m AS (SELECT task_id, CASE WHEN fix_ THEN 'FIX' WHEN refactor_ THEN 'REFACTOR' WHEN review_ THEN 'REVIEW' WHEN understand_ THEN 'UNDERSTAND' WHEN test_ THEN 'TEST' ELSE 'CHANGE' END AS action,
+  CASE WHEN failing THEN 'TEST_FAILURE' WHEN {_ANY("['CONCURRENCY', 'TRANSACTION_OR_LOCK']")} THEN 'CONCURRENCY' WHEN {_ANY("['CONFIGURATION']")} THEN 'CONFIGURATION' WHEN {_ANY("['DOCUMENTATION']")} THEN 'ARCHITECTURE'
+    WHEN exact THEN 'EXACT_TARGET' WHEN behaves THEN 'BEHAVIORAL' ELSE 'GENERAL' END AS mode FROM q LEFT JOIN k USING (task_id))"""
+
+
+def _modes(spark, sf):
+    turns = B.turns(spark, sf)
+    return task_plan.modes(turns, task_plan.analyzed(turns))
+
+
+@query(f"""{_MODES} SELECT task_id, action, mode,
+  CASE WHEN action = 'REFACTOR' OR mode = 'CONCURRENCY' THEN 'PRIMARY,IMPACT,VALIDATION' WHEN action = 'TEST' OR mode = 'TEST_FAILURE' THEN 'PRIMARY,VALIDATION,IMPACT'
+    WHEN action IN ('UNDERSTAND', 'REVIEW') OR mode = 'ARCHITECTURE' THEN 'PRIMARY,IMPACT,SUPPORT' ELSE 'PRIMARY,IMPACT,VALIDATION' END AS roles,
+  CASE WHEN mode = 'TEST_FAILURE' OR action = 'TEST' THEN 'VALIDATION' WHEN mode = 'CONFIGURATION' THEN 'CONFIGURATION' WHEN mode = 'ARCHITECTURE' OR action IN ('UNDERSTAND', 'REVIEW') THEN 'DOCUMENTATION'
+    WHEN NOT (mode = 'GENERAL' AND action = 'CHANGE') AND action IN ('FIX', 'CHANGE', 'REFACTOR') THEN 'IMPLEMENTATION' END AS facet FROM m""")
+def task_plans(spark, sf):
+    """Action, mode, the roles that have a turn of their own, and the kind of file that each user turn is after."""
+    found = _modes(spark, sf)
+    plans = task_plan.pack_plans(found)
+    return found.join(plans, "task_id").select("task_id", "action", "mode", F.array_join(task_plan.role_order(F.col("weights")), ",").alias("roles"), "facet")
+
+
+@query(f"""{_MODES}, t AS (SELECT 'CONCURRENCY' AS mode, ['PRIMARY_IMPLEMENTATION!6', 'STATE_OWNER!4', 'CALLER_OR_DEPENDENT+4', 'TEST+4', 'REPOSITORY_INSTRUCTION+1'] AS s
+  UNION ALL SELECT 'TEST_FAILURE', ['TEST!4', 'PRIMARY_IMPLEMENTATION!6', 'STATE_OWNER+4', 'REPOSITORY_INSTRUCTION+1'] UNION ALL SELECT 'CONFIGURATION', ['CONFIGURATION!4', 'PRIMARY_IMPLEMENTATION!6', 'TEST+4', 'DOCUMENTATION?2', 'REPOSITORY_INSTRUCTION+1']
+  UNION ALL SELECT 'ARCHITECTURE', ['DOCUMENTATION!4', 'PRIMARY_IMPLEMENTATION+6', 'TEST?2', 'REPOSITORY_INSTRUCTION+1'] UNION ALL SELECT 'EXACT_TARGET', ['PRIMARY_IMPLEMENTATION!6', 'CALLER_OR_DEPENDENT+4', 'TEST+4', 'REPOSITORY_INSTRUCTION+1']
+  UNION ALL SELECT unnest(['BEHAVIORAL', 'GENERAL']), ['PRIMARY_IMPLEMENTATION!6', 'STATE_OWNER+4', 'CALLER_OR_DEPENDENT+4', 'TEST+4', 'DOCUMENTATION?2', 'REPOSITORY_INSTRUCTION+1']),
+x AS (SELECT task_id, unnest(s) AS s, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS place FROM m JOIN t USING (mode))
+SELECT task_id, place, regexp_extract(s, '^[A-Z_]+') AS role, CASE WHEN contains(s, '!') THEN 'REQUIRED' WHEN contains(s, '+') THEN 'PREFERRED' ELSE 'OPTIONAL' END AS priority, CASE WHEN contains(s, '!') THEN 1 ELSE 0 END AS least, CAST(s[-1] AS INTEGER) AS most FROM x""")
+def context_sections(spark, sf):
+    """The sections that each user turn's context has, by its mode."""
+    return task_plan.sections(_modes(spark, sf)).select("task_id", "place", "role", "priority", "least", "most")
