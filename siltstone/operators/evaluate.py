@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round6
+from .provenance import violations
 
 CUTOFFS = [1, 3, 5, 10, 20]
 
@@ -49,8 +50,50 @@ def summary(points: DataFrame, *by: str) -> DataFrame:
     return points.groupBy(*by).agg(F.count("*").alias("n"), round6(F.avg("recall")).alias("mean"), round6(F.percentile("recall", F.lit(0.5))).alias("median"), round6(F.percentile("recall", F.lit(0.95))).alias("p95"))
 
 
+#: Languages whose files are analysed (fixed values).
+SUPPORTED = ["typescript", "javascript", "tsx", "jsx", "python", "mixed"]
+NEAR = 20
+
+
 def failures(gold: DataFrame, ranked: DataFrame, selected: DataFrame) -> DataFrame:
     """(task_id, path, cause) of required gold files that are not selected: never in the first 20, or lost in packing."""
     need = gold.filter("importance = 'REQUIRED'").join(selected.select("task_id", "path"), ["task_id", "path"], "left_anti")
-    near = ranked.filter("rank <= 20").select("task_id", "path", F.lit(True).alias("near"))
-    return need.join(near, ["task_id", "path"], "left").select("task_id", "path", F.when(F.col("near"), "PACKING_DROP").otherwise("RETRIEVAL_MISS").alias("cause"))
+    near = ranked.filter(F.col("rank") <= NEAR).select("task_id", "path", F.lit(True).alias("near"))
+    return need.join(near.distinct(), ["task_id", "path"], "left").select("task_id", "path", F.when(F.col("near"), "PACKING_DROP").otherwise("RETRIEVAL_MISS").alias("cause"))
+
+
+def attribution(tasks: DataFrame, gold: DataFrame, ranked: DataFrame, selected: DataFrame) -> DataFrame:
+    """(task_id, outcome, primary_cause, causes) of tasks (task_id, status, whole_file_left_out, languages).
+
+    A task fails if required gold is not selected; causes are all that apply, sorted, and the primary one is the first of a
+    cascade over the stages: what retrieval never found, what no budget allowed, what packing dropped, what is unsupported."""
+    lost = failures(gold, ranked, selected).groupBy("task_id").agg(F.collect_set("cause").alias("lost"))
+    rows = tasks.join(lost, "task_id", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<string>")))
+    limit = F.coalesce((F.col("status") == "NO_CONTEXT") | F.col("whole_file_left_out"), F.lit(False))
+    foreign = F.coalesce(F.exists("languages", lambda x: ~x.isin(SUPPORTED)), F.lit(False))
+    causes = F.array_sort(F.array_compact(F.concat(F.col("lost"), F.array(F.when(limit, F.lit("BUDGET_LIMIT")), F.when(foreign, F.lit("UNSUPPORTED"))))))
+    causes = F.when(F.size("lost") > 0, causes).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("task_id", causes.alias("causes"))
+    order = F.array(*[F.lit(x) for x in ("RETRIEVAL_MISS", "BUDGET_LIMIT", "PACKING_DROP", "UNSUPPORTED")])
+    first = F.get(F.array_intersect(order, F.col("causes")), F.lit(0))
+    outcome = F.when(F.size("causes") == 0, "SUCCESS").when(F.array_contains("causes", "RETRIEVAL_MISS"), "FAILURE").otherwise("WEAKNESS")
+    return rows.select("task_id", outcome.alias("outcome"), F.coalesce(first, F.lit("NO_PRIMARY_FAILURE")).alias("primary_cause"), "causes")
+
+
+def failure_matrix(attributed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, primary_cause, tasks, share): how the tasks of each group (task_id, group) end, and what part of the group that is."""
+    rows = attributed.join(groups, "task_id").groupBy("group", "primary_cause").agg(F.count("*").alias("tasks"))
+    total = rows.groupBy("group").agg(F.sum("tasks").alias("total"))
+    return rows.join(total, "group").select("group", "primary_cause", "tasks", ratio(F.col("tasks"), F.col("total")).alias("share"))
+
+
+def matrix_violations(attributed: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(check, violations) of a failure matrix (task_id, outcome, primary_cause, causes) over all tasks (task_id)."""
+    success = F.col("outcome") == "SUCCESS"
+    return violations({
+        "task_unknown": attributed.join(tasks, "task_id", "left_anti"),
+        "task_not_classified": tasks.join(attributed, "task_id", "left_anti"),
+        "task_classified_twice": attributed.groupBy("task_id").count().filter("count > 1"),
+        "success_with_a_cause": attributed.filter(success != (F.col("primary_cause") == "NO_PRIMARY_FAILURE")),
+        "primary_not_among_causes": attributed.filter(~success & ~F.array_contains("causes", F.col("primary_cause"))),
+    })

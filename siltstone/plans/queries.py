@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policies as P
 from ..functions import text as T
-from ..operators import budget, capsule, evaluate, graph, ignore, intervals, pack, provenance, ranges, relationships, review, scoring, task_plan, whole_pack
+from ..operators import budget, capsule, evaluate, graph, hash_tree, ignore, intervals, pack, provenance, ranges, relationships, review, scoring, task_plan, whole_pack
 from ..operators import evidence as E
 from ..operators import signals as S
 from ..sources import store
@@ -839,3 +839,72 @@ SELECT task_id, place, regexp_extract(s, '^[A-Z_]+') AS role, CASE WHEN contains
 def context_sections(spark, sf):
     """The sections that each user turn's context has, by its mode."""
     return task_plan.sections(_modes(spark, sf)).select("task_id", "place", "role", "priority", "least", "most")
+
+
+# ---- trees, histories, failures ----
+
+
+def _hashed_level(k: int) -> str:
+    """SQL: f{k}, the folders of level k, from the files and folders below."""
+    below = f"SELECT path, 'file' AS kind, 1 AS n, hash FROM leaf WHERE depth = {k + 1}" + (f" UNION ALL SELECT path, 'folder', n, hash FROM f{k + 1}" if k < 3 else "")
+    return f"""b{k} AS (SELECT parent, bucket, sum(n) AS n, sha256(string_agg(name || chr(0) || kind || chr(0) || hash, chr(10) ORDER BY name, kind, hash)) AS hash FROM (
+    SELECT regexp_replace(path, '/?[^/]*$', '') AS parent, string_split(path, '/')[-1] AS name, left(sha256(string_split(path, '/')[-1]), 3) AS bucket, kind, n, hash FROM ({below})) GROUP BY parent, bucket),
+f{k} AS (SELECT parent AS path, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(bucket || chr(0) || hash, chr(10) ORDER BY bucket)) AS hash FROM b{k} GROUP BY parent)"""
+
+
+@query(f"""{FILES}, leaf AS (SELECT path, min(hash) AS hash, len(string_split(path, '/')) AS depth FROM files GROUP BY path), {", ".join(_hashed_level(k) for k in (3, 2, 1, 0))}
+{" UNION ALL ".join(f"SELECT path, CAST({k} AS INTEGER) AS depth, n AS files, hash FROM f{k}" for k in range(4))}""")
+def hash_folders(spark, sf):
+    """The hash of every folder of the documents' tree."""
+    return hash_tree.folders(B.files(spark, sf).select("path", "hash"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT 'c' || (o_orderkey % 997) AS id, CAST(o_orderdate AS TIMESTAMP) AS saved_at, repeat('x', CAST((o_orderkey % 997) % 300 AS INTEGER)) AS body, o_orderkey AS k FROM orders),
+h AS (SELECT id, count(*) AS n FROM i WHERE k % 50 = 0 GROUP BY id), held AS (SELECT count(*) AS n, 10 * count(*) AS bytes FROM h),
+c AS (SELECT *, len(body) AS bytes, row_number() OVER (PARTITION BY id ORDER BY saved_at, k) AS turn FROM i),
+o AS (SELECT *, CASE WHEN id IN (SELECT id FROM h) OR turn > 1 THEN 'KNOWN' WHEN bytes > 280 THEN 'TOO_LARGE' END AS state FROM c),
+f AS (SELECT id, bytes, row_number() OVER (ORDER BY saved_at, id) AS i FROM o WHERE state IS NULL), l AS (SELECT list(bytes ORDER BY i) AS sizes FROM f),
+w AS (SELECT 0 AS i, CAST(held.bytes AS BIGINT) AS spent, held.n AS n, CAST(NULL AS BOOLEAN) AS taken, sizes FROM l, held
+  UNION ALL SELECT i + 1, CASE WHEN n < 150 AND spent + sizes[i + 1] <= 15000 THEN spent + sizes[i + 1] ELSE spent END, CASE WHEN n < 150 AND spent + sizes[i + 1] <= 15000 THEN n + 1 ELSE n END, n < 150 AND spent + sizes[i + 1] <= 15000, sizes FROM w WHERE i < len(sizes))
+SELECT id, outcome, count(*) AS rows FROM (SELECT o.id, coalesce(state, CASE WHEN (SELECT taken FROM w JOIN f USING (i) WHERE f.id = o.id) THEN 'SAVED' ELSE 'FULL' END) AS outcome FROM o) GROUP BY ALL""")
+def history_saved(spark, sf):
+    """Orders as capsules whose ids repeat: what a history of 150 entries and 15,000 bytes takes, in order of date."""
+    k = F.col("o_orderkey")
+    rows = B.table(spark, sf, "orders").select(F.concat(F.lit("c"), (k % 997).cast("string")).alias("id"), F.col("o_orderdate").cast("timestamp").alias("saved_at"), F.expr("repeat('x', cast(o_orderkey % 997 % 300 as int))").alias("body"), k.alias("k"))
+    history = rows.filter("k % 50 = 0").select("id").distinct().withColumn("bytes", F.lit(10).cast("long"))
+    return store.save(history, rows.select("id", "saved_at", "body"), 150, 15_000, 280).groupBy("id", "outcome").agg(F.count("*").alias("rows"))
+
+
+_FAILING = """WITH gold AS (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS path, l_linenumber % 2 = 1 AS required FROM lineitem),
+ranked AS (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS path FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_partkey % 30 < 20), sel AS (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS path FROM lineitem WHERE l_quantity > 25),
+t AS (SELECT o_orderkey AS task_id, o_orderkey % 17 = 0 OR o_orderkey % 23 = 0 AS lim, left(o_orderpriority, 1) IN ('1', '4') AS foreign_, o_orderpriority AS grp FROM orders),
+lost AS (SELECT task_id, bool_or(near) AS packed, bool_or(NOT near) AS missed FROM (SELECT g.*, EXISTS (SELECT 1 FROM ranked r WHERE r.task_id = g.task_id AND r.path = g.path) AS near FROM gold g WHERE required AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.task_id = g.task_id AND s.path = g.path)) GROUP BY task_id),
+a AS (SELECT t.task_id, grp, CASE WHEN lost.task_id IS NULL THEN 'SUCCESS' WHEN missed THEN 'FAILURE' ELSE 'WEAKNESS' END AS outcome,
+  CASE WHEN lost.task_id IS NULL THEN 'NO_PRIMARY_FAILURE' WHEN missed THEN 'RETRIEVAL_MISS' WHEN lim THEN 'BUDGET_LIMIT' ELSE 'PACKING_DROP' END AS primary_cause,
+  CASE WHEN lost.task_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN lim THEN 'BUDGET_LIMIT' END, CASE WHEN packed THEN 'PACKING_DROP' END, CASE WHEN missed THEN 'RETRIEVAL_MISS' END, CASE WHEN foreign_ THEN 'UNSUPPORTED' END) END AS causes FROM t LEFT JOIN lost USING (task_id))"""
+
+
+def _attributed(spark, sf):
+    line = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_partkey").alias("path"), "l_suppkey", "l_quantity", "l_linenumber")
+    gold = line.select("task_id", "path", F.when(F.col("l_linenumber") % 2 == 1, "REQUIRED").otherwise("SUPPORTING").alias("importance")).distinct()
+    ranked = line.filter("l_suppkey % 3 <> 0").select("task_id", "path", (F.col("path") % 30 + 1).alias("rank"))
+    selected = line.filter("l_quantity > 25").select("task_id", "path").distinct()
+    key, first = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    languages = F.when(first == "1", F.array(F.lit("python"), F.lit("rust"))).when(first == "4", F.array(F.lit("go"))).otherwise(F.array(F.lit("typescript"), F.lit("mixed")))
+    tasks = B.table(spark, sf, "orders").select(key.alias("task_id"), F.when(key % 17 == 0, "NO_CONTEXT").otherwise("COMPLETE").alias("status"), (key % 23 == 0).alias("whole_file_left_out"), languages.alias("languages"), F.col("o_orderpriority").alias("group"))
+    return evaluate.attribution(tasks, gold, ranked, selected), tasks
+
+
+@query(f"{_FAILING} SELECT task_id, outcome, primary_cause, causes FROM a")
+def failure_attribution(spark, sf):
+    """Orders as tasks and their lines as gold: why required gold was not selected."""
+    found, _ = _attributed(spark, sf)
+    return found.select("task_id", "outcome", "primary_cause", F.array_join("causes", ",").alias("causes"))
+
+
+@query(f"""{_FAILING}, n AS (SELECT grp, primary_cause, count(*) AS tasks FROM a GROUP BY ALL)
+SELECT grp AS "group", primary_cause, tasks, {R6("tasks / sum(tasks) OVER (PARTITION BY grp)")} AS share FROM n""")
+def failure_matrix(spark, sf):
+    """The same tasks by priority and primary cause."""
+    found, tasks = _attributed(spark, sf)
+    return evaluate.failure_matrix(found, tasks.select("task_id", "group"))

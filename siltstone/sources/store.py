@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import budget
+from .shared import materialize
+
 #: A lock that old is a dead writer's.
 LOCK_SECONDS = 24 * 3600
 
@@ -127,9 +130,39 @@ def reuse(previous: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame
     return previous.join(current.select(*keys), keys, "left_semi"), current.join(previous.select(*keys), keys, "left_anti")
 
 
-def prune(history: DataFrame, keep: int) -> DataFrame:
-    """The newest rows of a history (saved_at, id)."""
-    return history.orderBy(F.desc("saved_at"), "id").limit(keep)
+#: Saved capsules, their bytes in all, and of one (fixed values).
+MAX_ENTRIES, MAX_STORED, MAX_CAPSULE = 2000, 256 << 20, 8 << 20
+
+
+def save(history: DataFrame, capsules: DataFrame, most_entries: int = MAX_ENTRIES, most_bytes: int = MAX_STORED, most_each: int = MAX_CAPSULE) -> DataFrame:
+    """capsules (id, saved_at, body and more) with outcome: SAVED, KNOWN (the id is in history (id, bytes), or comes up earlier),
+    TOO_LARGE, or FULL: it would exceed the entries or bytes that are left. First come, first saved, by saved_at and id.
+
+    Ids are hashes of contents, so saving again changes nothing; what is SAVED is to be appended to the history."""
+    bytes_ = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("saved_at", F.xxhash64("body"))) == 1
+    rows = capsules.withColumn("bytes", bytes_).withColumn("first", first).join(history.select("id", F.lit(True).alias("known")).distinct(), "id", "left")
+    state = F.when(F.col("known").isNotNull() | ~F.col("first"), "KNOWN").when(F.col("bytes") > most_each, "TOO_LARGE")
+    rows = materialize(rows.withColumn("outcome", state))
+    held = history.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    fresh = rows.filter("outcome is null").select(F.lit(0).alias("task_id"), F.col("id").alias("path"), F.unix_micros("saved_at").alias("turn"), F.col("bytes").alias("size"))
+    fits = budget.within(fresh, max(0, most_entries - held["n"]), max(0, most_bytes - held["bytes"])).filter("taken").select(F.col("path").alias("id"), F.lit(True).alias("fits"))
+    out = rows.join(fits, "id", "left")
+    return out.withColumn("outcome", F.coalesce("outcome", F.when(F.col("fits"), "SAVED").otherwise("FULL"))).select(*capsules.columns, "bytes", "outcome")
+
+
+def prune(history: DataFrame, keep: int, most_bytes: int | None = None) -> DataFrame:
+    """The newest rows of a history (saved_at, id, bytes): `keep` of them, and no more than most_bytes in all (a row that does not
+    fit is passed over)."""
+    if most_bytes is None:
+        return history.orderBy(F.desc("saved_at"), "id").limit(keep)
+    rows = history.select(F.lit(0).alias("task_id"), F.col("id").alias("path"), (-F.unix_micros("saved_at")).alias("turn"), F.col("bytes").alias("size"))
+    return history.join(budget.within(rows, keep, most_bytes).filter("taken").select(F.col("path").alias("id")), "id", "left_semi")
+
+
+def stats(history: DataFrame) -> DataFrame:
+    """(count, bytes) of a history."""
+    return history.agg(F.count("*").alias("count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
 def page(history: DataFrame, limit: int, offset: int) -> DataFrame:
