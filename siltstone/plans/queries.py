@@ -908,3 +908,40 @@ def failure_matrix(spark, sf):
     """The same tasks by priority and primary cause."""
     found, tasks = _attributed(spark, sf)
     return evaluate.failure_matrix(found, tasks.select("task_id", "group"))
+
+
+# ---- reviews ----
+
+_CHANGED = """c AS (SELECT l_orderkey AS review_id, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'A' WHEN 2 THEN 'M' ELSE 'R090' END AS code, CASE WHEN l_partkey % 19 = 0 THEN 'src/.env' ELSE 'part/' || l_partkey END AS path,
+  CASE WHEN l_suppkey % 13 = 0 THEN 'node_modules/' || l_suppkey ELSE 'old/' || l_suppkey END AS old FROM lineitem WHERE l_orderkey % 7 = 0),
+k AS (SELECT review_id, path, CASE WHEN code = 'R090' THEN old END AS previous_path, CASE code WHEN 'D' THEN 'DELETED' WHEN 'A' THEN 'ADDED' WHEN 'M' THEN 'MODIFIED' ELSE 'RENAMED' END AS status,
+  path = 'src/.env' OR code = 'R090' AND starts_with(old, 'node_modules/') AS excluded FROM c)"""
+
+
+def _name_status(spark, sf):
+    """An order's lines as the records of a change set: (review_id, records)."""
+    line = B.table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0")
+    n, text = F.col("l_linenumber") % 4, lambda c: F.col(c).cast("string")
+    code = F.when(n == 0, "D").when(n == 1, "A").when(n == 2, "M").otherwise("R090")
+    path = F.when(F.col("l_partkey") % 19 == 0, "src/.env").otherwise(F.concat(F.lit("part/"), text("l_partkey")))
+    old = F.when(F.col("l_suppkey") % 13 == 0, F.concat(F.lit("node_modules/"), text("l_suppkey"))).otherwise(F.concat(F.lit("old/"), text("l_suppkey")))
+    record = F.concat(code, F.lit("\x00"), F.when(n == 3, F.concat(old, F.lit("\x00"))).otherwise(""), path, F.lit("\x00"))
+    rows = line.select(F.col("l_orderkey").alias("review_id"), F.struct("l_linenumber", "l_partkey", record.alias("r")).alias("x"))
+    return rows.groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), "").alias("records"))
+
+
+@query(f"WITH {_CHANGED} SELECT review_id, path, previous_path, status, excluded FROM k")
+def review_changes(spark, sf):
+    """Change sets read from records that NUL ends, renames with two paths."""
+    return review.changes_of(_name_status(spark, sf)).select("review_id", "path", "previous_path", "status", "excluded")
+
+
+@query(f"""{EDGES}, {_CHANGED}, own AS (SELECT DISTINCT review_id, path FROM k WHERE NOT excluded), hit AS (SELECT DISTINCT review_id, e.edge_id, source_path, target_path FROM edges e JOIN own ON own.path = e.source_path OR own.path = e.target_path),
+near AS (SELECT DISTINCT review_id, p AS path FROM (SELECT review_id, unnest([source_path, target_path]) AS p FROM hit) WHERE (review_id, p) NOT IN (SELECT (review_id, path) FROM own)),
+f AS (SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY distance, path) AS INTEGER) AS place, path, distance FROM (SELECT *, 0 AS distance FROM own UNION ALL SELECT *, 1 FROM near))
+SELECT review_id, place, path, CAST(distance AS INTEGER) AS distance FROM f WHERE place <= 100""")
+def review_impact(spark, sf):
+    """Changed parts and what is one relation away: the files of each review, in order."""
+    changes = review.changes_of(_name_status(spark, sf)).filter("not excluded and problem is null")
+    found, _ = review.impact(materialize(changes), materialize(B.edges(spark, sf)))
+    return found
