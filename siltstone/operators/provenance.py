@@ -56,6 +56,30 @@ def stale_sources(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return recorded.join(current, ["path", "hash"], "left_anti")
 
 
+def replay(recorded: DataFrame, sources: DataFrame, current: DataFrame, supplied: DataFrame, reproduced: DataFrame, indexed: bool = True) -> DataFrame:
+    """(capsule_hash, status, reproduced_hash, payload_matches, changed): what running recorded capsules again shows.
+
+    recorded: (capsule_hash, task, task_hash, strategy, payload_hash, inspect_only), task being null if it was not kept; sources:
+    (capsule_hash, path, hash) of each; current: (path, hash) now; supplied: (capsule_hash, task) given for the run; reproduced:
+    (capsule_hash, reproduced_hash, strategy, payload_hash), a row for each that could be compiled again; indexed: is there an
+    active generation. The first that applies: INSPECTED, TASK_MISMATCH, TASK_REQUIRED, SOURCE_CHANGED, CANNOT_REPRODUCE,
+    STRATEGY_UNAVAILABLE, EXACT_MATCH, PAYLOAD_MATCH_PROVENANCE_CHANGED, PAYLOAD_CHANGED."""
+    stale = stale_sources(sources, current).groupBy("capsule_hash").agg(F.array_sort(F.collect_set("path")).alias("stale"))
+    given = supplied.select("capsule_hash", F.col("task").alias("given"))
+    again = reproduced.select("capsule_hash", "reproduced_hash", F.col("strategy").alias("again"), F.col("payload_hash").alias("payload"), F.lit(True).alias("ran"))
+    rows = recorded.join(given, "capsule_hash", "left").join(stale, "capsule_hash", "left").join(again, "capsule_hash", "left")
+    known = F.sha2(F.coalesce("given", "task"), 256) == F.col("task_hash")
+    same = F.col("payload").eqNullSafe(F.col("payload_hash"))
+    status = (
+        F.when(F.col("inspect_only"), "INSPECTED").when(F.col("given").isNotNull() & ~known, "TASK_MISMATCH").when(~F.coalesce(known, F.lit(False)), "TASK_REQUIRED")
+        .when(F.col("stale").isNotNull(), "SOURCE_CHANGED").when(F.lit(not indexed) | F.col("ran").isNull(), "CANNOT_REPRODUCE").when(~F.col("again").eqNullSafe(F.col("strategy")), "STRATEGY_UNAVAILABLE")
+        .when(F.col("reproduced_hash") == F.col("capsule_hash"), "EXACT_MATCH").when(same, "PAYLOAD_MATCH_PROVENANCE_CHANGED").otherwise("PAYLOAD_CHANGED")
+    )
+    ran = status.isin("EXACT_MATCH", "PAYLOAD_MATCH_PROVENANCE_CHANGED", "PAYLOAD_CHANGED")
+    changed = F.when(status == "SOURCE_CHANGED", F.col("stale")).otherwise(F.array().cast("array<string>"))
+    return rows.select("capsule_hash", status.alias("status"), F.when(ran, F.col("reproduced_hash")).alias("reproduced_hash"), F.when(ran, same).alias("payload_matches"), changed.alias("changed"))
+
+
 def invalid_controls(controls: DataFrame) -> DataFrame:
     """(path, problem) of controls (kind, path, start_line, end_line): unknown kinds, duplicates, conflicts, bad ranges, and
     more than MAX_CONTROLS of them (without a path)."""

@@ -945,3 +945,24 @@ def review_impact(spark, sf):
     changes = review.changes_of(_name_status(spark, sf)).filter("not excluded and problem is null")
     found, _ = review.impact(materialize(changes), materialize(B.edges(spark, sf)))
     return found
+
+
+@query("""WITH o AS (SELECT *, o_orderkey AS k, 'task ' || o_custkey AS t FROM orders WHERE o_orderkey % 3 = 0),
+s AS (SELECT k, list_sort(list(DISTINCT 'part/' || l_partkey)) AS stale FROM o JOIN lineitem ON l_orderkey = k WHERE l_partkey % 97 = 0 OR l_partkey % 89 = 0 GROUP BY k)
+SELECT CAST(k AS VARCHAR) AS capsule_hash, CASE WHEN k % 31 = 0 THEN 'INSPECTED' WHEN k % 20 = 0 THEN 'TASK_MISMATCH' WHEN k % 5 = 0 AND k % 10 <> 0 THEN 'TASK_REQUIRED' WHEN stale IS NOT NULL THEN 'SOURCE_CHANGED'
+  WHEN k % 13 = 0 THEN 'CANNOT_REPRODUCE' WHEN k % 11 = 0 THEN 'STRATEGY_UNAVAILABLE' WHEN k % 4 <> 0 THEN 'EXACT_MATCH' WHEN k % 7 <> 0 THEN 'PAYLOAD_MATCH_PROVENANCE_CHANGED' ELSE 'PAYLOAD_CHANGED' END AS status,
+  CASE WHEN k % 31 <> 0 AND k % 20 <> 0 AND NOT (k % 5 = 0 AND k % 10 <> 0) THEN array_to_string(stale, ',') END AS changed FROM o LEFT JOIN s USING (k)""")
+def replay_status(spark, sf):
+    """Orders as recorded capsules and their parts as sources: how running each again ends."""
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    orders = B.table(spark, sf, "orders").filter("o_orderkey % 3 = 0").withColumn("id", text(k)).withColumn("t", F.concat(F.lit("task "), text(F.col("o_custkey"))))
+    recorded = orders.select(F.col("id").alias("capsule_hash"), F.when(k % 5 != 0, F.col("t")).alias("task"), F.sha2("t", 256).alias("task_hash"), F.lit("v1").alias("strategy"), F.lit("p").alias("payload_hash"), (k % 31 == 0).alias("inspect_only"))
+    supplied = orders.filter(k % 10 == 0).select(F.col("id").alias("capsule_hash"), F.when(k % 20 == 0, "other").otherwise(F.col("t")).alias("task"))
+    reproduced = orders.filter(k % 13 != 0).select(F.col("id").alias("capsule_hash"), F.when(k % 4 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id")).alias("reproduced_hash"), F.when(k % 11 == 0, "v2").otherwise("v1").alias("strategy"), F.when((k % 4 == 0) & (k % 7 == 0), "q").otherwise("p").alias("payload_hash"))
+    part = lambda c: F.concat(F.lit("part/"), text(F.col(c)))
+    sources = B.table(spark, sf, "lineitem").select(text(F.col("l_orderkey")).alias("capsule_hash"), part("l_partkey").alias("path"), F.sha2(part("l_partkey"), 256).alias("hash"))
+    sources = sources.join(recorded.select("capsule_hash"), "capsule_hash", "left_semi")
+    current = B.table(spark, sf, "part").filter("p_partkey % 89 <> 0").select(part("p_partkey").alias("path"), F.sha2(F.when(F.col("p_partkey") % 97 == 0, "edited").otherwise(part("p_partkey")), 256).alias("hash"))
+    found = provenance.replay(recorded, sources, current, supplied, reproduced)
+    stale = F.when(~F.col("status").isin("INSPECTED", "TASK_MISMATCH", "TASK_REQUIRED"), F.when(F.size("changed") > 0, F.array_join("changed", ",")))
+    return found.select("capsule_hash", "status", stale.alias("changed"))
