@@ -22,7 +22,7 @@ CONFIGURATION = [
     ".editorconfig", ".gitattributes", ".gitignore", ".npmrc", "biome.json", "cargo.toml", "composer.json", "deno.json", "eslint.config.js", "eslint.config.mjs",
     "go.mod", "package-lock.json", "package.json", "pnpm-lock.yaml", "pyproject.toml", "requirements.txt", "tsconfig.json", "vite.config.js", "vite.config.ts", "yarn.lock",
 ]
-ANALYSED = {"js": "JAVASCRIPT", "cjs": "JAVASCRIPT", "mjs": "JAVASCRIPT", "jsx": "JSX", "ts": "TYPESCRIPT", "cts": "TYPESCRIPT", "mts": "TYPESCRIPT", "tsx": "TSX", "py": "PYTHON"}
+ANALYSED = {"js": "javascript", "cjs": "javascript", "mjs": "javascript", "jsx": "jsx", "ts": "typescript", "cts": "typescript", "mts": "typescript", "tsx": "tsx", "py": "python"}
 
 
 def segments(path: Column) -> Column:

@@ -9,7 +9,10 @@ from ..functions import text as T
 
 # Fixed values.
 LOW_VALUE = ["a", "an", "bug", "change", "could", "fix", "make", "please", "should", "the", "this", "update"]
-FILE_EXTENSIONS = "cjs css cts html ini java js json jsx md mjs mts py rb rs scss sh sql toml ts tsx txt xml yaml yml".split()
+FILE_EXTENSIONS = [
+    "cjs", "css", "cts", "html", "ini", "java", "js", "json", "jsx", "md", "mjs", "mts", "py", "rb", "rs", "scss", "sh", "sql",
+    "toml", "ts", "tsx", "txt", "xml", "yaml", "yml",
+]
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 PHRASE = r"(?i)\b(?:BEGIN\s+IMMEDIATE|SELECT\s+FOR\s+UPDATE)\b"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policies as P
 from ..functions import text as T
+from ..operators.signals import FILE_EXTENSIONS
 
 #: A document's place in the tree, by its id modulo 8, so that every category occurs.
 PLACES = ["src/doc_{}.ts", "tests/doc_{}.test.ts", "docs/doc_{}.md", "config/doc_{}.json", "gen/doc_{}.py", "external/doc_{}.js", "assets/doc_{}.png", "misc/doc_{}"]
@@ -99,7 +100,7 @@ def parts(x: str) -> str:
 
 
 def kind(x: str) -> str:
-    exts = ", ".join(f"'{e}'" for e in "cjs css cts html ini java js json jsx md mjs mts py rb rs scss sh sql toml ts tsx txt xml yaml yml".split())
+    exts = ", ".join(f"'{e}'" for e in FILE_EXTENSIONS)
     return f"""CASE WHEN regexp_matches({x}, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]') THEN 'CJK_TERM'
       WHEN regexp_full_match({x}, '[0-9]{{3,}}') THEN 'NUMBER_LITERAL'
       WHEN regexp_full_match({x}, 'HTTP_[0-9]{{3}}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+') THEN 'ERROR_LITERAL'
