@@ -23,11 +23,8 @@ def join_path(directory: Column, relative: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (path, ordinal, specifier) with status, target_path and candidates.
-
-    Relative specifiers are expanded to the paths that they may mean and joined with files (path); one hit
-    resolves, several are ambiguous, none is unresolved."""
+def asked_paths(imports: DataFrame) -> DataFrame:
+    """imports (path, ordinal, specifier) with asked, the paths that a relative specifier may mean, or early, the status without any."""
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     rows = imports.select("path", "ordinal", "specifier", join_path(directory, F.col("specifier")).alias("base"))
     relative = F.col("specifier").startswith(".")
@@ -40,7 +37,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     swap = F.when(F.lower(ext) == ".js", F.array("base", F.concat(stem(3), F.lit(".ts")), F.concat(stem(3), F.lit(".tsx"))))
     swap = swap.when(F.lower(ext) == ".jsx", F.array("base", F.concat(stem(4), F.lit(".tsx"))))
     swap = swap.when(F.lower(ext) == ".mjs", F.array("base", F.concat(stem(4), F.lit(".mts")))).when(F.lower(ext) == ".cjs", F.array("base", F.concat(stem(4), F.lit(".cts"))))
-    rows = rows.withColumn("early", early).withColumn("asked", F.when(F.col("early").isNull(), F.when(ext == "", bare).otherwise(F.coalesce(swap, F.array("base")))))
+    return rows.withColumn("early", early).withColumn("asked", F.when(F.col("early").isNull(), F.when(ext == "", bare).otherwise(F.coalesce(swap, F.array("base")))))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (path, ordinal, specifier) with status, target_path and candidates.
+
+    Relative specifiers are expanded to the paths that they may mean and joined with files (path); one hit
+    resolves, several are ambiguous, none is unresolved."""
+    rows = asked_paths(imports)
     hits = rows.filter("asked is not null").select("path", "ordinal", F.explode("asked").alias("candidate"))
     hits = hits.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("path", "ordinal").agg(F.array_sort(F.collect_set("candidate")).alias("candidates"))
     out = rows.join(hits, ["path", "ordinal"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
@@ -103,31 +108,47 @@ def unique_names(symbols: DataFrame) -> DataFrame:
 # What documents refer to files by, and names of documents that name no module.
 PATH_REFERENCE = r"(?:^|[\s`'\"(])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)(?=$|[\s`'\"),:\]])"
 CODE_SPAN = "`([^`\\r\\n]{1,160})`"
-CODE_WORD = r"\b[A-Z][A-Za-z0-9_$]{3,}(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*\b"
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # where a word of ASCII letters, digits and _ begins or ends, whatever other letters stand beside it
+CODE_WORD = EDGE + r"[A-Z][A-Za-z0-9_$]{3,}(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*" + EDGE
 NO_MODULES = ["adr", "agents", "architecture", "changelog", "contributing", "design", "docs", "license", "readme"]
 
 
+def mentions(docs: DataFrame, references: int = 500) -> DataFrame:
+    """(path, kind, key, confidence): what documents (path, text) refer to by path, by code span or identifier (name), or by module (token)."""
+    named = docs.select("path", F.lit("path").alias("kind"), F.posexplode(F.regexp_extract_all("text", F.lit(PATH_REFERENCE), 1)).alias("at", "key")).filter(F.col("at") < references).drop("at")
+    word = lambda pattern, group, confidence: docs.select("path", F.lit("name").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(pattern), group)).alias("key"), F.lit(confidence).alias("confidence"))
+    base = F.regexp_replace(P.name_of(F.col("path")), r"(?<=.)\.[^.]*$", "")
+    tokens = docs.select("path", F.lit("token").alias("kind"), F.explode(F.split(base, "[^a-z0-9]+")).alias("key")).filter((F.length("key") >= 4) & ~F.col("key").isin(NO_MODULES))
+    out = named.withColumn("confidence", F.lit(1.0)).unionByName(word(CODE_SPAN, 1, 0.9)).unionByName(word(CODE_WORD, 0, 0.82)).unionByName(tokens.withColumn("confidence", F.lit(0.6)))
+    return out.distinct()
+
+
+def tokens_of(path: Column) -> Column:
+    """The distinct segments of a path that a document's module may be named after."""
+    return F.array_distinct(F.split(F.lower(path), r"[/.\\_-]+"))
+
+
 def link_documents(docs: DataFrame, files: DataFrame, symbols: DataFrame, references: int = 500, modules: int = 20) -> DataFrame:
     """Edges from documents (path, text) to files that they name by path, by code span or identifier, or by module."""
-    named = docs.select(F.col("path").alias("source_path"), F.posexplode(F.regexp_extract_all("text", F.lit(PATH_REFERENCE), 1)).alias("at", "target_path")).filter(F.col("at") < references)
-    sources = files.filter("category = 'source'")
-    by_path = named.join(files.select(F.col("path").alias("target_path")), "target_path", "left_semi").select("source_path", "target_path", F.lit(1.0).alias("confidence"), F.lit("structural").alias("derivation"))
+    return merge_edges(link_mentions(mentions(docs, references), files, symbols, modules))
+
+
+def link_mentions(said: DataFrame, files: DataFrame, symbols: DataFrame, modules: int = 20) -> DataFrame:
+    """An edge for each of the mentions that names one thing: an indexed path, a name of one file only, or a token of few paths."""
+    at = lambda kind, name: said.filter(F.col("kind") == kind).select(F.col("path").alias("source_path"), F.col("key").alias(name), "confidence")
+    named = at("path", "target_path")
+    by_path = named.join(files.select(F.col("path").alias("target_path")), "target_path", "left_semi").select("source_path", "target_path", "confidence", F.lit("structural").alias("derivation"))
     names = symbols.select("name", "path")
     if "qualified_name" in symbols.columns:
         names = names.unionByName(symbols.select(F.col("qualified_name").alias("name"), "path"))
-    unique = unique_names(names)
-    spans = docs.select(F.col("path").alias("source_path"), F.explode(F.regexp_extract_all("text", F.lit(CODE_SPAN), 1)).alias("name")).withColumn("confidence", F.lit(0.9))
-    words = docs.select(F.col("path").alias("source_path"), F.explode(F.regexp_extract_all("text", F.lit(CODE_WORD), 0)).alias("name")).withColumn("confidence", F.lit(0.82))
-    by_name = spans.unionByName(words).distinct().join(unique, "name").select("source_path", F.col("path").alias("target_path"), "confidence", F.lit("heuristic").alias("derivation"))
-    base = F.regexp_replace(P.name_of(F.col("path")), r"(?<=.)\.[^.]*$", "")
-    tokens = docs.select(F.col("path").alias("source_path"), F.explode(F.array_distinct(F.split(base, "[^a-z0-9]+"))).alias("token")).filter((F.length("token") >= 4) & ~F.col("token").isin(NO_MODULES))
-    parts = sources.select(F.col("path").alias("target_path"), F.explode(F.array_distinct(F.split(F.lower("path"), r"[/.\\_-]+"))).alias("token"))
+    by_name = at("name", "name").join(unique_names(names), "name").select("source_path", F.col("path").alias("target_path"), "confidence", F.lit("heuristic").alias("derivation"))
+    parts = files.filter("category = 'source'").select(F.col("path").alias("target_path"), F.explode(tokens_of(F.col("path"))).alias("token"))
     few = parts.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") <= modules).select("token")
-    hits = tokens.join(few, "token").join(parts, "token")
+    hits = at("token", "token").join(few, "token").join(parts, "token")
     hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("source_path").orderBy("token", "target_path"))).filter(F.col("n") <= modules)
-    by_module = hits.select("source_path", "target_path", F.lit(0.6).alias("confidence"), F.lit("heuristic").alias("derivation"))
+    by_module = hits.select("source_path", "target_path", "confidence", F.lit("heuristic").alias("derivation"))
     out = by_path.unionByName(by_name).unionByName(by_module).filter("source_path != target_path")
-    return merge_edges(out.withColumn("kind", F.lit("DOCUMENT_RELATES_TO_FILE")))
+    return out.withColumn("kind", F.lit("DOCUMENT_RELATES_TO_FILE"))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policies as P
 from ..functions import text as T
-from ..operators import budget, capsule, evaluate, graph, hash_tree, ignore, intervals, pack, provenance, ranges, relationships, review, scoring, task_plan, whole_pack
+from ..operators import budget, capsule, evaluate, graph, graph_build, hash_tree, ignore, intervals, pack, provenance, ranges, relationships, review, scoring, task_plan, whole_pack
 from ..operators import evidence as E
 from ..operators import signals as S
 from ..sources import store
@@ -347,6 +347,82 @@ def import_resolution_status(spark, sf):
     return graph.resolve_imports(_imports_of(B.files(spark, sf)), B.files(spark, sf)).select("path", "specifier", "status", "target_path")
 
 
+GRAPH = f"""WITH {B.FILES_SQL.replace("doc_' || doc_id", "doc_' || (doc_id // 8)")}, {B.SYMBOLS_SQL}, own AS (SELECT s.* FROM symbols s JOIN files f USING (path) WHERE f.category = 'source'),
+imp AS (SELECT path, category, doc_id, text, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '^(.*)/[^/]*/[^/]*$', 1) AS up, doc_id // 8 AS k FROM files WHERE {ELIGIBLE}),
+b AS (SELECT path, category, doc_id % 5 AS m, regexp_extract(text, '[\\p{{L}}\\p{{N}}_]+') AS name, CASE doc_id % 5 WHEN 0 THEN dir || '/doc_' || (k + 1) WHEN 1 THEN up || '/src/doc_' || k WHEN 4 THEN up || '/tests/doc_' || k || '.test.ts' END AS base,
+  CASE doc_id % 5 WHEN 0 THEN './doc_' || (k + 1) WHEN 1 THEN '../src/doc_' || k WHEN 2 THEN '../../../../outside' WHEN 3 THEN 'react' ELSE '../tests/doc_' || k || '.test.ts' END AS specifier FROM imp),
+q AS (SELECT path, unnest(CASE WHEN m = 4 THEN [base] ELSE list_concat(list_transform(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs'], lambda e: base || e), list_transform(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs'], lambda e: base || '/index' || e)) END) AS c FROM b WHERE base IS NOT NULL),
+h AS (SELECT q.path, count(*) AS n, min(c) AS target FROM q JOIN files f ON q.c = f.path GROUP BY q.path),
+res AS (SELECT b.*, CASE m WHEN 2 THEN 'unsafe' WHEN 3 THEN 'external' ELSE CASE coalesce(n, 0) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved_internal' ELSE 'ambiguous' END END AS status, CASE WHEN n = 1 THEN target END AS target FROM b LEFT JOIN h USING (path)),
+un AS (SELECT name, min(path) AS target FROM own GROUP BY name HAVING count(DISTINCT path) = 1),
+uq AS (SELECT name, min(path) AS target FROM (SELECT name, path FROM own UNION SELECT qualified_name, path FROM own) GROUP BY name HAVING count(DISTINCT path) = 1),
+st AS (SELECT t.path, s.path AS target, t.up = s.up AS same FROM imp t JOIN imp s ON t.k = s.k AND t.category = 'test' AND s.category = 'source'),
+docs AS (SELECT * FROM files WHERE category = 'documentation'), seg AS (SELECT DISTINCT path, unnest(regexp_split_to_array(lower(path), '[/.\\\\_-]+')) AS token FROM files WHERE category = 'source'),
+tok AS (SELECT d.path, s.path AS target, row_number() OVER (PARTITION BY d.path ORDER BY d.token, s.path) AS n FROM (SELECT DISTINCT path, unnest(['doc', CAST(doc_id // 8 AS VARCHAR)]) AS token FROM docs) d JOIN seg s USING (token) WHERE len(token) >= 4 AND token IN (SELECT token FROM seg GROUP BY token HAVING count(*) <= 20)),
+raw AS (SELECT 'FILE_IMPORTS_FILE' AS kind, path AS source_path, target AS target_path, 1.0 AS confidence, 'structural' AS derivation, unnest(['resolved import "' || specifier || '"', 'repository-local relative import resolved to one indexed file']) AS why FROM res WHERE target IS NOT NULL
+  UNION ALL SELECT 'TEST_RELATES_TO_FILE', r.path, r.target, 1.0, 'structural', 'test directly imports source file' FROM res r JOIN files f ON r.target = f.path WHERE r.category = 'test' AND f.category = 'source'
+  UNION ALL SELECT 'TEST_RELATES_TO_FILE', path, target, CASE WHEN same THEN 0.86 ELSE 0.72 END, 'heuristic', unnest(CASE WHEN same THEN ['unique normalized basename match', 'mirrored test/source directory structure'] ELSE ['unique normalized basename match'] END) FROM st
+  UNION ALL SELECT 'TEST_RELATES_TO_FILE', path, un.target, 0.68, 'heuristic', 'imported name matches one unique indexed source symbol' FROM res JOIN un USING (name) WHERE category = 'test' AND status IN ('unresolved', 'ambiguous')
+  UNION ALL SELECT 'DOCUMENT_RELATES_TO_FILE', d.path, f.path, 1.0, 'structural', 'document contains exact indexed repository path' FROM (SELECT DISTINCT path, unnest(regexp_extract_all(text, '(?:^|[\\s`''"(])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\\.[A-Za-z0-9]+)', 1)) AS ref FROM docs) d JOIN files f ON d.ref = f.path WHERE d.path <> f.path
+  UNION ALL SELECT 'DOCUMENT_RELATES_TO_FILE', d.path, uq.target, 0.9, 'heuristic', 'document code span matches one unique indexed symbol' FROM (SELECT DISTINCT path, unnest(regexp_extract_all(text, '`([^`\\r\\n]{{1,160}})`', 1)) AS name FROM docs) d JOIN uq USING (name)
+  UNION ALL SELECT 'DOCUMENT_RELATES_TO_FILE', d.path, uq.target, 0.82, 'heuristic', 'document identifier matches one unique indexed symbol' FROM (SELECT DISTINCT path, unnest(regexp_extract_all(text, '\\b[A-Z][A-Za-z0-9_$]{{3,}}(?:\\.[A-Za-z_$][A-Za-z0-9_$]*)*\\b')) AS name FROM docs) d JOIN uq USING (name)
+  UNION ALL SELECT 'DOCUMENT_RELATES_TO_FILE', path, target, 0.6, 'heuristic', 'documentation module name matches source path segment' FROM tok WHERE n <= 20),
+graph AS (SELECT kind, source_path, target_path, CAST(max(confidence) AS DOUBLE) AS confidence, CASE WHEN bool_or(derivation = 'structural') THEN 'structural' ELSE 'heuristic' END AS derivation, string_agg(DISTINCT why, '|' ORDER BY why) AS evidence, 'edge_' || left(sha256(kind || chr(0) || 'file:' || source_path || chr(0) || 'file:' || target_path), 24) AS edge_id FROM raw GROUP BY ALL)""".replace("\\\\", "\\")
+
+
+def _repository(files):
+    """The repository of files (path, doc_id, text, hash, category): imports by id, with the first word as the name imported."""
+    i, k = F.col("doc_id"), F.expr("doc_id div 8").cast("string")
+    spec = (
+        F.when(i % 5 == 0, F.concat(F.lit("./doc_"), F.expr("doc_id div 8 + 1").cast("string"))).when(i % 5 == 1, F.concat(F.lit("../src/doc_"), k))
+        .when(i % 5 == 2, "../../../../outside").when(i % 5 == 3, "react").otherwise(F.concat(F.lit("../tests/doc_"), k, F.lit(".test.ts")))
+    )
+    files = materialize(files)
+    eligible = files.filter(~F.col("category").isin("generated", "dependency", "binary_asset"))
+    imports = eligible.select("path", F.lit(0).alias("ordinal"), spec.alias("specifier"), F.array(F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)).alias("names"))
+    symbols = materialize(B.symbols_of(files.filter("category = 'source'")).select("path", "name", "qualified_name"))
+    return graph_build.Repository(files.select("path", "hash", "category"), imports, files.filter("category = 'documentation'").select("path", "text"), symbols)
+
+
+def _by_eights(spark, sf):
+    """The files, but eight documents in a row share a stem."""
+    return B.files(spark, sf).withColumn("path", F.regexp_replace("path", F.lit("doc_[0-9]+"), F.concat(F.lit("doc_"), F.expr("doc_id div 8").cast("string"))))
+
+
+def _edges_of(built):
+    return built.edges.withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query(f"{GRAPH} SELECT * FROM graph")
+def graph_full_build(spark, sf):
+    return _edges_of(graph_build.build(_repository(_by_eights(spark, sf))))
+
+
+@query(f"{GRAPH} SELECT * FROM graph")
+def graph_incremental_build(spark, sf):
+    """An earlier state lacks a tenth of the files, has other texts in a seventh, and files that are gone; its graph is brought up to date."""
+    now = _by_eights(spark, sf)
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Earlier "), F.upper("text"))).otherwise(F.col("text"))
+    past = now.filter("doc_id % 10 != 0").withColumn("text", text).withColumn("hash", F.sha2("text", 256))
+    gone = now.filter("doc_id % 10 = 1").withColumn("path", F.regexp_replace("path", r"doc_(\d+)", "old_$1"))
+    before, repo = _repository(past.unionByName(gone)), _repository(now)
+    return _edges_of(graph_build.update(graph_build.build(before), before, repo))
+
+
+@query(f"""{GRAPH}, views AS (SELECT source_path AS path, CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'imports' WHEN 'TEST_RELATES_TO_FILE' THEN 'tests' ELSE 'documentation' END AS section, target_path AS target, confidence, derivation, edge_id FROM graph
+  UNION SELECT target_path, CASE kind WHEN 'FILE_IMPORTS_FILE' THEN 'imported_by' WHEN 'TEST_RELATES_TO_FILE' THEN 'tests' ELSE 'documentation' END, source_path, confidence, derivation, edge_id FROM graph) SELECT * FROM views""")
+def graph_inspect(spark, sf):
+    repo = _repository(_by_eights(spark, sf))
+    return graph_build.inspect(graph_build.build(repo), repo.files)
+
+
+@query(f"""{GRAPH} SELECT 'files' AS part, category AS kind, count(*) AS n FROM files GROUP BY ALL UNION ALL SELECT 'symbols', 'all', count(*) FROM own HAVING count(*) > 0
+  UNION ALL SELECT 'imports', status, count(*) FROM res GROUP BY ALL UNION ALL SELECT 'edges', kind, count(*) FROM graph GROUP BY ALL""")
+def index_summary(spark, sf):
+    repo = _repository(_by_eights(spark, sf))
+    return graph_build.summary(repo, graph_build.build(repo))
+
+
 @query("""SELECT 'tests/o/n' || n_nationkey || '.test.ts' AS source_path, CASE n_nationkey % 5 WHEN 2 THEN 'src/o/n' ELSE 'src/m/n' END || n_nationkey || '.ts' AS target_path,
   CAST(CASE n_nationkey % 5 WHEN 2 THEN 0.84 ELSE 0.72 END AS DOUBLE) AS confidence FROM nation""")
 def unique_stem_link(spark, sf):
