@@ -86,6 +86,14 @@ def top(scored: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFr
     return ranked.filter(F.col(name) <= k)
 
 
+def ties(ranked: DataFrame, *limits: int) -> DataFrame:
+    """(task_id, k, ties): of the k first of a task's ranked (task_id, rank, score), those that share a score with one before them."""
+    cut = ranked.select("task_id", "rank", "score", F.explode(F.array(*[F.lit(k) for k in limits])).alias("k"))
+    within = F.when(F.col("rank") <= F.col("k"), F.col("rank"))
+    each = cut.groupBy("task_id", "k", "score").agg(F.greatest(F.count(within) - 1, F.lit(0)).alias("ties"))
+    return each.groupBy("task_id", "k").agg(F.sum("ties").alias("ties"))
+
+
 def fold_score(evidence: DataFrame) -> DataFrame:
     """(task_id, path, score, tier, signals, families) by the second scorer.
 

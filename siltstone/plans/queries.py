@@ -534,6 +534,14 @@ def _gold(spark, sf):
     return tasks.join(marked, F.col("task_id") % 10 == F.col("m")).drop("m").distinct()
 
 
+@query("""WITH r AS (SELECT o_custkey AS task_id, floor(o_totalprice / 20000) AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 20000) DESC, o_orderkey) AS rank FROM orders)
+SELECT task_id, k, CAST(count(*) FILTER (WHERE rank <= k) - count(DISTINCT score) FILTER (WHERE rank <= k) AS BIGINT) AS ties FROM r, (SELECT unnest([5, 10]) AS k) GROUP BY ALL""")
+def score_ties(spark, sf):
+    """Customers as tasks, their orders as candidates, scored by price in steps."""
+    o = B.table(spark, sf, "orders").select(F.col("o_custkey").alias("task_id"), "o_orderkey", F.floor(F.col("o_totalprice") / 20000).cast("double").alias("score"))
+    return scoring.ties(scoring.top(o, 10, F.desc("score"), F.col("o_orderkey")), 5, 10)
+
+
 @query(f"""{GOLD}, h AS (SELECT g.task_id, g.importance, k, coalesce(rank <= k, false) AS hit FROM gold g LEFT JOIN ranked r ON g.task_id = r.task_id AND g.path = r.path AND rank <= 100, (SELECT unnest([1, 3, 5, 10, 20]) AS k))
 SELECT task_id, k, {R6('count(*) FILTER (WHERE hit) / count(*)')} AS recall, CASE WHEN count(*) FILTER (WHERE importance = 'REQUIRED') > 0 THEN {R6("count(*) FILTER (WHERE hit AND importance = 'REQUIRED') / count(*) FILTER (WHERE importance = 'REQUIRED')")} END AS required_recall FROM h GROUP BY task_id, k""")
 def recall_at_k(spark, sf):

@@ -271,3 +271,10 @@ def test_search_ranks_the_service_first(spark):
     tasks = spark.createDataFrame([(1, "Repair MemoryService locking in memory-service.ts"), (2, "please fix the bug")], "task_id int, text string")
     got = [(r["task_id"], r["path"]) for r in search.search(tasks, files, edges=edges).orderBy("task_id", "rank").collect()]
     assert got[0] == (1, "src/app/memory-service.ts") and (1, "tests/app/memory-service.test.ts") in got and not any(t == 2 or "gen/" in p for t, p in got)
+
+
+def test_score_ties(spark):
+    rows = [(1, 1, 9.0), (1, 2, 7.0), (1, 3, 7.0), (1, 4, 7.0), (2, 1, 5.0)]
+    ranked = spark.createDataFrame(rows, "task_id int, rank int, score double")
+    assert sorted(map(tuple, scoring.ties(ranked, 3, 5).collect())) == [(1, 3, 1), (1, 5, 2), (2, 3, 0), (2, 5, 0)]
+    assert scoring.ties(ranked.limit(0), 5).count() == 0
