@@ -44,6 +44,8 @@ K = BANDS * ROWS
 #: 64-bit words of a sketch, four bits of each coordinate, and the bits that may differ: those of similarity 0.66.
 SKETCH = -(-K // 16)
 APART = int(64 * SKETCH * (1 - 0.66) / 2)
+#: Texts to verify whose hashes (8 bytes each) are broadcast, so that only they are shuffled; beyond that all texts are.
+HELD = 1_000_000
 #: Members of a star that one task verifies with one copy of the centre's text.
 STAR = 512
 
@@ -232,7 +234,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     row = F.coalesce(F.col("doc_id").cast("long"), made)
     texts = named.filter("text is not null").select("key", row.alias("row"), "text")
     own = wanted.join(signed.groupBy("key").agg(F.min(row).alias("row")), "key")
-    texts = common.materialize(texts.join(common.materialize(own), ["key", "row"]).select("id", "text").dropDuplicates(["id"]))
+    own = common.materialize(own)
+    if own.count() <= HELD:
+        hashes = own.select(F.xxhash64("key", "row").alias("x")).distinct()
+        texts = texts.join(F.broadcast(hashes), F.xxhash64("key", "row") == F.col("x"), "left_semi")
+    # a key has one id, so copies under one id go where the join has put them
+    texts = common.materialize(texts.join(own, ["key", "row"]).dropDuplicates(["key", "row"]).select("id", "text"))
 
     judged = common.materialize(verify(buckets.filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), texts))
     links = judged.filter(F.col("similarity") >= SIMILAR).select("a", "b")
