@@ -20,15 +20,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, which hangs on none: then the components are read off."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the least node of its component."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges, last = common.materialize(edges), None
-    while True:
-        state = edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
-        if state == last:
-            break
-        last = state
+    edges = common.materialize(edges)
+    while not _settled(edges):
         edges = _star(edges, large=True).filter("u != v").distinct()
         edges = common.materialize(_star(edges, large=False).filter("u != v").distinct())
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
