@@ -31,8 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the least node of its component."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     edges = common.materialize(edges)
-    while not _settled(edges):
-        edges = _star(edges, large=True).filter("u != v").distinct()
+    while not _settled(edges):  # a table after each half keeps plans small: the driver holds and plans anew what is in them
+        edges = common.materialize(_star(edges, large=True).filter("u != v"))
         edges = common.materialize(_star(edges, large=False).filter("u != v").distinct())
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

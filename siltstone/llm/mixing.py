@@ -146,9 +146,9 @@ def select(sized: DataFrame, want: DataFrame, most: int = MOST) -> DataFrame:
         spent = dealt.groupBy("pattern").agg(F.sum(F.col("size") * F.col("k")).alias("spent"))
         room = common.materialize(room.join(spent, "pattern", "left").select("pattern", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("room")))
         fits = (F.col("k") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("room"))
-        dealt = dealt.join(per(room), "pattern")
-        settled.append(dealt.filter(~fits).drop("bucket", "room"))
-        rest = dealt.filter(fits).drop("k", "room")
+        dealt = common.materialize(dealt.join(per(room), "pattern").withColumn("fits", fits))  # one broadcast, not one per use
+        settled.append(dealt.filter("not fits").drop("bucket", "room", "fits"))
+        rest = dealt.filter("fits").drop("k", "room", "fits")
         if rest.isEmpty():
             break
     chosen = settled[0]

@@ -267,7 +267,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     rest = rest.filter(differ <= APART).filter(once)
     rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
     more = verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
-    roots = components(links.unionByName(more))
+    # the classes so far are stars, so only what the new links join takes rounds
+    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
     member = signed.select("doc_id", "key").join(reps.select("rep", "key"), "key")
     out = member.join(roots, member["rep"] == roots["node"], "left").select("doc_id", "key", F.coalesce("root", "rep").alias("root"))
     return out, alone, reps.filter(F.col("rep") >= _MADE).isEmpty()
