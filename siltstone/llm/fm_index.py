@@ -12,6 +12,9 @@ from __future__ import annotations
 import numpy as np
 
 DEPTH = 128
+#: Where the next window of a region is read from: the region's end, the end of its first window, or halfway between
+#: those where the first window is known to be repeated.
+WHOLE, FIRST, MIDDLE = 0, 1, 2
 _one = np.uint64(1)
 
 
@@ -31,18 +34,23 @@ class FmIndex:
         text, marked = np.zeros(n, np.int32), np.zeros(n, bool)
         at = np.arange(len(passages)) + np.repeat(np.arange(len(size)), size)
         text[at], marked[at] = codes + 1, np.repeat(many, size)
-        order, rank, depth = np.argsort(text, kind="stable"), text.astype(np.int64), 1
-        while depth < DEPTH:
-            key = rank * (n + 2)
-            key[:-depth] += rank[depth:] + 1
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
+        # a rank is the first slot of its group; only suffixes that share theirs are sorted further, and separators never are
+        order, rank, depth = np.argsort(text, kind="stable"), self.before[text], 1
+        slots = np.arange(len(size), n)
+        slots = slots[np.diff(self.before)[text[order[slots]]] > 1]
+        while depth < DEPTH and len(slots):
+            at = order[slots]
+            key = rank[at] * (n + 1)
+            follows = at + depth < n
+            key[follows] += rank[at[follows] + depth] + 1
+            sort = np.argsort(key)
+            at, key = at[sort], key[sort]
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            order[slots], rank[at] = at, np.maximum.accumulate(np.where(fresh, slots, 0))
+            slots = slots[~(fresh & np.append(fresh[1:], True))]
             depth *= 2
-            if rank[order[-1]] == n - 1:
-                break
         bwt = text[order - 1]
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
         self.marks = _packed(marked[order])
         self.levels = []
         self.bits = max(1, int(len(self.alphabet)).bit_length())
@@ -100,14 +108,27 @@ def repeated_windows(passages: np.ndarray, bounds: np.ndarray, many: np.ndarray,
     """(passage, first word, past word) of the stretches, width words or more, whose windows all occur twice or more."""
     index = FmIndex(passages, bounds, many)
     codes = index.encode(passages)
-    first, which = bounds[:-1], np.arange(len(bounds) - 1)
-    end, found = bounds[1:].copy(), []
-    while len(which):
-        on = end - first[which] >= width
-        which, end = which[on], end[on]
-        start = index.reach(codes, first[which], end)
-        long = end - start >= width
-        found.append((which[long], (start - first[which])[long], (end - first[which])[long]))
-        # the next window not yet judged ends one word before the first that is
-        end = np.where(long, start + width - 1, end - 1)
+    # regions whose windows are to be judged: passage, first word, past word, and how they are probed
+    regions = [(np.arange(len(bounds) - 1), bounds[:-1], bounds[1:], np.full(len(bounds) - 1, WHOLE))]
+    found = []
+    while regions:
+        which, low, high, probe = (np.concatenate(x) for x in zip(*regions, strict=True))
+        regions = []
+        wide = high - low >= width
+        which, low, high, probe = which[wide], low[wide], high[wide], probe[wide]
+        if not len(which):
+            break
+        end = np.where(probe == WHOLE, high, np.where(probe == FIRST, low + width, (low + width + high + 1) // 2))
+        start = index.reach(codes, low, end)
+        hit = start == low
+        # a first window that is repeated is reported with what follows it
+        more = hit & (probe == FIRST) & (end < high)
+        told = (end - start >= width) & ~more
+        found.append((which[told], (start - bounds[which])[told], (end - bounds[which])[told]))
+        regions.append((which[more], low[more], high[more], np.full(int(more.sum()), MIDDLE)))
+        # [start - 1, end) occurs once, and so does each window with it: those left end before, or begin at start or later
+        left = ~hit & (probe != FIRST)
+        regions.append((which[left], low[left], np.minimum(end - 1, start + width - 1)[left], np.where(probe == WHOLE, FIRST, MIDDLE)[left]))
+        right = ~more & (probe != WHOLE)
+        regions.append((which[right], np.maximum(start, end - width + 1)[right], high[right], np.full(int(right.sum()), FIRST)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ SHARD_WORDS = 1 << 19
 HOT_WORDS = 1 << 16
 #: Anchors with more than one HEAVY-th of all passages are dealt out to so many tasks.
 HEAVY, SALTS = 1024, 128
+#: Passages or windows in a batch of contents.
+CONTENTS = 1 << 13
 
 
 def _passages(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -75,26 +78,37 @@ def _list_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "passage", "id", "mark", "place"])
 
 
+def _listed(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each entry of a column of lists of structs, and the entries' fields."""
+    flat = pc.list_flatten(lists)
+    return pc.list_parent_indices(lists).to_numpy(), {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of wanted passages; of hot ones, the words of each window, under the window's hash."""
     names = ["route", "anchor", "passage", "skip", "n", "words", "hot"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     for batch in batches:
-        wanted = batch.column("wanted")
+        row, wanted = _listed(batch.column("wanted"))
         for a, z, data, offsets in common.text_slices(batch.column("text")):
             _, _, hashes, first = common.words(data, offsets)
-            rows: list[tuple] = []
-            for t, own in enumerate(wanted.slice(a, z - a).to_pylist()):
-                for x in own:
-                    start = first[t] + (x["place"] >> 16)
-                    words = hashes[start : start + (x["place"] & 0xFFFF)]
-                    if not x["hot"]:
-                        rows.append((x["anchor"], x["anchor"], x["passage"], 0, x["n"], words.tobytes(), False))
-                        continue
-                    for k, h in enumerate(common.grams(words, WINDOW).astype(np.int64).tolist()):
-                        rows.append((h, x["anchor"], x["passage"], k, x["n"], words[k : k + WINDOW].tobytes(), True))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            p, q = np.searchsorted(row, [a, z])
+            own = {k: v[p:q] for k, v in wanted.items()}
+            hot, place = own["hot"].astype(bool), own["place"]
+            start, size = first[row[p:q] - a] + (place >> 16), place & 0xFFFF
+            for part in (False, True):
+                at = np.flatnonzero(hot == part)
+                windows = np.maximum(size[at] - WINDOW + 1, 0) if part else np.ones(len(at), np.int64)
+                of = np.repeat(at, windows)
+                skip = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+                for i in range(0, len(of), CONTENTS):
+                    some, by = of[i : i + CONTENTS], skip[i : i + CONTENTS]
+                    length = np.full(len(some), WINDOW) if part else size[some]
+                    ends = np.concatenate([[0], np.cumsum(length)])
+                    words = hashes[np.repeat(start[some] + by - ends[:-1], length) + np.arange(ends[-1])]
+                    route = common.grams(words, WINDOW)[ends[:-1]].astype(np.int64) if part else own["anchor"][some]
+                    held = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words)])
+                    columns = [route, own["anchor"][some], own["passage"][some], by, own["n"][some]]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], held, pa.array(np.full(len(some), part))], names=names)
 
 
 def _search(shard: pa.Table) -> pa.Table:
@@ -140,32 +154,48 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return common.materialize(own.groupBy("id", "mark").agg(F.flatten(F.collect_set("spans")).alias("spans")))  # a set: repeated rows add nothing
 
 
+def _keep(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """n_words and n_removed of each row, the bytes of the kept texts, and where each of these starts (one more at the end)."""
+    row, spans = _listed(batch.column("spans"))
+    for a, z, data, offsets in common.text_slices(batch.column("text")):
+        first, past, _, bounds = common.words(data, offsets)
+        n = np.diff(bounds)
+        p, q = np.searchsorted(row, [a, z])
+        text = row[p:q] - a
+        change = np.zeros(len(first) + 1, np.int64)
+        for name, by in (("first", 1), ("past", -1)):
+            change += by * np.bincount(bounds[text] + np.minimum(spans[name][p:q], n[text]), minlength=len(change))
+        keep = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+        text = np.searchsorted(bounds, keep, "right") - 1
+        inner = np.append(text[1:] == text[:-1], False)[: len(keep)]  # a kept word follows in this text, after the byte that becomes a space
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[first[keep]] += 1
+        edge[past[keep] + inner] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        spaced = data.copy()
+        spaced[past[keep[inner]]] = 0x20
+        yield n, n - np.bincount(text, minlength=z - a), spaced[inside], np.concatenate([[0], np.cumsum(inside)])[offsets]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_words, n_removed and the kept text of each row."""
     for batch in batches:
-        spans = batch.column("spans").to_pylist()
         words, removed, kept = [], [], []
-        for a, z, data, offsets in common.text_slices(batch.column("text")):
-            first, past, _, bounds = common.words(data, offsets)
-            whole = data.tobytes()
-            for t, own in enumerate(spans[a:z]):
-                p, q = bounds[t], bounds[t + 1]
-                n = int(q - p)
-                change = np.zeros(n + 1, np.int64)
-                for x in own or ():
-                    change[min(x["first"], n)] += 1
-                    change[min(x["past"], n)] -= 1
-                keep = np.flatnonzero(np.cumsum(change[:-1]) == 0) + p
-                words.append(n)
-                removed.append(n - len(keep))
-                kept.append(b" ".join([whole[i:j] for i, j in zip(first[keep].tolist(), past[keep].tolist(), strict=True)]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "doc_id", "n_words", "n_removed", "kept"])
+        for n, gone, data, at in _keep(batch):
+            words.append(n), removed.append(gone)
+            kept.append(pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]))
+        columns = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (words, removed)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), *columns, pa.chunked_array(kept, pa.string()).combine_chunks()], names=["id", "doc_id", "n_words", "n_removed", "kept"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _cut(batches):
-        digest = [hashlib.sha256(x.encode()).hexdigest() for x in part.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_words"), part.column("n_removed"), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    for batch in batches:
+        words, removed, digest = [], [], []
+        for n, gone, data, at in _keep(batch):
+            words.append(n), removed.append(gone)
+            digest += [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        columns = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (words, removed)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
