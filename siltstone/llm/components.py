@@ -1,4 +1,5 @@
-"""Connected components of a graph of links, as rounds of joins (large star, small star)."""
+"""Connected components of a graph of links: every node hangs on a smaller one of its component, and in rounds
+of joins takes over the grandparents of its neighbours and of its children (as FastSV does)."""
 
 from __future__ import annotations
 
@@ -8,31 +9,43 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang each node's larger (large) or other (small) neighbours on the least of it and its neighbours.
+def _grand(parents: DataFrame, few: bool) -> DataFrame:
+    """(node, parent, grand) of parents (node, parent)."""
+    above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+    return parents.join(common.held(above, few), "parent").select("node", "parent", "grand")
+
+
+def _ends(edges: DataFrame, parents: DataFrame, few: bool) -> DataFrame:
+    """(u, v) of the edges, with the columns of parents (node and more) for u and, followed by a 2, for v."""
+    rest = [c for c in parents.columns if c != "node"]
+    u, v = parents.withColumnRenamed("node", "u"), parents.select(F.col("node").alias("v"), *[F.col(c).alias(f"{c}2") for c in rest])
+    return edges.join(common.held(u, few), "u").join(common.held(v, few), "v")
+
+
+def _star(edges: DataFrame, parents: DataFrame, few: bool) -> DataFrame:
+    """Hang each node, and its parent, on the least grandparent of it and its neighbours.
 
     Neighbourhoods are only ever reduced to a minimum and joined, never gathered."""
-    both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.join(least, "u")
-    if large:
-        return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    grand = common.materialize(_grand(parents, few))
+    ends = _ends(edges, grand, few)
+    offers = [F.struct(F.col(to).alias("node"), F.col(at).alias("parent")) for to, at in (("u", "grand2"), ("parent", "grand2"), ("v", "grand"), ("parent2", "grand"))]
+    offers = ends.select(F.explode(F.array(*offers)).alias("x")).select("x.node", "x.parent")
+    return offers.unionByName(grand.select("node", F.col("grand").alias("parent"))).groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node hangs on one other, which hangs on none: then the components are read off."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
-    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
-    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
+def _settled(edges: DataFrame, parents: DataFrame, few: bool) -> bool:
+    """Whether every node hangs on a root, and the ends of every edge on the same one."""
+    deep = _grand(parents, few).filter("parent != grand").select("parent")
+    return deep.unionByName(_ends(edges, parents, few).filter("parent != parent2").select("parent")).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the least node of its component."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
     edges = common.materialize(edges)
-    while not _settled(edges):  # a table after each half keeps plans small: the driver holds and plans anew what is in them
-        edges = common.materialize(_star(edges, large=True).filter("u != v"))
-        edges = common.materialize(_star(edges, large=False).filter("u != v").distinct())
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    few = common.few(edges)
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    parents = common.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("parent")))
+    while not _settled(edges, parents, few):  # a table after each round keeps plans small: the driver holds and plans anew what is in them
+        parents = common.materialize(_star(edges, parents, few))
+    return parents.select("node", F.col("parent").alias("root"))

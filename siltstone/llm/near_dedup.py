@@ -44,8 +44,6 @@ K = BANDS * ROWS
 #: 64-bit words of a sketch, four bits of each coordinate, and the bits that may differ: those of similarity 0.66.
 SKETCH = -(-K // 16)
 APART = int(64 * SKETCH * (1 - 0.66) / 2)
-#: Texts to verify whose hashes (8 bytes each) are broadcast, so that only they are shuffled; beyond that all texts are.
-HELD = 1_000_000
 #: Members of a star that one task verifies with one copy of the centre's text.
 STAR = 512
 
@@ -171,10 +169,10 @@ def _star(rows: pa.Table) -> pa.Table:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) of ids of texts (id, text). A centre with many partners is dealt out by salt."""
+    """(a, b, similarity) of pairs (a, b), a written table, of ids of texts (id, text). A centre with many partners is dealt out by salt."""
     kind = pairs.schema["a"].dataType.simpleString()
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("id"), F.lit(False).alias("centre"))
+    members = pairs.join(common.held(stars, common.few(pairs)), "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("id"), F.lit(False).alias("centre"))
     centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(True).alias("centre"))
     rows = members.unionByName(centres).join(texts, "id")
     return rows.groupBy("a", "salt").applyInArrow(_star, f"a {kind}, b {kind}, similarity double")
@@ -215,62 +213,66 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "bands", "sketch", "weight"))
     reps = common.materialize(signed.groupBy("key").agg(first.alias("x")).select("key", F.col("x.doc_id").alias("least"), "x.bands", "x.sketch", "x.weight"))
     made = F.lit(_MADE) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))
-    twice = common.materialize(reps.groupBy("least").agg(F.count("*").alias("n")).filter("least is not null and n > 1").select("least", F.lit(True).alias("shared")))
+    # a text's own row is that of its least id; the copies stay where they are
+    reps = reps.withColumn("row", F.coalesce(F.col("least").cast("long"), made)).withColumn("x", F.xxhash64("key", "row"))
+    twice = reps.groupBy("least").agg(F.count("*").alias("n")).filter("least is not null and n > 1").select("least", F.lit(True).alias("shared"))
     if twice.isEmpty():
-        reps = reps.withColumn("rep", F.coalesce(F.col("least").cast("long"), made)).drop("least")
+        reps = reps.withColumn("rep", F.col("row")).drop("least")
     else:
-        reps = reps.join(twice, "least", "left").withColumn("rep", F.when(F.col("shared").isNull(), F.col("least").cast("long"))).withColumn("rep", F.coalesce("rep", made)).drop("least", "shared")
+        reps = reps.join(twice, "least", "left").withColumn("rep", F.when(F.col("shared").isNull(), F.col("row"))).withColumn("rep", F.coalesce("rep", made)).drop("least", "shared")
         reps = common.materialize(reps)
 
-    buckets = reps.select("rep", F.explode("bands").alias("h"))
+    buckets = reps.select("rep", "row", "x", F.explode("bands").alias("h"))
     shared = buckets.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = common.materialize(buckets.join(shared, "h"))
-    central = buckets.groupBy("rep").agg(F.sum("n").alias("central"))
-    buckets = buckets.join(central, "rep")
+    # one row per text that shares a bucket, with its buckets (BANDS at most)
+    met = buckets.join(shared, "h").groupBy("rep", "row", "x").agg(F.sum("n").alias("central"), F.collect_list("h").alias("hs"))
+    met = common.materialize(met)
+    few, fewer = common.few(met), common.few(met, common.HELD // BANDS)  # of rows per text, and per text and bucket
+    buckets = met.select("rep", "central", F.explode("hs").alias("h"))
     leaders = buckets.groupBy("h").agg(F.min(F.struct(-F.col("central"), "rep")).getField("rep").alias("a"))
-    buckets = common.materialize(buckets.join(leaders, "h").select("h", "rep", "a"))
-    wanted = buckets.select("rep").distinct().join(reps.select("rep", "key"), "rep").select(F.col("rep").alias("id"), "key")
-    # a text's own row is that of its least id; the copies stay where they are
+    buckets = common.materialize(buckets.join(common.held(leaders, fewer), "h").select("h", "rep", "a"))
     row = F.coalesce(F.col("doc_id").cast("long"), made)
-    texts = named.filter("text is not null").select("key", row.alias("row"), "text")
-    own = wanted.join(signed.groupBy("key").agg(F.min(row).alias("row")), "key")
-    own = common.materialize(own)
-    if own.count() <= HELD:
-        hashes = own.select(F.xxhash64("key", "row").alias("x")).distinct()
-        texts = texts.join(F.broadcast(hashes), F.xxhash64("key", "row") == F.col("x"), "left_semi")
+    texts = named.filter("text is not null").select(row.alias("row"), "key", "text").select("row", F.xxhash64("key", "row").alias("x"), "text")
     # a key has one id, so copies under one id go where the join has put them
-    texts = common.materialize(texts.join(own, ["key", "row"]).dropDuplicates(["key", "row"]).select("id", "text"))
+    texts = texts.join(common.held(met.select("row", "x", F.col("rep").alias("id")), few), ["x", "row"])
+    texts = common.materialize(texts.dropDuplicates(["id"]).select("id", "text"))
 
-    judged = common.materialize(verify(buckets.filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), texts))
+    pairs = common.materialize(buckets.filter("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    judged = common.materialize(verify(pairs, texts))
     links = judged.filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = common.materialize(components(links))
     # what a star left apart: other components in the same bucket, if the bounds allow a link
-    at = buckets.join(roots, buckets["rep"] == roots["node"], "left").select("h", "rep", "a", F.coalesce("root", "rep").alias("root"))
+    at = buckets.join(common.held(roots, few), buckets["rep"] == roots["node"], "left").select("h", "rep", "a", F.coalesce("root", "rep").alias("root"))
+    at = common.materialize(at)
     split = at.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("h")
-    at = common.materialize(at.join(split, "h"))
-    apart = at.select("rep").distinct()
-    apart = common.materialize(reps.select("rep", "sketch", "bands", "weight").join(apart, "rep", "left_semi"))
-    texts = common.materialize(texts.join(apart.select(F.col("rep").alias("id")), "id", "left_semi"))
-    held = texts
+    at = common.materialize(at.join(common.held(split, fewer), "h"))
+    sketch = [f"s{i}_" for i in range(SKETCH)]
+    words = [F.col("sketch")[i].alias(s) for i, s in enumerate(sketch)]
+    apart = reps.select("rep", "bands", "weight", *words).join(common.held(at.select("rep"), fewer), "rep", "left_semi")
+    apart = common.materialize(apart)
+    texts = common.materialize(texts.join(common.held(apart.select(F.col("rep").alias("id")), few), "id", "left_semi"))
+    held, bound = texts, apart.withColumn("most", F.col("weight"))
     for _ in range(2):  # without the texts that can link to none, the others share less
-        bound = apart.join(own_weight(held), "rep", "left").withColumn("most", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own")
+        bound = bound.join(common.held(own_weight(held), few), "rep", "left").withColumn("most", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own")
         bound = common.materialize(bound.filter(F.col("most") >= SIMILAR * F.col("weight") - 1e-9))
-        held = texts.join(bound.select(F.col("rep").alias("id")), "id", "left_semi")
-    at = at.filter("rep != a").join(bound, "rep").join(judged.withColumnRenamed("b", "rep"), ["a", "rep"])
-    at = common.materialize(at.select("h", "rep", "root", "similarity", "weight", "most", "sketch", "bands"))
+        held = texts.join(common.held(bound.select(F.col("rep").alias("id")), few), "id", "left_semi")
+    at = at.filter("rep != a").join(common.held(bound, fewer), "rep").join(common.held(judged.withColumnRenamed("b", "rep"), fewer), ["a", "rep"])
+    at = common.materialize(at.select("h", "rep", "root", "similarity", "weight", "most", "bands", *sketch))
     other = at.select("h", *[F.col(c).alias(f"{c}2") for c in at.columns[1:]])
     rest = at.join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")))
     rest = rest.filter(F.abs(F.col("similarity") - F.col("similarity2")) <= 1 - SIMILAR + 1e-9)
     rest = rest.filter(F.least("most", "most2") * (1 + SIMILAR) >= SIMILAR * (F.col("weight") + F.col("weight2")) - 1e-9)
-    differ = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    differ = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}2"))) for x in sketch)
     once = F.col("h") == F.array_min(F.array_intersect("bands", "bands2"))  # a pair comes up in its first bucket only
     rest = rest.filter(differ <= APART).filter(once)
     rest = common.materialize(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
-    more = verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
-    # the classes so far are stars, so only what the new links join takes rounds
-    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
-    member = signed.select("doc_id", "key").join(reps.select("rep", "key"), "key")
-    out = member.join(roots, member["rep"] == roots["node"], "left").select("doc_id", "key", F.coalesce("root", "rep").alias("root"))
+    more = rest if rest.isEmpty() else verify(rest, texts).filter(F.col("similarity") >= SIMILAR).select("a", "b")
+    for end in ("a", "b"):  # only the classes that the new links join take rounds
+        more = more.join(common.held(roots.withColumnRenamed("node", end), few), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    top = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    found = reps.select("rep", "key").join(common.held(roots, few), reps["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
+    found = found.join(common.held(top, few), "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+    out = signed.select("doc_id", "key").join(found, "key")
     return out, alone, reps.filter(F.col("rep") >= _MADE).isEmpty()
 
 
