@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siltstone.operators import pack, scoring, task_plan
+from siltstone.operators import signals as S
 
 
 def test_modes_and_plans(spark):
@@ -69,3 +70,11 @@ def test_fusion_caps_by_source(spark):
     assert count("b", "t") == 20 and count("b", "s") == 12
     git = scoring.git_2(spark.createDataFrame([(1, "a", "modified", 0), (1, "b", "clean", 1), (1, "c", "deleted", 100)], "task_id int, path string, status string, commits int"))
     assert {(r["path"], r["kind"], r["weight"]) for r in git.collect()} == {("a", "GIT_DIRTY", 1.0), ("b", "GIT_RECENCY", 1.0), ("c", "GIT_RECENCY", 2.0)}
+
+
+def test_letters_beyond_ascii_end_words(spark):
+    tasks = spark.createDataFrame([(1, "éétest"), (2, "testé"), (3, "xtest"), (4, "über-lockß die Aßconfig")], "task_id int, text string")
+    rows = {r["task_id"]: (r["action"], r["concepts"]) for r in task_plan.modes(tasks, task_plan.analyzed(tasks)).collect()}
+    assert rows == {1: ("TEST", ["TEST_BEHAVIOR"]), 2: ("TEST", ["TEST_BEHAVIOR"]), 3: ("CHANGE", []), 4: ("CHANGE", ["CONCURRENCY", "TRANSACTION_OR_LOCK", "CONFIGURATION"])}
+    phrases = S.signals(spark.createDataFrame([(1, "éBEGIN IMMEDIATEé")], "task_id int, text string"))
+    assert phrases.filter("kind = 'CODE_LITERAL' and value = 'BEGIN IMMEDIATE'").count() == 1
