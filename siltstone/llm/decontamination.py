@@ -42,6 +42,9 @@ _LETTERS = r"[\p{L}\p{M}]"
 #: Runs of capitalised words, other words, numbers, signs; in items also what ends a sentence.
 TOKEN = rf"\p{{Lu}}{_LETTERS}*(?:[ \t\n\r]\p{{Lu}}{_LETTERS}*)*|{_LETTERS}+|[0-9]+(?:[.,][0-9]+)*|[{_SIGNS}]+"
 END = "[.!?]+"
+#: The same tokens for Java: its matcher goes a level deeper for every word or digit group of a run that it could give back, and
+#: fails on some thousands; none of them is ever given back, as nothing follows.
+_TOKEN = rf"\p{{Lu}}{_LETTERS}*+(?:[ \t\n\r]\p{{Lu}}{_LETTERS}*+)*+|{_LETTERS}++|[0-9]++(?:[.,][0-9]++)*+|[{_SIGNS}]++"
 WINDOW, SHORT = 8, 4
 #: Plain words that a window needs to match by its template; smaller windows match as they stand.
 MIN_LITERAL = {WINDOW: 3, SHORT: 2}
@@ -105,7 +108,7 @@ def _windows(tokens: DataFrame, width: int, *keep: str) -> DataFrame:
 def _readings(items: DataFrame) -> DataFrame:
     """The tokens (own, code) of items (item, text), a row per distinct reading."""
     raw = F.col("raw")
-    cut_up = lambda text: F.regexp_extract_all(text, F.lit(f"{TOKEN}|{END}"), 0)
+    cut_up = lambda text: F.regexp_extract_all(text, F.lit(f"{_TOKEN}|{END}"), 0)
     items = items.select("item", cut_up(F.col("text")).alias("raw"), cut_up(F.lower("text")).alias("folded"))
     ends = lambda x: F.coalesce(x.rlike(f"^{END}"), F.lit(True))
 
@@ -181,7 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if keys.count() <= MAX_BROADCAST:
         keys = F.broadcast(keys)
     docs = docs.select("id", "mark", "text", F.lit(False).alias("low")).unionByName(_capitals(docs).withColumn("low", F.lit(True)))
-    tokens = _tokens(docs, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), 0), "id", "mark", "low")
+    tokens = _tokens(docs, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TOKEN), 0), "id", "mark", "low")
     hits = None
     for width in _widths(groups) or [WINDOW]:
         one = _windows(tokens, width, "id", "mark").join(keys, "h")
