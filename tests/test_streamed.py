@@ -1,12 +1,13 @@
 """Tasks meet files as these stream by: the same results as with all pairs, and what grows as tasks times files is not moved."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import evidence as E
-from siltstone.operators import scoring, streamed
+from siltstone.operators import ranges, scoring, streamed
 from siltstone.operators import signals as S
 from siltstone.plans import queries as plans
 from siltstone.plans import search
@@ -134,3 +135,38 @@ def test_owners_of_lines_in_long_files(spark):
             plain[line] = held[0][1]
     found = E.owners(lines, spark.createDataFrame(symbols, "path string, symbol_id string, start_line int, end_line int"))
     assert {r["line"]: r["symbol_id"] for r in found.collect()} == plain
+
+
+def test_sections_meet_terms_without_a_nested_loop(spark):
+    rng = random.Random(8)
+    words = ["ab", "cd", "abcd", "efg", "Hij", "k-l"]
+    text = lambda: "\n".join(rng.choice(["# ", "## ", "", "", ""]) + " ".join(rng.choices(words, k=3)) for _ in range(rng.randint(1, 25)))
+    docs = spark.createDataFrame([(f"d{i}", text()) for i in range(12)], "path string, text string")
+    asked = [(t, w.lower()) for t in range(9) for w in rng.sample(words, 3)]
+    got = ranges.select_sections(docs, spark.createDataFrame(asked, "task_id long, normalized string"), 3)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    lines, plain = {r["path"]: r["text"].split("\n") for r in docs.collect()}, []
+    found = ranges.sections(docs).collect()
+    for task in range(9):
+        for path in lines:
+            scored = []
+            for s in (s for s in found if s["path"] == path):
+                body = " ".join(lines[path][s["start_line"] - 1 : s["end_line"]]).lower()
+                n = sum(4 * (w in s["heading"].lower()) + (w in body) for t, w in asked if t == task)
+                scored += [(-n, s["end_line"] - s["start_line"], s["start_line"], s["end_line"])] if n else []
+            upto = 0
+            for a, z in sorted(x[2:] for x in sorted(scored)[:3]):
+                if upto and a <= upto + 1:
+                    plain[-1] = (*plain[-1][:3], max(upto, z))
+                else:
+                    plain.append((task, path, a, z))
+                upto = plain[-1][3]
+    assert _rows(got, "task_id", "path", "start_line", "end_line") == sorted(plain) and len(plain) > 50
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_ablations_share_their_evidence(spark, monkeypatch):
+    calls, verified = [], E.verified
+    monkeypatch.setattr(E, "verified", lambda *a: calls.append(1) or verified(*a))
+    assert plans.QUERIES["search_v2_ablations"](spark, "/root/testdata/sf0.001").columns == ["left_out", "task_id", "rank", "path", "score"]
+    assert len(calls) == 2
